@@ -207,7 +207,7 @@ def rows_predictions(spark, sf):
 
 
 @query("annotated_export", f"""SELECT d.doc_id AS row_index, d.lang, d.source, e.polarity AS fb_polarity, e.polarity_confidence AS fb_polarity_confidence,
-    e.intent AS fb_intent, e.sarcasm_flag AS fb_sarcasm_flag, e.sarcasm_confidence AS fb_sarcasm_confidence,
+    e.intent AS fb_intent, CASE e.sarcasm_flag WHEN true THEN 'True' WHEN false THEN 'False' END AS fb_sarcasm_flag, e.sarcasm_confidence AS fb_sarcasm_confidence,
     CASE WHEN e.row_index IS NOT NULL THEN coalesce(m.emotion, '') END AS fb_dominant_emotion,
     CASE WHEN e.row_index IS NOT NULL THEN coalesce(s.emotion_scores, '') END AS fb_emotion_scores
     FROM documents d LEFT JOIN (SELECT * FROM entries WHERE row_index IN (SELECT doc_id FROM labels)) e ON e.row_index = d.doc_id

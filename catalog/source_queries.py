@@ -225,7 +225,7 @@ def write_summary_json(spark, sf):
 
 
 @query("write_annotated_csv", """SELECT CAST(e.event_id AS VARCHAR) AS event_id, e.event_type, e.polarity AS fb_polarity,
-    CAST(e.sarcasm_flag AS VARCHAR) AS fb_sarcasm_flag FROM entries e""")
+    CASE WHEN e.sarcasm_flag THEN 'True' ELSE 'False' END AS fb_sarcasm_flag FROM entries e""")
 def write_annotated_csv(spark, sf):
     """The annotated rows as CSV parts, scanned again."""
     path = shared_path(spark, "annotated")

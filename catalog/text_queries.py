@@ -171,9 +171,9 @@ def emotion_distribution(spark, sf):
     return emotions.emotion_distribution(emotion_shares(spark, sf))
 
 
-@query("emotion_percent", """SELECT CAST(o.at AS INTEGER) AS at, o.label AS emotion, CAST(floor(coalesce(d.share, 0) * 100 + 0.5) AS BIGINT) AS pct
+@query("emotion_percent", """SELECT CAST(o.pos AS INTEGER) AS place, o.label AS emotion, CAST(floor(coalesce(d.share, 0) * 100 + 0.5) AS BIGINT) AS pct
     FROM (VALUES (1, 'happiness', 'Joy'), (2, 'sadness', 'Sadness'), (3, 'anger', 'Anger'), (4, 'surprise', 'Surprise'),
-    (5, 'fear', 'Fear'), (6, 'disgust', 'Disgust')) o(at, key, label) LEFT JOIN emodist d ON d.emotion = o.key""")
+    (5, 'fear', 'Fear'), (6, 'disgust', 'Disgust')) o(pos, key, label) LEFT JOIN emodist d ON d.emotion = o.key""")
 def emotion_percent(spark, sf):
     return emotions.emotion_percent(emotion_distribution(spark, sf))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The characters counted as white space when a cell is trimmed.
@@ -47,11 +49,26 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row.
+
+    A lambda variable is a value, whereas an expression named in a lambda is
+    worked out again for every element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bigrams(word_list: Column) -> Column:
     """Neighbouring word pairs as ``array<struct<w1,w2>>``; none below two words."""
-    firsts = F.slice(word_list, 1, F.greatest(F.size(word_list) - 1, F.lit(0)))
-    seconds = F.slice(word_list, 2, F.greatest(F.size(word_list) - 1, F.lit(0)))
-    return F.zip_with(firsts, seconds, lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+
+    def pairs(ws: Column) -> Column:
+        length = F.greatest(F.size(ws) - 1, F.lit(0))
+        return F.zip_with(
+            F.slice(ws, F.lit(1), length), F.slice(ws, F.lit(2), length),
+            lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
+        )
+
+    return let(word_list, pairs)
 
 
 def truncate(text: Column, limit: int = 40) -> Column:

@@ -75,7 +75,7 @@ def emotion_percent(distribution: DataFrame) -> DataFrame:
     ])
     cells = [
         F.struct(
-            F.lit(i + 1).alias("at"),
+            F.lit(i + 1).alias("place"),
             F.lit(label).alias("emotion"),
             F.floor(F.col(n) * 100 + 0.5).cast("long").alias("pct"),
         )

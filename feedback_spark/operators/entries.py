@@ -203,8 +203,11 @@ ANNOTATIONS = [
 def annotated_rows(
     rows: DataFrame, entries: DataFrame, prefix: str = "feedback_", key: str = "row_index"
 ) -> DataFrame:
-    """Every source row with its seven annotations, blank for a row without an entry."""
-    notes = entries.select(
+    """Every source row with its seven annotations, blank for a row without an entry.
+
+    The flag is written as the text True or False, as exports show it.
+    """
+    notes = entries.withColumn("sarcasm_flag", F.initcap(F.col("sarcasm_flag").cast("string"))).select(
         key,
         *[F.col(c).alias(prefix + c) for c in ANNOTATIONS[:5]],
         shares.dominant(F.col("emotions")).alias(prefix + "dominant_emotion"),

@@ -58,26 +58,34 @@ def word_table(lexicon: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def shifted_words(word_list: Column, shifters: Shifters) -> Column:
-    """Words with the shifters near them, as ``array<struct<word,flips,scale>>``.
+    """Words with the marks of the shifters near them, as ``array<struct<word,near>>``.
 
-    ``flips`` counts negators and ``scale`` amplifiers less softeners among the
-    five words before and the two after. Marks are made once per word and read
-    through short slices, all within the row: no window, no shuffle.
+    ``near`` holds 1 for a negator, 2 for an amplifier and 3 for a softener
+    among the five words before and the two after. Marks are made once per
+    word and read through short slices, all within the row: no window, no
+    shuffle.
     """
-    marks = F.transform(
-        word_list,
-        lambda w: F.when(w.isin(*shifters.negators), 1)
-        .when(w.isin(*shifters.amplifiers), 2)
-        .when(w.isin(*shifters.softeners), 3)
-        .otherwise(0),
-    )
-    return F.transform(word_list, lambda w, i: F.struct(w.alias("word"), _nearby(marks, i).alias("near")))
 
+    def mark(w: Column) -> Column:
+        return (
+            F.when(w.isin(*shifters.negators), 1)
+            .when(w.isin(*shifters.amplifiers), 2)
+            .when(w.isin(*shifters.softeners), 3)
+            .otherwise(0)
+        )
+
+    def nearby(marks: Column, at: Column) -> Column:
+        before = F.slice(marks, F.greatest(at - WORDS_BEFORE, F.lit(0)) + 1, F.least(at, F.lit(WORDS_BEFORE)))
+        after = F.slice(marks, at + 2, F.lit(WORDS_AFTER))
+        return F.filter(F.concat(before, after), lambda m: m > 0)
+
+    def with_marks(ws: Column) -> Column:
+        return text.let(
+            F.transform(ws, mark),
+            lambda marks: F.transform(ws, lambda w, i: F.struct(w.alias("word"), nearby(marks, i).alias("near"))),
+        )
 
-def _nearby(marks: Column, at: Column) -> Column:
-    before = F.slice(marks, F.greatest(at - WORDS_BEFORE, F.lit(0)) + 1, F.least(at, F.lit(WORDS_BEFORE)))
-    after = F.slice(marks, at + 2, F.lit(WORDS_AFTER))
-    return F.filter(F.concat(before, after), lambda m: m > 0)
+    return text.let(word_list, with_marks)
 
 
 def contribution(units: Column, flips: Column, scale: Column) -> Column:
