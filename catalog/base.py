@@ -80,7 +80,7 @@ LABEL = """CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'neg' ELSE ' N
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", *(columns or ("text",))))
+    return spread(table(spark, sf, "documents").select("doc_id", *(columns or ("text",))), "doc_id")
 
 
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +132,7 @@ ASPECT_2 = (
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").selectExpr("*", f"{CENTS['spark']} AS cents")
+    return spread(table(spark, sf, "events"), "event_id").selectExpr("*", f"{CENTS['spark']} AS cents")
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:

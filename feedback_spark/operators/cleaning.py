@@ -43,13 +43,13 @@ def clean_documents(documents: DataFrame, *, ascii_only: bool = True, keep: tupl
     again, so a dropped row cannot shift the scores of others.
     """
     rest = [c for c in documents.columns if c not in ("raw_text", "label") or c in keep]
+    cleaned = text.clean_text(F.col("raw_text"), ascii_only)
     return (
         drop_empty_text(documents)
         .select(
             *rest,
             labels.label_category(F.col("label")).alias("doc_category"),
-            text.clean_text(F.col("raw_text"), ascii_only).alias("cleaned_text"),
+            F.explode(text.if_kept(cleaned, lambda c: c != "")).alias("cleaned_text"),
         )
-        .withColumn("word_count", text.word_count(F.col("cleaned_text")))
-        .filter(F.col("word_count") >= 1)
+        .withColumn("word_count", text.cleaned_word_count(F.col("cleaned_text")))
     )

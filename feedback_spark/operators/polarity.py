@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedback_spark.functions import labels, text
@@ -57,41 +59,48 @@ def word_table(lexicon: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
+# Marks of shifters, chosen so that a sum of seven marks still tells the three counts.
+NEGATOR, AMPLIFIER, SOFTENER = 1, 100, 10_000
+
+
 def shifted_words(word_list: Column, shifters: Shifters) -> Column:
     """Words with the marks of the shifters near them, as ``array<struct<word,near>>``.
 
-    ``near`` holds 1 for a negator, 2 for an amplifier and 3 for a softener
-    among the five words before and the two after. Marks are made once per
-    word and read through short slices, all within the row: no window, no
-    shuffle.
+    ``near`` is the sum of the marks of the five words before and the two
+    after. Marks are made once per word and read by position from a list with
+    blank ends, all within the row: no window, no shuffle.
     """
 
     def mark(w: Column) -> Column:
         return (
-            F.when(w.isin(*shifters.negators), 1)
-            .when(w.isin(*shifters.amplifiers), 2)
-            .when(w.isin(*shifters.softeners), 3)
+            F.when(w.isin(*shifters.negators), NEGATOR)
+            .when(w.isin(*shifters.amplifiers), AMPLIFIER)
+            .when(w.isin(*shifters.softeners), SOFTENER)
             .otherwise(0)
         )
 
-    def nearby(marks: Column, at: Column) -> Column:
-        before = F.slice(marks, F.greatest(at - WORDS_BEFORE, F.lit(0)) + 1, F.least(at, F.lit(WORDS_BEFORE)))
-        after = F.slice(marks, at + 2, F.lit(WORDS_AFTER))
-        return F.filter(F.concat(before, after), lambda m: m > 0)
+    def blank(places: int) -> Column:
+        return F.array(*[F.lit(0)] * places)
+
+    def near(marks: Column, at: Column) -> Column:
+        others = [p for p in range(WORDS_BEFORE + 1 + WORDS_AFTER) if p != WORDS_BEFORE]
+        return reduce(Column.__add__, [F.get(marks, at + p) for p in others])
 
     def with_marks(ws: Column) -> Column:
         return text.let(
-            F.transform(ws, mark),
-            lambda marks: F.transform(ws, lambda w, i: F.struct(w.alias("word"), nearby(marks, i).alias("near"))),
+            F.concat(blank(WORDS_BEFORE), F.transform(ws, mark), blank(WORDS_AFTER)),
+            lambda marks: F.transform(ws, lambda w, i: F.struct(w.alias("word"), near(marks, i).alias("near"))),
         )
 
     return text.let(word_list, with_marks)
 
 
-def contribution(units: Column, flips: Column, scale: Column) -> Column:
+def contribution(units: Column, near: Column) -> Column:
     """Shifted weight in tenths of a unit, exact in whole numbers."""
+    flips = near % AMPLIFIER
+    scale = F.floor(near / AMPLIFIER) % AMPLIFIER - F.floor(near / SOFTENER)
     sign = F.when(flips % 2 == 1, F.lit(-1)).otherwise(F.lit(1))
-    return units * sign * F.greatest(F.lit(0), F.lit(10) + F.lit(round(AMPLIFY * 10)) * scale)
+    return units * sign * F.greatest(F.lit(0).cast("long"), F.lit(10) + F.lit(round(AMPLIFY * 10)) * scale)
 
 
 def hybrid_polarity(
@@ -110,12 +119,8 @@ def hybrid_polarity(
     """
     word_list = text.words(F.col("cleaned_text"))
     marked = cleaned.select(key, F.explode(shifted_words(word_list, shifters)).alias("t"))
-    scored = marked.select(key, "t.word", F.col("t.near").alias("near")).join(
-        word_table(lexicon, weights), "word", "left"
-    )
-    flips = F.size(F.filter("near", lambda m: m == 1))
-    scale = F.size(F.filter("near", lambda m: m == 2)) - F.size(F.filter("near", lambda m: m == 3))
-    shifted = F.when(F.coalesce(F.col("units"), F.lit(0)) != 0, contribution(F.col("units"), flips, scale))
+    scored = marked.select(key, "t.word", "t.near").join(word_table(lexicon, weights), "word", "left")
+    shifted = contribution(F.col("units"), F.col("near"))
     sums = scored.groupBy(key).agg(
         F.count(F.lit(1)).alias("word_count"),
         F.coalesce(F.sum("positive"), F.lit(0)).alias("positive"),

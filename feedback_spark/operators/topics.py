@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from feedback_spark.functions.labels import polarity_group
 from feedback_spark.functions.numbers import whole_percent
 from feedback_spark.functions.text import title_case
+from feedback_spark.sources.lexicons import inline_table
 
 # Size of the model and of the reported lists.
 TOPICS = 3
@@ -24,6 +25,8 @@ ITERATIONS = 20
 
 @dataclass(frozen=True)
 class TopicModel:
+    """A fitted model; ``documents`` are the kept (key, features) rows it was fitted on."""
+
     model: LDAModel
     vectorizer: CountVectorizerModel
     documents: DataFrame
@@ -57,38 +60,46 @@ def fit_topics(
         use = min(k, documents - 1)
         if use < 2:
             return None
-        needed = min_df if min_df >= 1 else min_df * documents
-        spread_of_word = words.select(key, "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-        vocabulary = spread_of_word.filter(F.col("df") >= needed).count()
+        vocabulary = _vocabulary_size(lists, min_df if min_df >= 1 else min_df * documents)
         if vocabulary > max_vocabulary:
             raise ValueError(f"{vocabulary} words exceed {max_vocabulary}; raise min_df or max_vocabulary")
         vectorizer = CountVectorizer(
             inputCol="terms", outputCol="features", vocabSize=max(vocabulary, 1), minDF=min_df, minTF=1.0
         ).fit(lists)
         vectors = vectorizer.transform(lists).select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            lda = LDA(k=use, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0)
-            return TopicModel(lda.fit(vectors), vectorizer, vectorizer.transform(term_lists(words, key)).select(key, "features"))
-        finally:
-            vectors.unpersist()
+        vectors.count()
     finally:
         lists.unpersist()
+    lda = LDA(k=use, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0)
+    return TopicModel(lda.fit(vectors), vectorizer, vectors)
+
+
+def _vocabulary_size(lists: DataFrame, needed: float) -> int:
+    """Number of words that occur in at least ``needed`` documents."""
+    each = lists.select(F.explode(F.array_distinct("terms")).alias("word"))
+    if needed <= 1:
+        return each.distinct().count()
+    return each.groupBy("word").count().filter(F.col("count") >= needed).count()
 
 
 def topic_beta(fitted: TopicModel, limit: int = TERMS) -> DataFrame:
     """(topic, term, beta) of the leading terms, ties at the last place kept.
 
-    ``describeTopics`` gives a fixed number of terms, so it is asked for the
-    whole vocabulary, whose size ``fit_topics`` has checked.
+    The model is on the driver already. More terms than wanted are asked for,
+    and more again while the last one still ties with the last place.
     """
-    spark = fitted.documents.sparkSession
     terms = fitted.vectorizer.vocabulary
-    rows = fitted.model.describeTopics(len(terms)).select(
-        (F.col("topic") + 1).alias("topic"),
-        F.inline(F.arrays_zip(F.col("termIndices").alias("at"), F.col("termWeights").alias("beta"))),
+    asked = min(4 * limit, len(terms))
+    while True:
+        rows = fitted.model.describeTopics(asked).collect()
+        if asked == len(terms) or all(r.termWeights[limit - 1] > r.termWeights[-1] for r in rows):
+            break
+        asked = min(2 * asked, len(terms))
+    table = inline_table(
+        fitted.documents.sparkSession, "topic, term, beta",
+        [(r.topic + 1, terms[i], float(w)) for r in rows for i, w in zip(r.termIndices, r.termWeights)],
     )
-    names = spark.createDataFrame(list(enumerate(terms)), "at int, term string")
-    return top_terms_ties(rows.join(names, "at").select("topic", "term", "beta"), limit)
+    return top_terms_ties(table, limit)
 
 
 def top_terms_ties(table: DataFrame, limit: int = TERMS, group: str = "topic", weight: str = "beta") -> DataFrame:

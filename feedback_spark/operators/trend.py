@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from feedback_spark.functions.dates import parse_period
 from feedback_spark.functions.labels import level_score
 from feedback_spark.functions.numbers import round_half_even
+from feedback_spark.functions.text import if_kept
 
 
 def monthly_trend(entries: DataFrame, timestamp_column: str, polarity: str = "polarity") -> DataFrame:
@@ -14,12 +15,12 @@ def monthly_trend(entries: DataFrame, timestamp_column: str, polarity: str = "po
 
     Level scores are halves, so they are summed as whole numbers.
     """
+    period = parse_period(F.col(timestamp_column))
     return (
         entries.select(
-            parse_period(F.col(timestamp_column)).alias("period"),
+            F.explode(if_kept(period, lambda p: p.isNotNull())).alias("period"),
             (level_score(F.col(polarity)) * 2).cast("long").alias("halves"),
         )
-        .filter(F.col("period").isNotNull())
         .groupBy("period")
         .agg(round_half_even(F.sum("halves") / 2 / F.count(F.lit(1)), 3).alias("avg_polarity"))
         .orderBy("period")

@@ -24,10 +24,12 @@ class CorpusResult:
     emotions: DataFrame
     topic_terms: DataFrame | None
     document_topics: DataFrame | None
+    kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        self.cleaned.unpersist()
-        self.scored.unpersist()
+        """Drop the kept blocks once the result has been used."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def corpus_analysis(
@@ -40,15 +42,14 @@ def corpus_analysis(
 ) -> CorpusResult:
     """Analyse (key, raw_text, label) documents.
 
-    The cleaned texts and the narrow scores feed several parts and are kept;
-    kept blocks lost with an executor are computed again. Single words are
-    counted once for both the word list and the emotions.
+    The cleaned texts, the narrow scores and the word counts feed several
+    parts and are kept; kept blocks lost with an executor are computed again.
     """
     cleaned = cleaning.clean_documents(documents).persist(StorageLevel.MEMORY_AND_DISK)
     scored = polarity.hybrid_polarity(
         cleaned, lexicons.polarity, lexicons.weights, lexicons.shifters, key
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    counts = keywords.word_counts(tokens.words_only(cleaned))
+    counts = keywords.word_counts(tokens.words_only(cleaned)).persist(StorageLevel.MEMORY_AND_DISK)
     fitted = None
     if with_topics:
         words = tokens.topic_tokens(cleaned, lexicons.stops, key)
@@ -63,6 +64,7 @@ def corpus_analysis(
         emotions=emotions.emotion_shares(counts, lexicons.emotions),
         topic_terms=topics.topic_terms(topics.topic_beta(fitted)) if fitted else None,
         document_topics=topics.dominant_topics(fitted, key) if fitted else None,
+        kept=(cleaned, scored, counts) + ((fitted.documents,) if fitted else ()),
     )
 
 
