@@ -2,7 +2,8 @@
 
 Two rounding rules occur: half to even for corpus figures, half up for whole
 percentages shown to people. Both are written as one multiply and one divide,
-so that every IEEE engine gives the same bits.
+so that every IEEE engine gives the same bits; a product that lands on a tie,
+as 2.675 * 100 does, is rounded as that tie.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ from feedback_spark.functions.text import strip
 HEADER_NAMES = ["raw_text", "text", "comment", "content", "review", "label", "id", "date", "timestamp"]
 LABEL_VALUES = ["pos", "neg", "neutral", "positive", "negative"]
 HEADERLESS_SCHEMA = ["raw_text", "label"]
+# Where the reader puts a record whose cells do not match the columns.
+SHORT_RECORD = "_short_record"
 TEXT_NAMES = "(?i)text|comment|review|body|content"
 DATE_NAMES = "(?i)date|time|created|timestamp"
 
@@ -102,19 +104,17 @@ def read_csv(
     # Unnamed columns, and all but the last of a repeated name, get a name to be dropped by.
     kept = [c if c and c not in layout.columns[i + 1:] else "" for i, c in enumerate(layout.columns)]
     fields = [c or f"_unnamed{i}" for i, c in enumerate(kept)]
-    schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    # Names are matched by position: they were trimmed above, and the files share them.
-    raw = _reader(spark, encoding, layout.header).schema(schema).csv(path)
+    schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, SHORT_RECORD]])
+    # Columns go by position: the names were trimmed above, and the files share them.
+    reader = _reader(spark, encoding, layout.header).option("columnNameOfCorruptRecord", SHORT_RECORD)
+    raw = reader.schema(schema).csv(path)
+    if not layout.header:
+        # A record of a single cell is left out, unlike one whose second cell is blank.
+        raw = raw.filter(F.col("label").isNotNull() | F.col(SHORT_RECORD).isNull())
     source = [F.col("_metadata.file_path").alias("source_file")] if keep_file else []
     named = [c for c in kept if c]
-    rows = raw.select(*[strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in named], *source)
-    rows = drop_blank_rows(rows, named)
-    if not layout.header:
-        # A record of one cell is no record here, unlike a cell left blank.
-        whole = raw.filter(F.col("label").isNotNull() | (F.length("raw_text") == 0))
-        rows = whole.select(
-            *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in named], *source
-        ).filter((F.col("raw_text") != "") | (F.col("label") != ""))
+    cells = [strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in named]
+    rows = drop_blank_rows(raw.select(*cells, *source), named)
     return rows.limit(limit) if limit is not None else rows
 
 
