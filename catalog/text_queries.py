@@ -202,7 +202,8 @@ def top_bigrams(spark, sf):
 
 
 def _hits(spark, sf):
-    return keywords.keyword_hits(base.document_entries(spark, sf), top_words(spark, sf), key="doc_id")
+    marked = keywords.keyword_marks(base.document_entries(spark, sf), top_words(spark, sf))
+    return keywords.keyword_hits(marked, key="doc_id")
 
 
 @query("keyword_hits", "SELECT CAST(rank AS INTEGER) AS rank, word, n, pos_hits, neg_hits, first_polarity FROM kwhits")

@@ -35,13 +35,15 @@ def entry_document(
 ) -> DataFrame:
     """Entries with the original text and the original row as a map."""
     source = [c for c in rows.columns if c != key]
-    cells = [x for c in source for x in (F.lit(c), F.col(c).cast("string"))]
-    originals = rows.select(
-        key,
-        F.coalesce(F.col(text_column), F.lit("")).alias("original_text"),
+    joined = entries.join(rows.select(key, F.struct(*source).alias("_row")), key)
+    cells = [x for c in source for x in (F.lit(c), F.col("_row")[c].cast("string"))]
+    # Built after the join, so that the text crosses the shuffle once.
+    return joined.select(
+        *entries.columns,
+        F.coalesce(F.col("_row")[text_column], F.lit("")).alias("original_text"),
         F.create_map(*cells).alias("original_row"),
+        F.lit(job_id).alias("job_id"),
     )
-    return entries.join(originals, key).withColumn("job_id", F.lit(job_id))
 
 
 def entries_filter(
@@ -106,12 +108,17 @@ def entries_total(entries: DataFrame) -> DataFrame:
 def merge_sarcastic(
     entries: DataFrame, shown: int = PAGE_LIMIT_MAX, sarcastic: int | None = None, key: str = "row_index"
 ) -> DataFrame:
-    """The first page together with the sarcastic entries, no key twice."""
+    """The first page together with the sarcastic entries, no key twice.
+
+    The page holds the smallest keys, so the flagged entries it lacks are those
+    with a larger key: a filter, where dropping duplicates would shuffle them all.
+    """
     first = entries.orderBy(key).limit(shown)
     flagged = entries.filter("sarcasm_flag")
     if sarcastic is not None:
         flagged = flagged.orderBy(key).limit(sarcastic)
-    return first.unionByName(flagged).dropDuplicates([key])
+    last = first.agg(F.max(key)).scalar()
+    return first.unionByName(flagged.filter(F.col(key) > last))
 
 
 def low_confidence(entries: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedback_spark.functions.labels import polarity_group
@@ -56,28 +58,40 @@ def ranked_words(top: DataFrame, limit: int = KEYWORD_WORDS) -> DataFrame:
     return top.agg(F.slice(listed, 1, limit).alias("ranked"))
 
 
-def keyword_hits(
-    texts: DataFrame, top: DataFrame, *, text_column: str = "text", key: str = "row_index",
-    limit: int = KEYWORD_WORDS,
+def keyword_marks(
+    texts: DataFrame, top: DataFrame, text_column: str = "text", limit: int = KEYWORD_WORDS
 ) -> DataFrame:
-    """(rank, word, n, pos_hits, neg_hits, first_polarity) for the leading words.
+    """``texts`` with ``ranked``, the leading words, and ``marks``, a bit per word the text holds.
+
+    A word counts wherever it stands, also inside a longer word. The words
+    arrive as a scalar subquery of one bounded array, so texts are not joined
+    with words, and what a later join moves is one number in place of the text.
+    """
+    if limit > 63:
+        raise ValueError("marks hold at most 63 words")
+    low = F.lower(F.coalesce(F.col(text_column), F.lit("")))
+    read = texts.withColumn("low", low).withColumn("ranked", ranked_words(top, limit).scalar())
+
+    def bit(i: int) -> Column:
+        held = F.contains("low", F.get("ranked", F.lit(i))["word"])
+        return F.when(held, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    A hit is a text that holds the word anywhere, also inside a longer word.
-    The words arrive as a scalar subquery of one bounded array, and one global
-    aggregate keeps a conditional count per word and side: no join of texts
-    with words, no shuffle of texts. ``first_polarity`` is the level of the
-    row with the smallest key, which settles ties.
+    return read.withColumn("marks", reduce(Column.__add__, [bit(i) for i in range(limit)])).drop("low")
+
+
+def keyword_hits(marked: DataFrame, *, key: str = "row_index", limit: int = KEYWORD_WORDS) -> DataFrame:
+    """(rank, word, n, pos_hits, neg_hits, first_polarity) from (key, polarity, ranked, marks).
+
+    One global aggregate with a conditional count per word and side.
+    ``first_polarity`` is the level of the row with the smallest key, which
+    settles ties.
     """
-    words = ranked_words(top, limit).scalar()
     side = polarity_group(F.col("polarity"))
-    base = texts.select(
-        key, "polarity", F.lower(text_column).alias("low"), side.alias("side"), words.alias("ranked")
-    )
 
     def hits(of: str, i: int) -> Column:
-        return F.count_if((F.col("side") == of) & F.contains("low", F.get("ranked", F.lit(i))["word"]))
+        return F.count_if((side == of) & (F.getbit("marks", F.lit(i)) == 1))
 
-    counted = base.agg(
+    counted = marked.agg(
         F.any_value("ranked").alias("ranked"),
         F.min_by("polarity", key).alias("first_polarity"),
         F.array(*[hits("positive", i) for i in range(limit)]).alias("pos"),

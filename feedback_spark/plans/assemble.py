@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from feedback_spark.functions.labels import INTENTS, LEVELS
 from feedback_spark.operators import cleaning, emotions, entries as rows_of, keywords, polarity, topics, trend
 from feedback_spark.plans.corpus import CorpusResult, listed
 
+WHEN = "_when"
 # Columns of an entry that a detector may supply, and what stands in for them.
 OPTIONAL = {
     "intent": ("string", ""),
@@ -32,25 +34,46 @@ class Assembled:
     word_cloud: DataFrame | None
     topics: DataFrame | None
     trend: DataFrame | None
+    kept: DataFrame
 
+    def release(self) -> None:
+        """Drop the kept blocks once the parts have been used or stored."""
+        self.kept.unpersist()
 
-def _entries(rows: DataFrame, predictions: DataFrame, corpus: CorpusResult | None, key: str) -> DataFrame:
-    joined = rows_of.rows_predictions(rows.select(key), predictions, key)
+
+def _joined(
+    rows: DataFrame, predictions: DataFrame, corpus: CorpusResult | None, text_column: str, timestamp_column: str | None,
+    key: str,
+) -> DataFrame:
+    """Predictions with what the aggregates need of the rows, in the one join of both.
+
+    The text is reduced to its keyword marks first, so only narrow rows are shuffled.
+    """
+    when = [F.col(timestamp_column).alias(WHEN)] if timestamp_column else []
+    needed = rows.select(key, *when, F.col(text_column).alias("_text"))
+    if corpus is not None:
+        needed = keywords.keyword_marks(needed, corpus.top_words, "_text")
+    joined = rows_of.rows_predictions(needed.drop("_text"), predictions, key)
     for name, (kind, default) in OPTIONAL.items():
         if name not in predictions.columns:
             value = F.array() if default is None else F.lit(default)
             joined = joined.withColumn(name, value.cast(kind))
+    return joined
+
+
+def _entries(joined: DataFrame, corpus: CorpusResult | None, key: str) -> DataFrame:
+    entries = joined.select(key, "polarity", "polarity_confidence", *OPTIONAL)
     if corpus is None:
         empty = F.array().cast("array<struct<key:string,value:double>>")
-        joined = joined.withColumn("emotions", F.map_from_entries(empty))
+        entries = entries.withColumn("emotions", F.map_from_entries(empty))
     else:
         shared = emotions.emotions_map(emotions.emotion_distribution(corpus.emotions))
-        joined = rows_of.entries_with_emotions(joined, shared)
+        entries = rows_of.entries_with_emotions(entries, shared)
     if corpus is not None and corpus.document_topics is not None:
-        joined = joined.join(corpus.document_topics.select(key, "topics"), key, "left")
+        entries = entries.join(corpus.document_topics.select(key, "topics"), key, "left")
     else:
-        joined = joined.withColumn("topics", F.lit(None).cast(rows_of.TOPICS))
-    return joined.withColumn("topics", F.coalesce(F.col("topics").cast(rows_of.TOPICS), F.array().cast(rows_of.TOPICS)))
+        entries = entries.withColumn("topics", F.lit(None).cast(rows_of.TOPICS))
+    return entries.withColumn("topics", F.coalesce(F.col("topics").cast(rows_of.TOPICS), F.array().cast(rows_of.TOPICS)))
 
 
 def _topics(corpus: CorpusResult, chosen: DataFrame, key: str, mode: str) -> DataFrame:
@@ -73,25 +96,25 @@ def assemble(
 ) -> Assembled:
     """Combine the branches. Without ``corpus`` entries, distribution and trend remain."""
     cleaning.require_columns(rows, key, text_column, timestamp_column)
-    entries = _entries(rows, predictions, corpus, key)
-    counted = rows_of.exclude_sarcasm(entries, include_sarcasm)
-    narrow = counted.select(key, "polarity")
-    dated = narrow.join(rows.select(key, timestamp_column), key) if timestamp_column else None
+    joined = _joined(rows, predictions, corpus, text_column, timestamp_column, key)
+    joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
+    entries = _entries(joined, corpus, key)
+    counted = rows_of.exclude_sarcasm(joined, include_sarcasm)
     found = cloud = None
     if corpus is not None:
-        texts = narrow.join(rows.select(key, F.coalesce(F.col(text_column), F.lit("")).alias("text")), key)
-        found = keywords.keyword_scores(keywords.keyword_hits(texts, corpus.top_words, key=key))
+        found = keywords.keyword_scores(keywords.keyword_hits(counted, key=key))
         cloud = keywords.word_cloud(corpus.top_words, found)
     return Assembled(
         entries=entries,
         polarity_distribution=polarity.polarity_distribution(counted),
         intent_distribution=rows_of.intent_distribution(counted),
-        sarcasm=rows_of.sarcasm_summary(entries),
+        sarcasm=rows_of.sarcasm_summary(joined),
         emotion_distribution=emotions.emotion_distribution(corpus.emotions) if corpus else None,
         keywords=found,
         word_cloud=cloud,
-        topics=_topics(corpus, narrow, key, topic_mode) if corpus and corpus.topic_terms is not None else None,
-        trend=trend.monthly_trend(dated, timestamp_column) if timestamp_column else None,
+        topics=_topics(corpus, counted.select(key, "polarity"), key, topic_mode) if corpus and corpus.topic_terms is not None else None,
+        trend=trend.monthly_trend(counted, WHEN) if timestamp_column else None,
+        kept=joined,
     )
 
 

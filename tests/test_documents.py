@@ -167,19 +167,19 @@ def test_keyword_sides(frame):
         (0, "START here", "Positive"), (1, "the art of it", "Negative"), (2, "smart", "Very Positive"), (3, "tie tie", "Neutral"),
     )
     top = frame("word string, n long", ("art", 60), ("tie", 10), ("here", 5))
-    hits = {r.word: (r.rank, r.pos_hits, r.neg_hits) for r in keywords.keyword_hits(texts, top).collect()}
+    hits = {r.word: (r.rank, r.pos_hits, r.neg_hits) for r in keywords.keyword_hits(keywords.keyword_marks(texts, top)).collect()}
     assert hits == {"art": (1, 2, 1), "tie": (2, 0, 0), "here": (3, 1, 0)}
-    got = [(r.side, r.place, r.word, r.score) for r in keywords.keyword_scores(keywords.keyword_hits(texts, top)).collect()]
+    got = [(r.side, r.place, r.word, r.score) for r in keywords.keyword_scores(keywords.keyword_hits(keywords.keyword_marks(texts, top))).collect()]
     assert sorted(got) == [("positive", 1, "art", 0.95), ("positive", 2, "tie", 0.2), ("positive", 3, "here", 0.1)]
     flipped = texts.withColumn("polarity", F.when(F.col("row_index") == 0, "Neutral").otherwise(F.col("polarity")))
-    sides = {r.word: (r.side, r.score) for r in keywords.keyword_scores(keywords.keyword_hits(flipped, top)).collect()}
+    sides = {r.word: (r.side, r.score) for r in keywords.keyword_scores(keywords.keyword_hits(keywords.keyword_marks(flipped, top))).collect()}
     assert sides["tie"] == ("negative", -0.2)
 
 
 def test_ten_keywords_a_side(frame):
     texts = frame("row_index long, text string, polarity string", (0, "x", "Positive"))
     top = frame("word string, n long", *[(f"w{i:02d}", 100 - i) for i in range(30)])
-    scores = keywords.keyword_scores(keywords.keyword_hits(texts, top))
+    scores = keywords.keyword_scores(keywords.keyword_hits(keywords.keyword_marks(texts, top)))
     assert [r.word for r in scores.orderBy("place").collect()] == [f"w{i:02d}" for i in range(10)]
     cloud = keywords.word_cloud(top, scores).orderBy(F.desc("weight")).collect()
     assert len(cloud) == 30 and cloud[0].size == 1.0 and cloud[0].is_positive and not cloud[15].is_positive

@@ -50,7 +50,7 @@ def test_a_large_lexicon_is_not_broadcast(spark, cleaned):
 
 def test_keyword_hits_have_no_join(spark, frame):
     texts = frame("row_index long, text string, polarity string", (0, "a", "Positive"))
-    shown = plan(keywords.keyword_hits(texts, frame("word string, n long", ("a", 3))))
+    shown = plan(keywords.keyword_hits(keywords.keyword_marks(texts, frame("word string, n long", ("a", 3)))))
     assert "NestedLoopJoin" not in shown and "CartesianProduct" not in shown
 
 
