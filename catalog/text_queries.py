@@ -261,6 +261,12 @@ def topic_tokens(spark, sf):
     return tokens.topic_tokens(base.cleaned(spark, sf), base.lexicons(spark).stops)
 
 
+@query("stemmed_tokens")
+def stemmed_tokens(spark, sf):
+    """Stems over whole texts; checked in the tests against the published examples."""
+    return tokens.stemmed(topic_tokens(spark, sf)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("doc_term_counts", "SELECT doc_id, word, count(*) AS n FROM tok GROUP BY doc_id, word")
 def doc_term_counts(spark, sf):
     return tokens.doc_term_counts(_words(spark, sf))

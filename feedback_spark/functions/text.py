@@ -64,7 +64,8 @@ def clean_text(raw: Column, ascii_only: bool = True) -> Column:
 
 def words(cleaned: Column) -> Column:
     """Words of a cleaned text, an empty array for an empty text."""
-    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
+    none = F.array().cast("array<string>")
+    return let(cleaned, lambda c: F.when(c == "", none).otherwise(F.split(c, " ")))
 
 
 def word_count(text: Column) -> Column:

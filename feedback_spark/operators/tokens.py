@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from feedback_spark.functions import text
+from feedback_spark.functions import stems, text
 
 
 def tokens(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -33,6 +33,23 @@ def topic_tokens(cleaned: DataFrame, stops: DataFrame, key: str = "doc_id") -> D
     return kept.join(stops, "word", "left_anti").select(key, "pos", "word")
 
 
+def stemmed(words: DataFrame) -> DataFrame:
+    """``words`` with each word replaced by its stem.
+
+    Only the distinct words are stemmed and joined back: Spark broadcasts the
+    vocabulary while it is small, and splits the partitions of frequent words
+    when it is not. Words that are their own stem need no partner.
+    """
+    vocabulary = words.select("word").distinct()
+    changed = vocabulary.select(
+        "word", F.explode(text.if_kept(stems.stem(F.col("word")), lambda s: s != F.col("word"))).alias("stem")
+    )
+    joined = words.join(changed, "word", "left")
+    return joined.select(*[
+        F.coalesce("stem", "word").alias("word") if c == "word" else F.col(c) for c in words.columns
+    ])
+
+
 def doc_term_counts(words: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, word, n), the document-term matrix in long form."""
     return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))

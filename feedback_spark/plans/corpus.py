@@ -38,6 +38,7 @@ def corpus_analysis(
     *,
     key: str = "row_index",
     with_topics: bool = True,
+    stem: bool = True,
     topic_options: dict | None = None,
 ) -> CorpusResult:
     """Analyse (key, raw_text, label) documents.
@@ -53,6 +54,7 @@ def corpus_analysis(
     fitted = None
     if with_topics:
         words = tokens.topic_tokens(cleaned, lexicons.stops, key)
+        words = tokens.stemmed(words) if stem else words
         fitted = topics.fit_topics(words, key=key, **(topic_options or {}))
     return CorpusResult(
         cleaned=cleaned,

@@ -192,3 +192,9 @@ def test_topic_tokens(cleaned, lists):
     got = tokens.topic_tokens(cleaned("the 2024 cat is an and x1y ok"), lists.stops).collect()
     assert sorted(r.word for r in got) == ["cat", "x1y"]
     assert {(r.word, r.n) for r in tokens.doc_term_counts(tokens.tokens(cleaned("a b a"))).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_stemmed_words_keep_their_rows(cleaned):
+    words = tokens.tokens(cleaned("cats cat cat", "running dog"))
+    got = sorted((r.doc_id, r.pos, r.word) for r in tokens.stemmed(words).collect())
+    assert got == [(0, 0, "cat"), (0, 1, "cat"), (0, 2, "cat"), (1, 0, "run"), (1, 1, "dog")]

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from feedback_spark.functions import dates, labels, numbers, shares, text
+from feedback_spark.functions import dates, labels, numbers, shares, stems, text
 
 
 def values(df, column):
@@ -136,3 +136,21 @@ def test_json_shapes(texts):
         [("joy", 50.0), ("fear", 1.5)], [("joy", 50.0)], [("joy", 50.0), ("fear", 2.0)], [],
     ]
     assert got[5] == []
+
+
+# Examples given with the published stemming algorithm.
+STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled
+motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss
+fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc
+digitizer digit radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam operator oper
+feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit
+triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good
+revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens
+irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun
+activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate
+cease ceas controll control roll roll is is y y""".split()
+
+
+def test_stems(texts):
+    cells, want = STEMS[::2], STEMS[1::2]
+    assert dict(zip(cells, values(texts(*cells), stems.stem(F.col("t"))))) == dict(zip(cells, want))

@@ -58,6 +58,12 @@ def test_cleaning_is_worked_out_once(cleaned):
     assert plan(cleaned.select("doc_id", "cleaned_text")).count("https?") == 1
 
 
+def test_stems_are_worked_out_once_per_distinct_word(cleaned):
+    shown = plan(tokens.stemmed(tokens.tokens(cleaned)))
+    stems, distinct = shown.index("biliti"), shown.index("HashAggregate(keys=[word")
+    assert shown.count("Generate explode(filter(array(CASE WHEN (length(word") == 1 and stems < distinct
+
+
 def test_top_words_is_a_bounded_sort(spark, cleaned):
     shown = plan(keywords.top_words(keywords.word_counts(tokens.words_only(cleaned)), base.lexicons(spark).stops))
     assert "TakeOrderedAndProject" in shown
