@@ -65,7 +65,12 @@ def clean_text(raw: Column, ascii_only: bool = True) -> Column:
 def words(cleaned: Column) -> Column:
     """Words of a cleaned text, an empty array for an empty text."""
     none = F.array().cast("array<string>")
-    return let(cleaned, lambda c: F.when(c == "", none).otherwise(F.split(c, " ")))
+    return let(cleaned, lambda c: F.when(c == "", none).otherwise(split_words(c)))
+
+
+def split_words(cleaned: Column) -> Column:
+    """Words of a cleaned text known to hold one; without a lambda, so explodes of it compile."""
+    return F.split(cleaned, " ")
 
 
 def word_count(text: Column) -> Column:
@@ -87,19 +92,6 @@ def if_kept(value: Column, test: Callable[[Column], Column]) -> Column:
     return F.filter(F.array(value), test)
 
 
-def bigrams(word_list: Column) -> Column:
-    """Neighbouring word pairs as ``array<struct<w1,w2>>``; none below two words."""
-
-    def pairs(ws: Column) -> Column:
-        length = F.greatest(F.size(ws) - 1, F.lit(0))
-        return F.zip_with(
-            F.slice(ws, F.lit(1), length), F.slice(ws, F.lit(2), length),
-            lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
-        )
-
-    return let(word_list, pairs)
-
-
 def truncate(text: Column, limit: int = 40) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(
         F.concat(F.substring(text, 1, limit), F.lit("..."))

@@ -63,13 +63,12 @@ def word_table(lexicon: DataFrame, weights: DataFrame) -> DataFrame:
 NEGATOR, AMPLIFIER, SOFTENER = 1, 100, 10_000
 
 
-def shifted_words(word_list: Column, shifters: Shifters) -> Column:
-    """Words with the marks of the shifters near them, as ``array<struct<word,near>>``.
+# A word list up to this many words is broadcast.
+BROADCAST_WORDS = 200_000
 
-    ``near`` is the sum of the marks of the five words before and the two
-    after. Marks are made once per word and read by position from a list with
-    blank ends, all within the row: no window, no shuffle.
-    """
+
+def shifter_marks(word_list: Column, shifters: Shifters) -> Column:
+    """One mark per word, 0 for no shifter, with blank places at both ends."""
 
     def mark(w: Column) -> Column:
         return (
@@ -82,17 +81,13 @@ def shifted_words(word_list: Column, shifters: Shifters) -> Column:
     def blank(places: int) -> Column:
         return F.array(*[F.lit(0)] * places)
 
-    def near(marks: Column, at: Column) -> Column:
-        others = [p for p in range(WORDS_BEFORE + 1 + WORDS_AFTER) if p != WORDS_BEFORE]
-        return reduce(Column.__add__, [F.get(marks, at + p) for p in others])
+    return F.concat(blank(WORDS_BEFORE), F.transform(word_list, mark), blank(WORDS_AFTER))
 
-    def with_marks(ws: Column) -> Column:
-        return text.let(
-            F.concat(blank(WORDS_BEFORE), F.transform(ws, mark), blank(WORDS_AFTER)),
-            lambda marks: F.transform(ws, lambda w, i: F.struct(w.alias("word"), near(marks, i).alias("near"))),
-        )
 
-    return text.let(word_list, with_marks)
+def marks_near(marks: Column, at: Column) -> Column:
+    """Sum of the marks of the five words before and the two after position ``at``."""
+    others = [p for p in range(WORDS_BEFORE + 1 + WORDS_AFTER) if p != WORDS_BEFORE]
+    return reduce(Column.__add__, [F.get(marks, at + p) for p in others])
 
 
 def contribution(units: Column, near: Column) -> Column:
@@ -116,11 +111,24 @@ def hybrid_polarity(
     aggregate sends one narrow row per document through the only shuffle; the
     text itself is never shuffled. The left join keeps documents without a hit
     at score 0, which makes a join back to the documents needless.
+
+    With a broadcast list, explode, join and partial aggregate compile into
+    one loop: the marks of a document stay where they are and are looked at
+    only around words that carry a weight. A longer list is joined by a
+    shuffle, so each word then takes the sum of the marks near it along.
     """
-    word_list = text.words(F.col("cleaned_text"))
-    marked = cleaned.select(key, F.explode(shifted_words(word_list, shifters)).alias("t"))
-    scored = marked.select(key, "t.word", "t.near").join(word_table(lexicon, weights), "word", "left")
-    shifted = contribution(F.col("units"), F.col("near"))
+    table = word_table(lexicon, weights)
+    word_list = text.split_words(F.col("cleaned_text"))
+    marked = cleaned.filter(F.col("cleaned_text") != "").withColumn("marks", shifter_marks(word_list, shifters))
+    if table.count() <= BROADCAST_WORDS:
+        words = marked.select(key, "marks", F.posexplode(word_list).alias("pos", "word"))
+        scored = words.join(F.broadcast(table), "word", "left").withColumn("near", marks_near(F.col("marks"), F.col("pos")))
+    else:
+        pairs = F.transform(word_list, lambda w, i: F.struct(w.alias("word"), marks_near(F.col("marks"), i).alias("near")))
+        words = marked.select(key, F.explode(pairs).alias("t")).select(key, "t.word", "t.near")
+        scored = words.join(table, "word", "left")
+    weighs = F.coalesce(F.col("units"), F.lit(0)) != 0
+    shifted = F.when(weighs, contribution(F.col("units"), F.col("near")))
     sums = scored.groupBy(key).agg(
         F.count(F.lit(1)).alias("word_count"),
         F.coalesce(F.sum("positive"), F.lit(0)).alias("positive"),

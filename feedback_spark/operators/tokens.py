@@ -9,18 +9,27 @@ from feedback_spark.functions import stems, text
 
 def tokens(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, pos, word), one row per word of ``cleaned_text``."""
-    return cleaned.select(key, F.posexplode(text.words(F.col("cleaned_text"))).alias("pos", "word"))
+    held = cleaned.filter(F.col("cleaned_text") != "")
+    return held.select(key, F.posexplode(text.split_words(F.col("cleaned_text"))).alias("pos", "word"))
 
 
 def words_only(cleaned: DataFrame) -> DataFrame:
     """(word), for counts that need no document key."""
-    return cleaned.select(F.explode(text.words(F.col("cleaned_text"))).alias("word"))
+    held = cleaned.filter(F.col("cleaned_text") != "")
+    return held.select(F.explode(text.split_words(F.col("cleaned_text"))).alias("word"))
 
 
 def bigrams(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, w1, w2); a document of one word gives none. Needs no shuffle."""
-    pairs = text.bigrams(text.words(F.col("cleaned_text")))
-    return cleaned.select(key, F.explode(pairs).alias("pair")).select(key, "pair.w1", "pair.w2")
+    """(key, w1, w2); a document of one word gives none.
+
+    Needs no shuffle: the second word is read from the word list of the row,
+    which passes through the compiled explode without being copied.
+    """
+    word_list = text.split_words(F.col("cleaned_text"))
+    held = cleaned.filter(F.col("cleaned_text") != "")
+    # A column of its own: named in the select it would be split again for every word.
+    placed = held.withColumn("ws", word_list).select(key, "ws", F.posexplode(word_list).alias("pos", "w1"))
+    return placed.select(key, "w1", F.get("ws", F.col("pos") + 1).alias("w2")).filter(F.col("w2").isNotNull())
 
 
 def long_enough(word: Column) -> Column:

@@ -83,6 +83,13 @@ def test_scores_against_a_plain_loop(cleaned, lists):
         assert got[i].valence_score == pytest.approx(total / math.sqrt(len(ws)), abs=1e-9)
 
 
+def test_a_long_word_list_gives_the_same_scores(cleaned, lists, monkeypatch):
+    docs = cleaned("very good and not bad", "plain", "not slightly great x y z w bad")
+    short = scored(docs, lists)
+    monkeypatch.setattr(polarity, "BROADCAST_WORDS", 0)
+    assert scored(docs, lists) == short
+
+
 def test_only_positive_hits_still_has_both_columns(cleaned, lists):
     counts = polarity.lexicon_counts(tokens.tokens(cleaned("good great", "good")), lists.polarity)
     wide = polarity.lexicon_pivot(counts)
@@ -161,6 +168,11 @@ def test_top_words_and_pairs(cleaned, lists):
     assert [(r.bigram, r.n) for r in pairs.collect()] == [("big cat", 2), ("big dog", 1), ("cat cat", 1)]
 
 
+def test_one_word_gives_no_pair(cleaned):
+    got = tokens.bigrams(cleaned("one", "one two three", "!")).collect()
+    assert sorted((r.doc_id, r.w1, r.w2) for r in got) == [(1, "one", "two"), (1, "two", "three")]
+
+
 def test_keyword_sides(frame):
     texts = frame(
         "row_index long, text string, polarity string",

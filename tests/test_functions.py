@@ -30,7 +30,6 @@ def test_clean_text(texts):
 def test_words_and_pairs(texts):
     df = texts("one", "one two three", "")
     assert values(df, text.words(F.col("t"))) == [["one"], ["one", "two", "three"], []]
-    assert values(df, text.bigrams(text.words(F.col("t")))) == [[], [("one", "two"), ("two", "three")], []]
     assert values(texts("a  b\tc", " ", ""), text.word_count(F.col("t"))) == [3, 0, 0]
     assert values(texts("a b c", "a"), text.cleaned_word_count(F.col("t"))) == [3, 1]
 
