@@ -58,6 +58,18 @@ def test_cleaning_is_worked_out_once(cleaned):
     assert plan(cleaned.select("doc_id", "cleaned_text")).count("https?") == 1
 
 
+def test_words_are_split_outside_the_loop_over_words(spark, cleaned):
+    """Once for the explode and once for the list beside it, never for each word."""
+    lists = base.lexicons(spark)
+    for df in (
+        tokens.bigrams(cleaned),
+        polarity.hybrid_polarity(cleaned, lists.polarity, lists.weights, lists.shifters),
+    ):
+        shown = plan(df)
+        above_explode, below_explode = shown[: shown.index("Generate posexplode")], shown[shown.index("Generate posexplode"):]
+        assert "split(" not in above_explode and below_explode.count("split(") == 2
+
+
 def test_stems_are_worked_out_once_per_distinct_word(cleaned):
     shown = plan(tokens.stemmed(tokens.tokens(cleaned)))
     stems, distinct = shown.index("biliti"), shown.index("HashAggregate(keys=[word")
