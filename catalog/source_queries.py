@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from catalog import base
 from catalog.base import query
 from feedback_spark.functions import shares
-from feedback_spark.operators import entries as rows_of, polarity
+from feedback_spark.operators import entries as rows_of, polarity, tokens
 from feedback_spark.session import shared_path
 from feedback_spark.sources import csv_files, json_documents as json_source, lexicons, row_keys, store
 
@@ -132,7 +132,6 @@ def preview_rows(spark, sf):
     FROM tok GROUP BY doc_id""")
 def guess_columns(spark, sf):
     """The words of each document taken as the column names of a data set."""
-    from feedback_spark.operators import tokens
     names = tokens.tokens(base.cleaned(spark, sf)).withColumnRenamed("word", "name")
     return csv_files.guess_columns(names, "doc_id")
 
@@ -169,7 +168,6 @@ def json_normalise(spark, sf):
 @query("lexicon_profile")
 def lexicon_profile(spark, sf):
     """A word list as large as the vocabulary: words of labelled documents by their label."""
-    from feedback_spark.operators import tokens
     path = shared_path(spark, "lexicon")
     labels = base.table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment"))
     tokens.tokens(base.cleaned(spark, sf)).join(labels, "doc_id").select("word", "sentiment").write.parquet(path)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from catalog import base
 from catalog.base import query
 from feedback_spark.functions import labels, text
+from feedback_spark.functions.numbers import round_half_even
 from feedback_spark.operators import cleaning, emotions, entries, keywords, polarity, tokens, topics
+from feedback_spark.plans import insights
 
 
 def _words(spark, sf):
@@ -111,14 +113,12 @@ def bing_score(spark, sf):
 
 @query("valence_score", f"SELECT doc_id, {base.half_even('valence_score', 9)} AS valence_score FROM valence")
 def valence_score(spark, sf):
-    from feedback_spark.functions.numbers import round_half_even
     return _scored(spark, sf).select("doc_id", round_half_even(F.col("valence_score"), 9).alias("valence_score"))
 
 
 @query("hybrid_polarity", f"""SELECT doc_id, word_count, positive, negative,
     {base.half_even('polarity_score', 9)} AS polarity_score, polarity_class FROM scored""")
 def hybrid_polarity(spark, sf):
-    from feedback_spark.functions.numbers import round_half_even
     score = round_half_even(F.col("polarity_score"), 9).alias("polarity_score")
     return _scored(spark, sf).select("doc_id", "word_count", "positive", "negative", score, "polarity_class")
 
@@ -234,8 +234,7 @@ def keyword_relative(spark, sf):
         WHEN 'surprise' THEN 'Surprise' WHEN 'fear' THEN 'Fear' WHEN 'disgust' THEN 'Disgust' ELSE emotion END
     FROM (SELECT emotion FROM emodist ORDER BY share DESC, emotion LIMIT 1)""")
 def leading_terms(spark, sf):
-    from feedback_spark.plans.insights import leading_emotion
-    lead = leading_emotion(emotion_distribution(spark, sf)).select(F.lit("emotion").alias("kind"), F.col("emotion").alias("lead"))
+    lead = insights.leading_emotion(emotion_distribution(spark, sf)).select(F.lit("emotion").alias("kind"), F.col("emotion").alias("lead"))
     words = keywords.leading_keywords(keyword_scores(spark, sf)).select(F.col("side").alias("kind"), F.col("word").alias("lead"))
     return words.unionByName(lead)
 
@@ -245,9 +244,8 @@ def leading_terms(spark, sf):
     UNION ALL SELECT 'word_cloud', count(*) FROM topw
     UNION ALL SELECT 'emotions', count(*) FROM emodist""")
 def result_presence(spark, sf):
-    from feedback_spark.plans.insights import result_presence
     scores = keyword_scores(spark, sf)
-    return result_presence(
+    return insights.result_presence(
         keywords_positive=scores.filter("side = 'positive'"), keywords_negative=scores.filter("side = 'negative'"),
         word_cloud=top_words(spark, sf), emotions=emotion_distribution(spark, sf),
     )
