@@ -34,16 +34,16 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def with_columns(
-    df: DataFrame, inputs: list[str], added: str, work: Callable[[pa.RecordBatch], dict[str, pa.Array]]
+    df: DataFrame, inputs: list[str], added: str, work: Callable[[pa.RecordBatch], dict[str, pa.Array]], drop: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``df`` with the columns that ``work`` makes of each Arrow batch.
+    """``df`` with the columns that ``work`` makes of each Arrow batch, less those in ``drop``.
 
     All other columns pass through untouched. A column of ``df`` that has the
     name of an added one is replaced.
     """
     extra = T._parse_datatype_string(added)
     kept = [c for c in df.columns if c not in extra.fieldNames() or c in inputs]
-    out = [f for f in df.select(*kept).schema if f.name not in extra.fieldNames()] + list(extra)
+    out = [f for f in df.select(*kept).schema if f.name not in extra.fieldNames() and f.name not in drop] + list(extra)
     names = [f.name for f in out]
 
     def run(batches: Batches) -> Batches:

@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedback_spark.llm import huffman_files, merge_tree
+from feedback_spark.llm import host_rules, huffman_files, merge_tree, piece_counts
 from feedback_spark.llm.frames import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,6 +33,49 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return host_rules.judge(docs, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+SQL["op5_host_rules"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT row, unnest(words) AS a, unnest(range(len(words))) AS i FROM d),
+g AS (SELECT row, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS e, lead(a, 4) OVER o AS f
+      FROM w WINDOW o AS (PARTITION BY row ORDER BY i)),
+r AS (SELECT row, i, count(*) OVER (PARTITION BY row, a, b, c, e, f) AS times FROM g WHERE f IS NOT NULL),
+p AS (SELECT row, count(DISTINCT i + k) AS n FROM r, range(5) AS t(k) WHERE times > 1 GROUP BY row),
+l AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l
+      WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY row),
+c AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM d LEFT JOIN m USING (row) LEFT JOIN p USING (row)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS failed FROM b),
+h AS (SELECT source, count(*) AS n, sum(failed::INT)::BIGINT AS k FROM f GROUP BY source),
+s AS (SELECT sum(n) AS docs, sum(k) / sum(n) AS mean, count(*) AS hosts, sum(k * k / n) / sum(n) AS squares FROM h),
+v AS (SELECT mean, mean * (1 - mean) AS spread, squares - mean * mean - hosts * mean * (1 - mean) / docs AS between_hosts FROM s),
+q AS (SELECT mean, least(greatest(CASE WHEN between_hosts > 0 THEN spread / between_hosts - 1 ELSE 1e6 END, 1), 1e6) AS weight FROM v),
+z AS (SELECT source, (k + mean * weight) / (n + weight) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept
+FROM f JOIN z ON f.source IS NOT DISTINCT FROM z.source"""
+
+
+@query
+def op6_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counted = piece_counts.token_counts(docs, public_tokenizers.path(PIECE_VOCABULARY))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 @query
 def op7_merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_VOCABULARY)
