@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedback_spark.llm import host_rules, huffman_files, merge_tree, piece_counts
+from feedback_spark.llm import host_rules, huffman_files, merge_tree, ngram_join, piece_counts
 from feedback_spark.llm.frames import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,24 @@ def op7_merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+SQL["op9_ngram_join"] = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, unnest(range(len(w))) AS i FROM t),
+g AS (SELECT doc_id, n, i, concat_ws(' ', a, lead(a) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS s
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, s FROM g WHERE i = 0 OR i <= n - 5),
+z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 10 * c >= 8 * (x.size + y.size - c)),
+r(root, doc_id) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.doc_id),
+k AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN l USING (doc_id)"""
