@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedback_spark.llm import host_rules, huffman_files, merge_tree, ngram_join, piece_counts
+from feedback_spark.llm import host_rules, huffman_files, merge_tree, ngram_join, piece_counts, toxicity
 from feedback_spark.llm.frames import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,11 @@ r(root, doc_id) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.root, e.b FROM r
 k AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
 l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN l USING (doc_id)"""
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep_text=False)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
