@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedback_spark.llm import host_rules, huffman_files, merge_tree, ngram_join, piece_counts, toxicity
+from feedback_spark.llm import bin_packing, host_rules, huffman_files, leak_search, merge_tree, ngram_join, piece_counts, toxicity
 from feedback_spark.llm.frames import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep_text=False)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bin_packing.shards(table(spark, sf_dir, "documents"), 16)
+    return packed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op8_leak_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_search.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
