@@ -13,6 +13,8 @@ from feedback_spark.session import durable
 # Fixed value: white space of the word rule, space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+SLICE_ROWS = 512
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -47,10 +49,13 @@ def with_columns(
     names = [f.name for f in out]
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            made = work(batch)
-            arrays = [made[n] if n in made else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            # Small slices bound what a task holds at a time, whatever size of batch Spark sends.
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                made = work(batch)
+                arrays = [made[n] if n in made else batch.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.select(*kept).mapInArrow(run, T.StructType(out))
 

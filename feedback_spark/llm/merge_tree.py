@@ -28,7 +28,7 @@ from feedback_spark.llm.word_pieces import Vocabulary
 
 NONE = np.int64(2**62)
 # Words kept between batches of a task; when full the store starts anew. It bounds memory, not the work's scope.
-MOST_KEPT = 600_000
+MOST_KEPT = 300_000
 
 
 class MergeTree:
