@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedback_spark.llm import bin_packing, host_rules, huffman_files, leak_search, merge_tree, ngram_join, piece_counts, toxicity
+from feedback_spark.llm import (
+    bin_packing, host_rules, html_blocks, huffman_files, leak_search, merge_tree, ngram_join, piece_counts, toxicity, transcripts,
+)
 from feedback_spark.llm.frames import importable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +120,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    extracted = html_blocks.extract(pages, keep_html=False)
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.parse(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op3_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = bin_packing.shards(table(spark, sf_dir, "documents"), 16)
