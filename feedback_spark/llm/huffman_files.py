@@ -297,7 +297,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     sizes = stored.select("part", F.aggregate("doc_sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return decoded.join(bases, "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    # One row of two numbers per part, and there are as many parts as there were tasks.
+    return decoded.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def round_trip(df: DataFrame, path: str, end_id: int = 2) -> DataFrame:
