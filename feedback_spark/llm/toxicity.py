@@ -153,6 +153,8 @@ def build_automaton(words: list[str], beginnings: list[str], ignored: frozenset[
                     put(child, edits + 1)
         return closed(after)
 
+    if not roots:
+        return Automaton(np.zeros((2, 1), np.int64), np.full(2, -1, np.int64), classes, ignored)
     first = closed({root: 0 for root in roots.values()})
     number, todo, rows = {(): 0, first: 1}, [first], {0: [0] * (len(letters) + 1)}
     while todo:
