@@ -80,7 +80,7 @@ LABEL = """CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'neg' ELSE ' N
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", *(columns or ("text",))), "doc_id")
+    return spread(table(spark, sf, "documents").select("doc_id", *(columns or ("text",))))
 
 
 def feedback(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +132,7 @@ ASPECT_2 = (
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "events"), "event_id").selectExpr("*", f"{CENTS['spark']} AS cents")
+    return spread(table(spark, sf, "events")).selectExpr("*", f"{CENTS['spark']} AS cents")
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +226,7 @@ def strip_sql(value: str) -> str:
 
 
 def clean_sql(value: str) -> str:
-    text = f"regexp_replace(lower({value}), 'https?://[^\\s]+|www\\.[^\\s]+', ' ', 'g')"
+    text = f"regexp_replace(lower({value}), 'https?://[^\\s\\p{{Z}}]+|www\\.[^\\s\\p{{Z}}]+', ' ', 'g')"
     text = f"regexp_replace({text}, '<[^>]+>', ' ', 'g')"
     text = f"regexp_replace({text}, '[^a-z0-9 ]', ' ', 'g')"
     return f"trim(regexp_replace({text}, ' +', ' ', 'g'))"
@@ -310,8 +310,8 @@ CTES = {
         FROM tok WINDOW before AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
         later AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)""",
     "valence": """SELECT m.doc_id, count(*) AS word_count,
-        CAST(coalesce(sum(CAST(round_even(weight * 1000, 0) AS BIGINT) * CASE WHEN flips % 2 = 1 THEN -1 ELSE 1 END
-            * greatest(0, 10 + 8 * scale)), 0) AS DOUBLE) / 10000.0 / sqrt(count(*)) AS valence_score
+        CAST(coalesce(sum(CAST(round_even(weight * 1000000000, 0) AS BIGINT) * CASE WHEN flips % 2 = 1 THEN -1 ELSE 1 END
+            * greatest(0, 10 + 8 * scale)), 0) AS DOUBLE) / 10000000000.0 / sqrt(count(*)) AS valence_score
         FROM marked m LEFT JOIN weights w ON m.word = w.word GROUP BY m.doc_id""",
     "scored": f"""SELECT *, {level_sql('polarity_score')} AS polarity_class FROM (
         SELECT *, 0.65::DOUBLE * valence_score + 0.35::DOUBLE * bing_score AS polarity_score FROM (

@@ -243,7 +243,8 @@ def confidence_table(spark, sf):
     return rows_of.confidence_table(base.entries(spark, sf))
 
 
-@query("confidence_stats", f"""SELECT CAST(floor({base.half_up('(avg(polarity_confidence) * 100)', 6)} + 0.5) AS BIGINT) AS avg_confidence_pct,
+@query("confidence_stats", f"""SELECT
+    CAST((sum(CAST(round_even(polarity_confidence * 10000, 0) AS BIGINT)) + count(*) * 50) // (count(*) * 100) AS BIGINT) AS avg_confidence_pct,
     count(*) FILTER (polarity_confidence < 0.6) AS low_count FROM entries""")
 def confidence_stats(spark, sf):
     return rows_of.confidence_stats(base.entries(spark, sf))
@@ -269,8 +270,8 @@ def exploded_aspects(spark, sf):
 
 @query("aspect_table", f"""SELECT term, mentions, {base.percent_sql('pos', 'mentions')} AS positive_pct,
     {base.percent_sql('(mentions - pos - neg)', 'mentions')} AS neutral_pct, {base.percent_sql('neg', 'mentions')} AS negative_pct,
-    CAST(floor({base.half_up('((mean + 1) / 2 * 100)', 6)} + 0.5) AS BIGINT) AS score_pct FROM (
-    SELECT term, count(*) AS mentions, avg(score) AS mean, count(*) FILTER (lower(sentiment) LIKE '%positive%') AS pos,
+    CAST((total * 50 + mentions * 50500) // (mentions * 1000) AS BIGINT) AS score_pct FROM (
+    SELECT term, count(*) AS mentions, sum(CAST(round(score * 1000) AS BIGINT)) AS total, count(*) FILTER (lower(sentiment) LIKE '%positive%') AS pos,
         count(*) FILTER (lower(sentiment) LIKE '%negative%' AND lower(sentiment) NOT LIKE '%positive%') AS neg
     FROM aspects GROUP BY term)""")
 def aspect_table(spark, sf):

@@ -12,8 +12,7 @@ from feedback_spark.plans import assemble as plan, corpus, insights
 
 
 def _fitted(spark, sf):
-    words = tokens.topic_tokens(base.cleaned(spark, sf), base.lexicons(spark).stops)
-    return topics.fit_topics(words, iterations=5)
+    return topics.fit_topics(tokens.topic_terms(base.cleaned(spark, sf), base.lexicons(spark).stops))
 
 
 @query("lda_topics")
@@ -26,6 +25,19 @@ def document_topics(spark, sf):
     return topics.dominant_topics(_fitted(spark, sf)).select("doc_id", "topic", "weight")
 
 
+@query("document_topic_facts", """SELECT doc_id, 3 AS topics, 1.0::DOUBLE AS weight_sum, true AS leads FROM (
+    SELECT DISTINCT doc_id FROM tok WHERE length(word) > 2 AND NOT regexp_matches(word, '^[0-9]+$') AND word NOT IN (SELECT word FROM stops))""")
+def document_topic_facts(spark, sf):
+    """What holds of every document with a word for topics: all topics once, weights of sum 1, the heaviest named."""
+    weights = F.transform("topics", lambda t: t["weight"])
+    total = F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6)
+    leads = (F.array_max(weights) == F.col("weight")) & (F.get(weights, F.col("topic") - 1) == F.col("weight"))
+    return topics.dominant_topics(_fitted(spark, sf)).select(
+        "doc_id", F.size(F.array_distinct(F.transform("topics", lambda t: t["topic_id"]))).alias("topics"),
+        total.alias("weight_sum"), leads.alias("leads"),
+    )
+
+
 @query("topic_profile")
 def topic_profile(spark, sf):
     polarities = base.document_entries(spark, sf).select("doc_id", "polarity")
@@ -36,15 +48,13 @@ def topic_profile(spark, sf):
 def model_scores(spark, sf):
     """A classifier trained on the labelled documents, applied to all of them."""
     rows = base.feedback(spark, sf).withColumn("class", labels.normalise_label(F.col("label"), F.lit(True)))
-    model = scoring.train_classifier(rows.filter("label IS NOT NULL"), "text", "class", iterations=5)
+    model = scoring.train_classifier(rows.filter("label IS NOT NULL"), "text", "class")
     return scoring.predictions(scoring.score_texts(rows, model, "text", "doc_id"), "doc_id")
 
 
 def _corpus(spark, sf, with_topics):
     docs = cleaning.build_documents(base.documents(spark, sf), "text", key="doc_id")
-    return corpus.corpus_analysis(
-        docs, base.lexicons(spark), key="doc_id", with_topics=with_topics, topic_options={"iterations": 5}
-    )
+    return corpus.corpus_analysis(docs, base.lexicons(spark), key="doc_id", with_topics=with_topics)
 
 
 def _rows(spark, sf):

@@ -109,5 +109,5 @@ def badge_group(polarity: Column) -> Column:
 
 
 def intent_label(intent: Column) -> Column:
-    capital = F.concat(F.upper(F.substring(intent, 1, 1)), F.substring(intent, 2, 1_000_000))
+    capital = F.concat(F.upper(F.substring(intent, 1, 1)), F.substr(intent, F.lit(2)))
     return F.when(intent == "statement", "General").otherwise(capital)

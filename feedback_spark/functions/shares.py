@@ -38,13 +38,19 @@ def dominant(shares: Column) -> Column:
     return F.coalesce(F.get(_ranked(shares), F.lit(0))["key"], F.lit(""))
 
 
+def plain_number(value: Column) -> Column:
+    """A double in plain digits, never with an exponent: 0.0005, 0.25, 1.0."""
+    digits = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), "0+$", "")
+    return F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+
 def shares_text(shares: Column) -> Column:
     """``name=share; name=share`` from the largest share down."""
     return F.coalesce(
         F.array_join(
             F.transform(
                 _ranked(shares),
-                lambda e: F.concat(e["key"], F.lit("="), (-e["rank"]).cast("string")),
+                lambda e: F.concat(e["key"], F.lit("="), plain_number(-e["rank"])),
             ),
             "; ",
         ),
@@ -56,17 +62,33 @@ def total(shares: Column) -> Column:
     return F.aggregate(F.map_values(shares), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
+# Fields that tell a bare record from a record of records.
+RECORD_FIELDS = ["word", "emotion", "topic", "class", "bigram"]
+
+
 def records(text: Column, fields: str) -> Column:
     """Records of a JSON text that is a list, one bare record, or a record of records.
 
     ``fields`` is the record schema, such as ``emotion string, pct double``.
-    The record-of-records reading goes first: the list reading also accepts a
-    bare record and would take one made of records for an empty record.
+    Elements of a list that are no records are left out, the others stay. A
+    record with one of the fields that mark one, or with a value that is no
+    record, is a bare record.
     """
-    nested = F.map_values(F.from_json(text, f"map<string,struct<{fields}>>"))
-    listed = F.from_json(text, f"array<struct<{fields}>>")
-    nothing = F.lit(None).cast(T.ArrayType(T.StructType.fromDDL(fields)))
-    usable = F.when(
-        (F.size(nested) > 0) & F.forall(nested, lambda r: r.isNotNull()), nested
-    ).otherwise(nothing)
-    return F.coalesce(usable, listed, F.from_json(F.lit("[]"), f"array<struct<{fields}>>"))
+    kind = T.StructType.fromDDL(fields)
+
+    def is_record(part: Column) -> Column:
+        return F.coalesce(F.startswith(F.ltrim(part), F.lit("{")), F.lit(False))
+
+    def parsed(parts: Column) -> Column:
+        return F.transform(parts, lambda p: F.from_json(p, kind))
+
+    listed = F.filter(F.from_json(text, "array<string>"), is_record)
+    held = F.from_json(text, "map<string,string>")
+    marked = F.exists(F.map_keys(held), lambda k: k.isin(RECORD_FIELDS))
+    values = F.map_values(held)
+    nested = ~marked & (F.size(values) > 0) & F.forall(values, is_record)
+    empty = F.array().cast(T.ArrayType(kind))
+    of_record = (
+        F.when(F.size(values) == 0, empty).when(nested, parsed(values)).otherwise(F.array(F.from_json(text, kind)))
+    )
+    return F.coalesce(F.when(is_record(text), of_record).otherwise(parsed(listed)), empty)

@@ -14,7 +14,7 @@ WHITE_SPACE = (
 )
 
 # What cleaning turns into a space.
-URL = r"https?://[^\s]+|www\.[^\s]+"
+URL = r"https?://[^\s\p{Z}]+|www\.[^\s\p{Z}]+"
 TAG = r"<[^>]+>"
 NOT_ASCII_WORD = r"[^a-z0-9]+"
 NOT_UNICODE_WORD = r"[^\p{L}\p{N}]+"

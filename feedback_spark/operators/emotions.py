@@ -51,12 +51,13 @@ def emotion_distribution(pct_table: DataFrame, renormalise: bool = False) -> Dat
     """(emotion, share) with names people use, left-out emotions gone.
 
     Shares stay relative to all emotions, so they need not add up to 1;
-    ``renormalise`` makes them do so.
+    ``renormalise`` makes them do so. Of two rows that get one name the smaller
+    share stays, the later one of a list from the largest down.
     """
     pct = number_or(F.col("pct"), 0.0)
     kept = pct_table.select(_kept_name(F.col("emotion")).alias("emotion"), pct.alias("pct")).filter(
         ~F.col("emotion").isin(DROPPED)
-    )
+    ).groupBy("emotion").agg(F.min("pct").alias("pct"))
     whole = F.sum("pct").over(Window.partitionBy()) if renormalise else F.lit(100.0)
     return kept.select("emotion", round_half_even(F.col("pct") / whole, 4).alias("share"))
 

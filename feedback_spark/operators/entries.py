@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedback_spark.functions import labels, shares, text
-from feedback_spark.functions.numbers import round_half_up, whole_percent
+from feedback_spark.functions.numbers import whole_percent
 from feedback_spark.operators.polarity import bucket_counts
 
 # Thresholds and page sizes.
@@ -147,9 +147,11 @@ def confidence_table(entries: DataFrame, text_column: str = "original_text", key
 
 def confidence_stats(entries: DataFrame) -> DataFrame:
     """Mean confidence in whole percent and number below the limit, over all entries."""
-    mean = F.coalesce(F.avg("polarity_confidence"), F.lit(0.0))
+    # Confidences have four digits. Their sum in whole ten-thousandths is exact, and the mean is rounded once.
+    parts = F.coalesce(F.sum(F.rint(F.col("polarity_confidence") * 10_000).cast("long")), F.lit(0))
+    rows = F.greatest(F.count("polarity_confidence"), F.lit(1))
     return entries.agg(
-        F.floor(round_half_up(mean * 100, 6) + 0.5).cast("long").alias("avg_confidence_pct"),
+        F.floor((parts + rows * 50) / (rows * 100)).cast("long").alias("avg_confidence_pct"),
         F.count_if(F.col("polarity_confidence") < LOW_CONFIDENCE).alias("low_count"),
     )
 
@@ -178,7 +180,7 @@ def aspect_table(entries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("mentions"),
         F.count_if(positive).alias("pos"),
         F.count_if(negative).alias("neg"),
-        F.avg("score").alias("mean"),
+        F.sum(F.col("score").cast("decimal(18,9)")).alias("total"),
     )
     mentions = F.col("mentions")
     return sums.select(
@@ -187,7 +189,8 @@ def aspect_table(entries: DataFrame) -> DataFrame:
         whole_percent(F.col("pos"), mentions).alias("positive_pct"),
         whole_percent(mentions - F.col("pos") - F.col("neg"), mentions).alias("neutral_pct"),
         whole_percent(F.col("neg"), mentions).alias("negative_pct"),
-        F.floor(round_half_up((F.col("mean") + 1) / 2 * 100, 6) + 0.5).cast("long").alias("score_pct"),
+        # Half of the mean plus one, in percent: rounded once, from an exact sum.
+        F.floor((F.col("total") * 50 / mentions + F.lit(50.5).cast("decimal(4,1)"))).cast("long").alias("score_pct"),
     ).orderBy(F.desc("score_pct"), "term")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedback_spark.functions.labels import polarity_group
@@ -61,22 +59,19 @@ def ranked_words(top: DataFrame, limit: int = KEYWORD_WORDS) -> DataFrame:
 def keyword_marks(
     texts: DataFrame, top: DataFrame, text_column: str = "text", limit: int = KEYWORD_WORDS
 ) -> DataFrame:
-    """``texts`` with ``ranked``, the leading words, and ``marks``, a bit per word the text holds.
+    """``texts`` with ``ranked``, the leading words, and ``marks``, a flag per word the text holds.
 
     A word counts wherever it stands, also inside a longer word. The words
     arrive as a scalar subquery of one bounded array, so texts are not joined
-    with words, and what a later join moves is one number in place of the text.
+    with words, and what a later join moves is a few flags in place of the text.
     """
-    if limit > 63:
-        raise ValueError("marks hold at most 63 words")
     low = F.lower(F.coalesce(F.col(text_column), F.lit("")))
     read = texts.withColumn("low", low).withColumn("ranked", ranked_words(top, limit).scalar())
 
-    def bit(i: int) -> Column:
-        held = F.contains("low", F.get("ranked", F.lit(i))["word"])
-        return F.when(held, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    def holds(i: int) -> Column:
+        return F.coalesce(F.contains("low", F.get("ranked", F.lit(i))["word"]), F.lit(False))
 
-    return read.withColumn("marks", reduce(Column.__add__, [bit(i) for i in range(limit)])).drop("low")
+    return read.withColumn("marks", F.array(*[holds(i) for i in range(limit)])).drop("low")
 
 
 def keyword_hits(marked: DataFrame, *, key: str = "row_index", limit: int = KEYWORD_WORDS) -> DataFrame:
@@ -89,7 +84,7 @@ def keyword_hits(marked: DataFrame, *, key: str = "row_index", limit: int = KEYW
     side = polarity_group(F.col("polarity"))
 
     def hits(of: str, i: int) -> Column:
-        return F.count_if((side == of) & (F.getbit("marks", F.lit(i)) == 1))
+        return F.count_if((side == of) & F.get("marks", F.lit(i)))
 
     counted = marked.agg(
         F.any_value("ranked").alias("ranked"),

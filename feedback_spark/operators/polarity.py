@@ -16,8 +16,8 @@ WORDS_AFTER = 2
 AMPLIFY = 0.8
 VALENCE_SHARE = 0.65
 LEXICON_SHARE = 0.35
-# Word weights are summed as whole thousandths, so no sum depends on row order.
-UNITS = 1000
+# Word weights are summed as whole billionths, so no sum depends on row order. A finer weight is an error.
+UNITS = 1_000_000_000
 
 
 def bing_hits(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -39,6 +39,14 @@ def bing_score(positive: Column, negative: Column) -> Column:
     return (positive - negative) / (positive + negative + 1)
 
 
+def whole_units(weight: Column) -> Column:
+    """A weight as a whole number of units; an error where it does not fit."""
+    scaled = weight * F.lit(float(UNITS))
+    fits = F.abs(scaled - F.rint(scaled)) <= 1e-5
+    wrong = F.raise_error(F.concat(F.lit("word weight finer than a billionth: "), weight.cast("string"))).cast("long")
+    return F.when(fits | weight.isNull(), F.rint(scaled).cast("long")).otherwise(wrong)
+
+
 def word_table(lexicon: DataFrame, weights: DataFrame) -> DataFrame:
     """(word, positive, negative, units), each word once, so a left join adds no rows."""
     zero = F.lit(0).cast("long")
@@ -50,7 +58,7 @@ def word_table(lexicon: DataFrame, weights: DataFrame) -> DataFrame:
     )
     weighted = weights.select(
         "word", zero.alias("positive"), zero.alias("negative"),
-        F.rint(F.col("weight") * UNITS).cast("long").alias("units"),
+        whole_units(F.col("weight")).alias("units"),
     )
     return (
         classes.unionAll(weighted)
@@ -63,10 +71,6 @@ def word_table(lexicon: DataFrame, weights: DataFrame) -> DataFrame:
 NEGATOR, AMPLIFIER, SOFTENER = 1, 100, 10_000
 
 
-# A word list up to this many words is broadcast.
-BROADCAST_WORDS = 200_000
-
-
 def shifter_marks(word_list: Column, shifters: Shifters) -> Column:
     """One mark per word, 0 for no shifter, with blank places at both ends."""
 
@@ -112,21 +116,16 @@ def hybrid_polarity(
     text itself is never shuffled. The left join keeps documents without a hit
     at score 0, which makes a join back to the documents needless.
 
-    With a broadcast list, explode, join and partial aggregate compile into
-    one loop: the marks of a document stay where they are and are looked at
-    only around words that carry a weight. A longer list is joined by a
-    shuffle, so each word then takes the sum of the marks near it along.
+    Each word takes the sum of the marks near it along. The list is joined
+    without a hint: Spark broadcasts it by its bytes, and then explode, join and
+    partial aggregate compile into one loop, or else joins by a shuffle.
     """
     table = word_table(lexicon, weights)
     word_list = text.split_words(F.col("cleaned_text"))
     marked = cleaned.filter(F.col("cleaned_text") != "").withColumn("marks", shifter_marks(word_list, shifters))
-    if table.count() <= BROADCAST_WORDS:
-        words = marked.select(key, "marks", F.posexplode(word_list).alias("pos", "word"))
-        scored = words.join(F.broadcast(table), "word", "left").withColumn("near", marks_near(F.col("marks"), F.col("pos")))
-    else:
-        pairs = F.transform(word_list, lambda w, i: F.struct(w.alias("word"), marks_near(F.col("marks"), i).alias("near")))
-        words = marked.select(key, F.explode(pairs).alias("t")).select(key, "t.word", "t.near")
-        scored = words.join(table, "word", "left")
+    placed = marked.select(key, "marks", F.posexplode(word_list).alias("pos", "word"))
+    words = placed.select(key, "word", marks_near(F.col("marks"), F.col("pos")).alias("near"))
+    scored = words.join(table, "word", "left")
     weighs = F.coalesce(F.col("units"), F.lit(0)) != 0
     shifted = F.when(weighs, contribution(F.col("units"), F.col("near")))
     sums = scored.groupBy(key).agg(
@@ -149,10 +148,11 @@ def hybrid_polarity(
 
 
 def corpus_summary(scored: DataFrame) -> DataFrame:
-    """Documents, mean words, share of positive and of negative documents."""
+    """Documents, mean words, share of positive and of negative documents; null figures for an empty corpus."""
 
     def percent(levels: list[str]) -> Column:
-        return round_half_even(F.lit(100.0) * F.count_if(F.col("polarity_class").isin(levels)) / F.count(F.lit(1)), 1)
+        held = F.count_if(F.col("polarity_class").isin(levels))
+        return round_half_even(F.try_divide(F.lit(100.0) * held, F.count(F.lit(1))), 1)
 
     return scored.agg(
         F.count(F.lit(1)).alias("documents"),

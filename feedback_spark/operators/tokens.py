@@ -42,6 +42,23 @@ def topic_tokens(cleaned: DataFrame, stops: DataFrame, key: str = "doc_id") -> D
     return kept.join(stops, "word", "left_anti").select(key, "pos", "word")
 
 
+def topic_terms(cleaned: DataFrame, stops: DataFrame, key: str = "doc_id", stem: bool = False) -> DataFrame:
+    """(key, terms): the words of ``topic_tokens`` as one sorted list per document, empty lists left out.
+
+    Words are tested inside the row, so no word is shuffled. The stop words arrive as
+    one array; a stop list is a closed class of function words.
+    """
+    listed = stops.agg(F.collect_set("word").alias("stops")).scalar()
+    kept = cleaned.filter(F.col("cleaned_text") != "").withColumn("_stops", F.coalesce(listed, F.array().cast("array<string>")))
+    numeric = "^[0-9]+$"
+    found = F.filter(
+        text.split_words(F.col("cleaned_text")),
+        lambda w: long_enough(w) & ~w.rlike(numeric) & ~F.array_contains("_stops", w),
+    )
+    terms = F.transform(found, stems.stem) if stem else found
+    return kept.select(key, F.explode(text.if_kept(F.sort_array(terms), lambda t: F.size(t) > 0)).alias("terms"))
+
+
 def stemmed(words: DataFrame) -> DataFrame:
     """``words`` with each word replaced by its stem.
 

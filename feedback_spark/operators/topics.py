@@ -6,14 +6,13 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedback_spark.functions.labels import polarity_group
 from feedback_spark.functions.numbers import whole_percent
 from feedback_spark.functions.text import title_case
-from feedback_spark.sources.lexicons import inline_table
 
 # Size of the model and of the reported lists.
 TOPICS = 3
@@ -21,85 +20,85 @@ TERMS = 8
 LABEL_TERMS = 3
 SEED = 1234
 ITERATIONS = 20
+# Words share this many hash buckets, so neither vectors nor model grow with the vocabulary.
+BUCKETS = 1 << 16
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """A fitted model; ``documents`` are the kept (key, features) rows it was fitted on."""
+    """A fitted model; ``documents`` are the kept (key, features) rows it was fitted on, ``lists`` their terms."""
 
     model: LDAModel
-    vectorizer: CountVectorizerModel
+    lists: DataFrame
     documents: DataFrame
+    used: list[str]
+    buckets: int
 
+    def release(self) -> None:
+        """Drop the kept vectors once the results have been used or stored."""
+        self.documents.unpersist()
 
-def term_lists(words: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, terms) with repeats, in word order so that runs agree."""
-    return words.groupBy(key).agg(F.sort_array(F.collect_list("word")).alias("terms"))
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("string")
 
 
 def fit_topics(
-    words: DataFrame,
+    lists: DataFrame,
     k: int = TOPICS,
     *,
     key: str = "doc_id",
-    min_df: float = 1.0,
-    max_vocabulary: int = 1 << 18,
+    buckets: int = BUCKETS,
     iterations: int = ITERATIONS,
     seed: int = SEED,
 ) -> TopicModel | None:
-    """Fit on (key, word) rows; None when fewer than two topics can be told apart.
+    """Fit on (key, terms) rows; None when fewer than two topics can be told apart.
 
-    Each iteration reads all documents, so nothing is sampled. The model keeps
-    one weight per topic and vocabulary word on the driver, so the vocabulary
-    is counted first and nothing is cut silently: beyond ``max_vocabulary``
-    the caller chooses a document frequency ``min_df``.
+    Each iteration reads all documents, so nothing is sampled. Terms are hashed
+    to ``buckets`` features: the driver holds the used buckets and one weight per
+    topic and bucket, whatever the vocabulary. Two words in one bucket count as
+    one word; the bucket goes by the name of the more frequent, then the first by name.
     """
-    lists = term_lists(words, key).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        documents = lists.count()
-        use = min(k, documents - 1)
-        if use < 2:
-            return None
-        vocabulary = _vocabulary_size(lists, min_df if min_df >= 1 else min_df * documents)
-        if vocabulary > max_vocabulary:
-            raise ValueError(f"{vocabulary} words exceed {max_vocabulary}; raise min_df or max_vocabulary")
-        vectorizer = CountVectorizer(
-            inputCol="terms", outputCol="features", vocabSize=max(vocabulary, 1), minDF=min_df, minTF=1.0
-        ).fit(lists)
-        vectors = vectorizer.transform(lists).select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
-        vectors.count()
-    finally:
-        lists.unpersist()
+    hashed = lists.select(key, F.transform("terms", lambda t: bucket_of(t, buckets)).alias("terms"))
+    used = [r.term for r in hashed.select(F.explode("terms").alias("term")).distinct().orderBy("term").collect()]
+    if not used:
+        return None
+    vectorizer = CountVectorizerModel.from_vocabulary(used, inputCol="terms", outputCol="features")
+    vectors = vectorizer.transform(hashed).select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    use = min(k, vectors.count() - 1)
+    if use < 2:
+        vectors.unpersist()
+        return None
     lda = LDA(k=use, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0)
-    return TopicModel(lda.fit(vectors), vectorizer, vectors)
+    return TopicModel(lda.fit(vectors), lists, vectors, used, buckets)
 
 
-def _vocabulary_size(lists: DataFrame, needed: float) -> int:
-    """Number of words that occur in at least ``needed`` documents."""
-    each = lists.select(F.explode(F.array_distinct("terms")).alias("word"))
-    if needed <= 1:
-        return each.distinct().count()
-    return each.groupBy("word").count().filter(F.col("count") >= needed).count()
+def bucket_names(lists: DataFrame, chosen: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, term) for the ``chosen`` buckets, from the counts of the words that fall into them."""
+    bucket = bucket_of(F.col("term"), buckets)
+    words = lists.select(F.explode("terms").alias("term")).filter(bucket.isin(chosen))
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
+    first = F.min(F.struct((-F.col("n")).alias("rank"), "term"))
+    return counted.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.term")
 
 
 def topic_beta(fitted: TopicModel, limit: int = TERMS) -> DataFrame:
     """(topic, term, beta) of the leading terms, ties at the last place kept.
 
-    The model is on the driver already. More terms than wanted are asked for,
-    and more again while the last one still ties with the last place.
+    The model is on the driver already. More buckets than wanted are asked
+    for, and more again while the last one still ties with the last place.
     """
-    terms = fitted.vectorizer.vocabulary
-    asked = min(4 * limit, len(terms))
+    asked = min(4 * limit, len(fitted.used))
     while True:
         rows = fitted.model.describeTopics(asked).collect()
-        if asked == len(terms) or all(r.termWeights[limit - 1] > r.termWeights[-1] for r in rows):
+        if asked == len(fitted.used) or all(r.termWeights[limit - 1] > r.termWeights[-1] for r in rows):
             break
-        asked = min(2 * asked, len(terms))
-    table = inline_table(
-        fitted.documents.sparkSession, "topic, term, beta",
-        [(r.topic + 1, terms[i], float(w)) for r in rows for i, w in zip(r.termIndices, r.termWeights)],
-    )
-    return top_terms_ties(table, limit)
+        asked = min(2 * asked, len(fitted.used))
+    found = [(r.topic + 1, fitted.used[i], float(w)) for r in rows for i, w in zip(r.termIndices, r.termWeights)]
+    # As many rows as there are leading buckets.
+    named = {r.bucket: r.term for r in bucket_names(fitted.lists, sorted({b for _, b, _ in found}), fitted.buckets).collect()}
+    rows = [(topic, named[bucket], beta) for topic, bucket, beta in found]
+    return top_terms_ties(fitted.documents.sparkSession.createDataFrame(rows, "topic int, term string, beta double"), limit)
 
 
 def top_terms_ties(table: DataFrame, limit: int = TERMS, group: str = "topic", weight: str = "beta") -> DataFrame:

@@ -43,19 +43,20 @@ def corpus_analysis(
 ) -> CorpusResult:
     """Analyse (key, raw_text, label) documents.
 
-    The cleaned texts, the narrow scores and the word counts feed several
-    parts and are kept; kept blocks lost with an executor are computed again.
+    Only narrow frames feed several parts and are kept: scores, word counts and
+    topic vectors. Texts are cleaned again where words are needed once more, which
+    is cheaper than keeping them. Kept blocks lost with an executor are computed again.
     """
-    cleaned = cleaning.clean_documents(documents).persist(StorageLevel.MEMORY_AND_DISK)
+    cleaned = cleaning.clean_documents(documents)
     scored = polarity.hybrid_polarity(
         cleaned, lexicons.polarity, lexicons.weights, lexicons.shifters, key
     ).persist(StorageLevel.MEMORY_AND_DISK)
     counts = keywords.word_counts(tokens.words_only(cleaned)).persist(StorageLevel.MEMORY_AND_DISK)
     fitted = None
     if with_topics:
-        words = tokens.topic_tokens(cleaned, lexicons.stops, key)
-        words = tokens.stemmed(words) if stem else words
-        fitted = topics.fit_topics(words, key=key, **(topic_options or {}))
+        stops = lexicons.stops if lexicons.topic_stops is None else lexicons.topic_stops
+        terms = tokens.topic_terms(cleaned, stops, key, stem)
+        fitted = topics.fit_topics(terms, key=key, **(topic_options or {}))
     return CorpusResult(
         cleaned=cleaned,
         scored=scored,
@@ -66,7 +67,7 @@ def corpus_analysis(
         emotions=emotions.emotion_shares(counts, lexicons.emotions),
         topic_terms=topics.topic_terms(topics.topic_beta(fitted)) if fitted else None,
         document_topics=topics.dominant_topics(fitted, key) if fitted else None,
-        kept=(cleaned, scored, counts) + ((fitted.documents,) if fitted else ()),
+        kept=(scored, counts) + ((fitted.documents,) if fitted else ()),
     )
 
 

@@ -55,13 +55,10 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle once when the input has fewer splits than the session has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a test table, one file of one row group, over the cores.
 
-    Token work is many times dearer than moving the text, so a single-file
-    input is worth spreading; a large input already has enough splits and is
-    left as it is. With ``keys`` the rows of a key meet, which later grouping
-    by that key makes use of.
+    Rows are dealt in turn and not by a key, so every later step is planned as it is
+    over an input of many splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

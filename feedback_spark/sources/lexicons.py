@@ -9,7 +9,7 @@ that limit is joined by a shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -58,17 +58,12 @@ class Shifters:
     """Words that turn or scale the weight of a neighbouring word.
 
     They are closed classes of function words, so they travel as literal sets
-    inside the expression; ``limit`` keeps that true.
+    inside the expression.
     """
 
     negators: tuple[str, ...]
     amplifiers: tuple[str, ...]
     softeners: tuple[str, ...]
-    limit: int = field(default=1000, repr=False)
-
-    def __post_init__(self) -> None:
-        if len(self.negators) + len(self.amplifiers) + len(self.softeners) > self.limit:
-            raise ValueError(f"more than {self.limit} shifters; use word weights instead")
 
 
 # Seed shifters. Cleaning cuts "don't" into "don t", hence the stubs.
@@ -146,6 +141,8 @@ class Lexicons:
     emotions: DataFrame
     stops: DataFrame
     shifters: Shifters = SEED_SHIFTERS
+    # Words left out of topics; the list for frequent words serves when there is none.
+    topic_stops: DataFrame | None = None
 
     @classmethod
     def seed(cls, spark: SparkSession) -> "Lexicons":

@@ -7,22 +7,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from feedback_spark.session import durable
 
 
-# One offset is a few bytes, so this many still broadcast easily.
-MOST_BROADCAST_PARTS = 500_000
-
-
 def _numbered(staged: DataFrame, name: str) -> DataFrame:
     """Number stored rows (…, part, pos) by ``part`` then ``pos``.
 
     Only the count of each part is brought together: as many rows as there
-    were partitions. Their number is looked up before the offsets are
-    broadcast; beyond the limit they are joined by a shuffle.
+    were partitions. They are joined without a hint, so Spark broadcasts them
+    by their bytes or joins by a shuffle.
     """
     sizes = staged.groupBy("part").agg(F.count(F.lit(1)).alias("size"), F.min("pos").alias("base"))
     before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", "base", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    if sizes.count() <= MOST_BROADCAST_PARTS:
-        offsets = F.broadcast(offsets)
     return (
         staged.join(offsets, "part")
         .withColumn(name, F.col("before") + F.col("pos") - F.col("base"))

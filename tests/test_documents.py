@@ -83,11 +83,31 @@ def test_scores_against_a_plain_loop(cleaned, lists):
         assert got[i].valence_score == pytest.approx(total / math.sqrt(len(ws)), abs=1e-9)
 
 
-def test_a_long_word_list_gives_the_same_scores(cleaned, lists, monkeypatch):
+def test_a_long_word_list_gives_the_same_scores(spark, cleaned, lists):
     docs = cleaned("very good and not bad", "plain", "not slightly great x y z w bad")
     short = scored(docs, lists)
-    monkeypatch.setattr(polarity, "BROADCAST_WORDS", 0)
-    assert scored(docs, lists) == short
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert scored(docs, lists) == short
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_fine_weights_count_and_finer_ones_are_an_error(spark, cleaned, lists):
+    def score(weight):
+        weights = spark.createDataFrame([("fine", weight)], "word string, weight double")
+        return polarity.hybrid_polarity(cleaned("fine fine"), lists.polarity, weights, lists.shifters).head().valence_score
+
+    assert score(0.0004) == pytest.approx(0.0008 / math.sqrt(2), abs=1e-15)
+    with pytest.raises(Exception, match="billionth"):
+        score(2e-10)
+
+
+def test_an_empty_corpus_has_a_summary(spark, cleaned, lists):
+    nothing = cleaned("x").limit(0)
+    made = polarity.corpus_summary(polarity.hybrid_polarity(nothing, lists.polarity, lists.weights, lists.shifters)).head()
+    assert tuple(made) == (0, None, None, None)
 
 
 def test_only_positive_hits_still_has_both_columns(cleaned, lists):

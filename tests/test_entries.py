@@ -146,7 +146,7 @@ def rows(frame):
 
 def test_topics_are_repeatable_and_need_two(rows, spark):
     docs = cleaning.clean_documents(cleaning.build_documents(rows, "comment"))
-    words = tokens.topic_tokens(docs, lexicons.stop_words(spark), "row_index")
+    words = tokens.topic_terms(docs, lexicons.stop_words(spark), "row_index")
     runs = []
     for _ in range(2):
         fitted = topics.fit_topics(words.coalesce(1), key="row_index", iterations=3)
@@ -156,8 +156,28 @@ def test_topics_are_repeatable_and_need_two(rows, spark):
         assert len(weights) == 6 and all(sum(t.weight for t in r.topics) == pytest.approx(1) for r in weights)
     assert runs[0] == runs[1]
     assert topics.fit_topics(words.filter("row_index < 2"), key="row_index") is None
-    with pytest.raises(ValueError, match="min_df"):
-        topics.fit_topics(words, key="row_index", max_vocabulary=3)
+
+
+def test_topics_of_a_vocabulary_larger_than_the_buckets(spark):
+    lists = spark.range(400).selectExpr(
+        "id AS doc_id", "concat(transform(sequence(id * 800, id * 800 + 799), x -> concat('w', x)), array_repeat(concat('lead', id % 2), 300)) AS terms"
+    )
+    fitted = topics.fit_topics(lists, k=2, iterations=2)
+    assert fitted.documents.count() == 400 and fitted.model.vocabSize() <= topics.BUCKETS
+    assert {"lead0", "lead1"} <= {r.term for r in topics.topic_beta(fitted).collect()}
+    fitted.release()
+
+
+def test_topic_terms_are_those_of_the_token_table(spark, frame):
+    docs = cleaning.clean_documents(frame("doc_id long, raw_text string, label string", (1, "The running cats 2024 and x1y ok", "pos"), (2, "an of", "pos")))
+    stops = lexicons.stop_words(spark)
+    table = {}
+    for r in tokens.topic_tokens(docs, stops).collect():
+        table.setdefault(r.doc_id, []).append(r.word)
+    assert {r.doc_id: r.terms for r in tokens.topic_terms(docs, stops).collect()} == {k: sorted(v) for k, v in table.items()}
+    assert tokens.topic_terms(docs, stops, stem=True).head().terms == ["cat", "run", "x1y"]
+    plan = tokens.topic_terms(docs, stops, stem=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan.split("Subquery")[0]
 
 
 def test_trained_scores(rows):

@@ -15,7 +15,6 @@ from feedback_spark.session import local_session, shared_path, spread
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not here")
-SLOW = {"lda_topics", "document_topics", "topic_profile", "run_analysis", "assemble", "assembled_entries", "model_scores"}
 
 
 def plan(df):
@@ -108,7 +107,7 @@ def test_every_statement_has_a_query():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_equals_sql(spark, name):
     got = contract.queries()[name](spark, SF).toPandas()
     assert len(got) or name == "entries_filter"
