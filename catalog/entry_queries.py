@@ -199,6 +199,16 @@ def entry_document(spark, sf):
     )
 
 
+@query("list_predictions", f"SELECT row_index, {_FIVE} AS polarity, {base.half_even('c', 4)} AS polarity_confidence FROM ({_prediction_sql()})")
+def list_predictions(spark, sf):
+    """Answers whose class and probabilities each come as a list of one."""
+    listed = base.raw_predictions(spark, sf).select(
+        "row_index", F.array("sentiment").alias("sentiment"),
+        F.transform_values("probabilities", lambda _, v: F.array(v)).alias("probabilities"),
+    )
+    return scoring.predictions(listed)
+
+
 @query("rows_predictions", f"""SELECT e.row_index, e.original_text, {_FIVE} AS polarity, {base.half_even('c', 4)} AS polarity_confidence
     FROM entries e JOIN ({_prediction_sql()}) p ON e.row_index = p.row_index""")
 def rows_predictions(spark, sf):

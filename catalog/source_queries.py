@@ -54,7 +54,7 @@ def _headerless(spark, sf):
 _TYPED = "CASE WHEN label IS NULL THEN 'neutral' WHEN label = 'mixed' THEN 'neg' ELSE label END"
 
 
-@query("headerless_detect")
+@query("headerless_detect", "SELECT * FROM (VALUES ('headed', false), ('headerless', true)) v(kind, headerless)")
 def headerless_detect(spark, sf):
     """The verdict for the file with and the file without a header, of the same rows."""
     headed = _csv(base.feedback(spark, sf).select(F.col("text").alias("raw_text"), "label"), shared_path(spark, "headed"))
@@ -72,16 +72,16 @@ def headerless_scan(spark, sf):
     return csv_files.read_csv(spark, _headerless(spark, sf))
 
 
-@query("detect_encoding")
+@query("detect_encoding", "SELECT * FROM (VALUES ('UTF-8', true), ('ISO-8859-1', true)) v(encoding, as_written)")
 def detect_encoding(spark, sf):
-    """Files of both encodings side by side: (encoding, files, as_written)."""
+    """Files of both encodings side by side: whether each was found out as written."""
     folder = shared_path(spark, "encodings")
     docs = base.documents(spark, sf)
     for encoding in ("UTF-8", "ISO-8859-1"):
         _csv(docs, f"{folder}/{encoding}", encoding=encoding)
     found = csv_files.detect_encodings(spark, [f"{folder}/UTF-8", f"{folder}/ISO-8859-1"])
     return found.groupBy("encoding").agg(
-        F.count(F.lit(1)).alias("files"), F.count_if(F.contains("file", "encoding")).alias("as_written")
+        F.bool_and(F.contains("file", "encoding")).alias("as_written")
     )
 
 
@@ -109,11 +109,15 @@ def row_index(spark, sf):
     return row_keys.row_index(base.table(spark, sf, "events"), "user_id", "event_id")
 
 
-@query("file_row_index")
+@query("file_row_index", """SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index,
+    CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn FROM conversations""")
 def file_row_index(spark, sf):
-    """Numbers of rows read from CSV files that carry no key."""
-    path = _csv(base.table(spark, sf, "conversations"), shared_path(spark, "talk"))
-    return row_keys.file_row_index(csv_files.read_csv(spark, path)).select("row_index", "conv_id", "turn")
+    """Numbers of rows read from several CSV files of unequal size that carry no key, written in a known order."""
+    talk = base.table(spark, sf, "conversations")
+    ordered = talk.repartitionByRange(4, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    path = _csv(ordered, shared_path(spark, "talk"))
+    rows = csv_files.read_csv(spark, path, keep_file=True)
+    return row_keys.file_row_index(rows).select("row_index", "conv_id", "turn")
 
 
 @query("dataset_profile", "SELECT 'documents' AS filename, count(*) AS row_count, 5::BIGINT AS n_columns FROM documents")
@@ -165,7 +169,8 @@ def json_normalise(spark, sf):
     return events.select("event_id", F.inline(parsed))
 
 
-@query("lexicon_profile")
+@query("lexicon_profile", """SELECT CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment, count(DISTINCT word) AS words
+    FROM tok t JOIN labels l ON t.doc_id = l.doc_id GROUP BY 1""")
 def lexicon_profile(spark, sf):
     """A word list as large as the vocabulary: words of labelled documents by their label."""
     path = shared_path(spark, "lexicon")
@@ -207,10 +212,10 @@ def upsert_aggregates(spark, sf):
     return spark.read.parquet(_stored_aggregates(spark, sf))
 
 
-@query("read_summary", "SELECT 'job-error' AS job_id, polarity, count(*) AS n FROM entries WHERE intent = 'complaint' GROUP BY polarity")
+@query("read_summary", "SELECT 'job-complaint' AS job_id, polarity, count(*) AS n FROM entries WHERE intent = 'complaint' GROUP BY polarity")
 def read_summary(spark, sf):
     path = _stored_aggregates(spark, sf)
-    return store.read_summary(spark, path, "job-complaint").withColumn("job_id", F.lit("job-error"))
+    return store.read_summary(spark, path, "job-complaint")
 
 
 @query("write_summary_json", f"""SELECT l.polarity, count(e.row_index) AS n FROM {base.LEVELS_SQL}

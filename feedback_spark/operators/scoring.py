@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from feedback_spark.functions import labels, text
 
@@ -20,8 +20,14 @@ CLASSES = ["positive", "neutral", "negative"]
 def predictions(raw: DataFrame, key: str = "row_index") -> DataFrame:
     """(key, polarity, polarity_confidence) from raw (key, sentiment, probabilities).
 
-    ``probabilities`` maps class to a number, or to text that may not be one.
+    ``probabilities`` maps class to a number, or to text that may not be one. A
+    class or a probability may come as a list, of which the first value counts.
     """
+    sentiment, probabilities = raw.schema["sentiment"].dataType, raw.schema["probabilities"].dataType
+    if isinstance(sentiment, T.ArrayType):
+        raw = raw.withColumn("sentiment", labels.first_of(F.col("sentiment")))
+    if isinstance(probabilities.valueType, T.ArrayType):
+        raw = raw.withColumn("probabilities", F.transform_values("probabilities", lambda _, v: labels.first_of(v)))
     confidence = labels.predicted_confidence(F.col("sentiment"), F.col("probabilities"))
     return raw.select(
         key,

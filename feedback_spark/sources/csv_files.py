@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from feedback_spark.functions.text import strip
+from feedback_spark.session import durable
 
 # First cells that mark a header, and second cells that mark data.
 HEADER_NAMES = ["raw_text", "text", "comment", "content", "review", "label", "id", "date", "timestamp"]
@@ -15,6 +16,7 @@ LABEL_VALUES = ["pos", "neg", "neutral", "positive", "negative"]
 HEADERLESS_SCHEMA = ["raw_text", "label"]
 # Where the reader puts a record whose cells do not match the columns.
 SHORT_RECORD = "_short_record"
+BOM = "\ufeff"
 TEXT_NAMES = "(?i)text|comment|review|body|content"
 DATE_NAMES = "(?i)date|time|created|timestamp"
 
@@ -25,10 +27,10 @@ class Layout:
     columns: list[str]
 
 
-def _reader(spark: SparkSession, encoding: str, header: bool):
+def _reader(spark: SparkSession, encoding: str, header: bool, multi_line: bool = True):
     return (
         spark.read.option("header", header)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", encoding)
@@ -81,6 +83,62 @@ def detect_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.groupBy("file").agg(encoding.alias("encoding"))
 
 
+def _cells(spark: SparkSession, path: str | list[str], width: int, multi_line: bool) -> DataFrame:
+    """(file, place, cells, short) of every record, cells as raw bytes in latin-1 characters.
+
+    ``place`` orders the records of a file: the start of the split, then the record's place in the scan. The
+    scan of the same files has the same splits each time.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"c{i}" for i in range(width)), SHORT_RECORD]])
+    reader = _reader(spark, "ISO-8859-1", False, multi_line).option("columnNameOfCorruptRecord", SHORT_RECORD)
+    return reader.schema(schema).csv(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"),
+        F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
+        F.col(SHORT_RECORD).alias("short"),
+    )
+
+
+def _as_utf8(cell: Column) -> Column:
+    return F.encode(cell, "ISO-8859-1").cast("string")
+
+
+def _decoded(cells: Column, utf8: Column) -> Column:
+    return F.transform(cells, lambda c: F.when(utf8, _as_utf8(c)).otherwise(c))
+
+
+def file_layouts(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> tuple[DataFrame, int]:
+    """((file, first, utf8, headed, names) of every file, most columns): encoding and header decided per file.
+
+    ``names`` are the trimmed column names, blank for a column without a name and for all but the last of a
+    repeated name. Files come and go by expression; their names never pass through the driver.
+    """
+    width = max(1, len(_reader(spark, "ISO-8859-1", False, multi_line).csv(path).columns))
+    valid = F.forall("cells", lambda c: c.isNull() | F.is_valid_utf8(_as_utf8(c)))
+    while True:
+        found = _cells(spark, path, width, multi_line).groupBy("file").agg(
+            F.min("place").alias("first"), F.bool_and(valid).alias("utf8"),
+            F.min_by(F.struct("cells", "short"), "place").alias("record"),
+        )
+        found = durable(found, "layouts")
+        # A wider first record in some file: its commas bound its cells.
+        more = found.agg(F.max(F.regexp_count(F.col("record.short"), F.lit(",")) + 1)).first()[0] or 0
+        if more <= width:
+            break
+        width = more
+    cells = _decoded(F.transform("record.cells", lambda c: F.coalesce(c, F.lit(""))), F.col("utf8"))
+    held = found.withColumn("cells", F.transform(cells, lambda c, i: F.when(i == 0, F.ltrim(c, F.lit(BOM))).otherwise(c)))
+    # Cells that the record does not have are no cells of it.
+    own = F.filter("cells", lambda c, i: F.get("record.cells", i).isNotNull() | F.col("record.short").isNull())
+    headless = looks_headerless(own)
+    names = F.transform("cells", lambda c: strip(c))
+    kept = F.transform(names, lambda c, i: F.when(F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), c), "").otherwise(c))
+    fixed = F.array(*[F.lit(c) for c in HEADERLESS_SCHEMA])
+    return held.select(
+        "file", "first", "utf8", (~headless).alias("headed"), F.when(headless, fixed).otherwise(kept).alias("names")
+    ), width
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -89,46 +147,63 @@ def read_csv(
     encoding: str = "auto",
     keep_file: bool = False,
     limit: int | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Trimmed string columns of the files, blank rows dropped.
 
-    Give ``layout`` and ``encoding`` for large inputs to spare the looks at the
-    files that find them out. ``limit`` is a plain row limit, off by default.
+    Encoding and header are decided for each file, so files of one folder may differ in both; columns meet
+    by name, and a file without a column has blanks there. Give ``layout`` and ``encoding`` when all files share
+    them, which spares the look at the files. ``multi_line=False`` lets files without line breaks inside quotes be
+    read in splits. ``keep_file`` adds ``source_file`` and ``source_place``, the record's order in it. ``limit`` is a
+    plain row limit, off by default.
     """
-    if encoding == "auto":
-        odd = [r.file for r in detect_encodings(spark, path).filter("encoding <> 'UTF-8'").select("file").collect()]
-        if odd:
-            return _mixed(spark, path, odd, layout, keep_file, limit)
-        encoding = "UTF-8"
-    layout = layout or detect_layout(spark, path, encoding)
+    if layout is not None and encoding != "auto":
+        rows = _read_alike(spark, path, layout, encoding, keep_file, multi_line)
+        return rows.limit(limit) if limit is not None else rows
+    found, width = file_layouts(spark, path, multi_line)
+    files = durable(found, "layouts")
+    if layout is not None:
+        given = F.array(*[F.lit(c) for c in layout.columns])
+        files = files.withColumn("headed", F.lit(layout.header)).withColumn("names", given)
+    if encoding != "auto":
+        files = files.withColumn("utf8", F.lit(encoding.upper().replace("-", "") == "UTF8"))
+    # One row per different header.
+    shapes = files.groupBy("names").agg(F.min("file").alias("file")).orderBy("file").collect()
+    if not shapes:
+        raise ValueError("CSV is empty")
+    columns = list(dict.fromkeys(c for shape in shapes for c in shape.names if c))
+    if not columns:
+        raise ValueError("CSV has no header row")
+    raw = _cells(spark, path, width, multi_line).join(files.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"))
+    first = F.col("place") == F.col("first")
+    # Without a header a record of a single cell is left out, unlike one whose second cell is blank.
+    single = ~F.col("headed") & F.get("cells", F.lit(1)).isNull() & F.col("short").isNotNull()
+    body = raw.filter(~(F.col("headed") & first) & ~single).withColumn("cells", _decoded(F.col("cells"), F.col("utf8")))
+    body = body.withColumn("cells", F.transform("cells", lambda c, i: F.when(first & (i == 0), F.ltrim(c, F.lit(BOM))).otherwise(c)))
+    picked = [
+        strip(F.coalesce(F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1), F.lit(""))).alias(c) for c in columns
+    ]
+    source = [F.col("file").alias("source_file"), F.col("place").alias("source_place")] if keep_file else []
+    rows = drop_blank_rows(body.select(*picked, *source), columns)
+    return rows.limit(limit) if limit is not None else rows
+
+
+def _read_alike(spark, path, layout: Layout, encoding: str, keep_file: bool, multi_line: bool) -> DataFrame:
+    """Files of one given layout and encoding, by position."""
     # Unnamed columns, and all but the last of a repeated name, get a name to be dropped by.
     kept = [c if c and c not in layout.columns[i + 1:] else "" for i, c in enumerate(layout.columns)]
     fields = [c or f"_unnamed{i}" for i, c in enumerate(kept)]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, SHORT_RECORD]])
-    # Columns go by position: the names were trimmed above, and the files share them.
-    reader = _reader(spark, encoding, layout.header).option("columnNameOfCorruptRecord", SHORT_RECORD)
+    reader = _reader(spark, encoding, layout.header, multi_line).option("columnNameOfCorruptRecord", SHORT_RECORD)
     raw = reader.schema(schema).csv(path)
     if not layout.header:
         # A record of a single cell is left out, unlike one whose second cell is blank.
-        raw = raw.filter(F.col("label").isNotNull() | F.col(SHORT_RECORD).isNull())
-    source = [F.col("_metadata.file_path").alias("source_file")] if keep_file else []
+        raw = raw.filter(F.col(fields[-1]).isNotNull() | F.col(SHORT_RECORD).isNull())
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    source = [F.col("_metadata.file_path").alias("source_file"), place.alias("source_place")] if keep_file else []
     named = [c for c in kept if c]
     cells = [strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in named]
-    rows = drop_blank_rows(raw.select(*cells, *source), named)
-    return rows.limit(limit) if limit is not None else rows
-
-
-def _mixed(spark, path, odd, layout, keep_file, limit) -> DataFrame:
-    """Both encodings of one data set: the odd files alone, all others together."""
-    every = [r.file for r in detect_encodings(spark, path).select("file").collect()]
-    parts = []
-    for files, encoding in (([f for f in every if f not in set(odd)], "UTF-8"), (odd, "ISO-8859-1")):
-        if files:
-            parts.append(read_csv(spark, files, layout=layout, encoding=encoding, keep_file=keep_file))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.limit(limit) if limit is not None else rows
+    return drop_blank_rows(raw.select(*cells, *source), named)
 
 
 def drop_blank_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

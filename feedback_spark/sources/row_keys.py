@@ -39,15 +39,15 @@ def row_index(df: DataFrame, *order_by: str, name: str = "row_index") -> DataFra
     return _numbered(staged, name)
 
 
-def file_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """All columns and the 0-based place in file order, for rows without a key.
+def file_row_index(df: DataFrame, name: str = "row_index", file: str = "source_file", place: str = "source_place") -> DataFrame:
+    """All other columns and the 0-based place in the order of files and of the records in them.
 
-    The scanned rows are stored once with their place in their partition, so
-    that counting and numbering see the same partitions; the store is columnar
-    and the count reads one column of it. One file keeps its line order.
+    For rows of ``read_csv`` with ``keep_file``. They are ranged by file and place, so a file of any size spreads,
+    and stored once with their place in their partition, so that counting and numbering see the same partitions; the
+    store is columnar and the count reads one column of it.
     """
+    ordered = df.repartitionByRange(file, place).sortWithinPartitions(file, place).drop(file, place)
     staged = durable(
-        df.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")),
-        "file_rows",
+        ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")), "file_rows"
     )
     return _numbered(staged, name)

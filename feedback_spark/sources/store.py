@@ -16,8 +16,13 @@ def read_entries(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("job_id") == job_id)
 
 
-def upsert_aggregates(aggregates: DataFrame, path: str) -> None:
-    """Replace the stored rows of exactly those jobs that ``aggregates`` holds."""
+def upsert_aggregates(aggregates: DataFrame, path: str, jobs: list[str] | None = None) -> None:
+    """Replace the stored rows of the jobs that ``aggregates`` holds, and of all in ``jobs``.
+
+    A job named in ``jobs`` that has no row left loses the rows it had.
+    """
+    for job in jobs or []:
+        _drop_job(aggregates.sparkSession, path, job)
     (
         aggregates.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -26,6 +31,14 @@ def upsert_aggregates(aggregates: DataFrame, path: str) -> None:
     )
 
 
+def _drop_job(spark: SparkSession, path: str, job: str) -> None:
+    """Remove the partition folder of a job from the store, wherever the store lies."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(job)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/job_id={name}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_summary(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     """The stored aggregates of one job."""
     return spark.read.parquet(path).filter(F.col("job_id") == job_id)
