@@ -50,12 +50,10 @@ class LibraryEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.vocabulary = v = Vocabulary(path)
-        # Pre-tokens arrive cut and lower-cased, so the library's own model runs behind a plain split.
+        # Pre-tokens arrive cut, lower-cased and in byte letters, so the library's own model runs behind a plain split.
         self.library = Tokenizer(Tokenizer.from_file(path).model)
-        self.library.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(" ", "removed"),
-            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-        ])
+        self.library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.byte_letters = str.maketrans({chr(b): letter for b, letter in enumerate(v.letters)})
         self.ends = np.array([s.endswith(v.suffix) for s in v.strings])
         self.kept: dict[str, bytes] = {}
 
@@ -63,7 +61,9 @@ class LibraryEncoder:
         made: dict[str, bytes] = {}
         for start in range(0, len(pieces), 1000):
             part = pieces[start : start + 1000]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<i4")
+            # Printable ASCII stands for itself.
+            letters = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte_letters) for p in part]
+            ids = np.array(self.library.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<i4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             made.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
