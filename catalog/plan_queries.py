@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from catalog import base
 from catalog.base import query
 from feedback_spark.functions import labels
-from feedback_spark.operators import cleaning, scoring, tokens, topics
-from feedback_spark.plans import assemble as plan, corpus, insights
+from feedback_spark.operators import cleaning, emotions, scoring, tokens, topics
+from feedback_spark.plans import assemble as plan, corpus, insights, job
+from feedback_spark.session import shared_path
 
 
 def _fitted(spark, sf):
@@ -101,3 +102,104 @@ def assemble_minimal(spark, sf):
 @query("insight_facts")
 def insight_facts(spark, sf):
     return insights.insight_facts(_assembled(spark, sf, with_topics=False))
+
+
+def _own_model(texts):
+    """A caller's model: class and probabilities from the length of a text."""
+    import pandas as pd
+
+    names = ["positive", "neutral", "negative"]
+    sizes = texts.fillna("").str.len()
+    return pd.DataFrame({
+        "sentiment": [names[n % 3] for n in sizes],
+        "probabilities": [{names[n % 3]: [(n % 101) / 100]} for n in sizes],
+    })
+
+
+@query("score_with", f"""SELECT doc_id, CASE WHEN k = 0 THEN CASE WHEN c >= 0.75 THEN 'Very Positive' ELSE 'Positive' END
+    WHEN k = 2 THEN CASE WHEN c >= 0.75 THEN 'Very Negative' ELSE 'Negative' END ELSE 'Neutral' END AS polarity, c AS polarity_confidence
+    FROM (SELECT doc_id, length(text) % 3 AS k, (length(text) % 101)::DOUBLE / 100 AS c FROM documents)""")
+def score_with(spark, sf):
+    return scoring.predictions(scoring.score_with(base.documents(spark, sf), _own_model, "text", "doc_id"), "doc_id")
+
+
+@query("document_emotions", """SELECT doc_id, CASE emotion WHEN 'joy' THEN 'happiness' ELSE emotion END AS emotion, share FROM (
+    SELECT doc_id, emotion, round_even(n::DOUBLE / sum(n) OVER (PARTITION BY doc_id) * 10000.0, 0) / 10000.0 AS share FROM (
+        SELECT t.doc_id, e.sentiment AS emotion, count(*) AS n FROM tok t JOIN emolex e ON t.word = e.word
+        WHERE e.sentiment NOT IN ('positive', 'negative') GROUP BY t.doc_id, e.sentiment))
+    WHERE emotion NOT IN ('trust', 'anticipation')""")
+def document_emotions(spark, sf):
+    """In long form, as entries carry them when emotions are taken per entry."""
+    found = emotions.document_emotions(tokens.tokens(base.cleaned(spark, sf)), base.lexicons(spark).emotions)
+    return found.select("doc_id", F.explode("emotions").alias("emotion", "share"))
+
+
+_FLAG = "doc_id % 7 = 0"
+
+
+def _stored_job(spark, sf, include_sarcasm):
+    rows = _rows(spark, sf).withColumnRenamed("doc_id", "row_index")
+    flags = [F.expr(_FLAG).alias("sarcasm_flag"), F.lit("inquiry").alias("intent")]
+    found = _predictions(spark, sf).select(F.col("doc_id").alias("row_index"), "polarity", "polarity_confidence", *flags)
+    options = job.JobOptions("text", "happened", include_sarcasm=include_sarcasm, with_topics=False, emotions_per_entry=True)
+    folder = shared_path(spark, "jobs")
+    job.run_job(rows, base.lexicons(spark), folder, "job-1", options, found)
+    return folder, options
+
+
+@query("run_job", f"""SELECT doc_id AS row_index, polarity, polarity_confidence, {_FLAG} AS sarcasm_flag, text AS original_text,
+    'job-1' AS job_id FROM docentries""")
+def run_job(spark, sf):
+    """A job of all documents, stored, and its entries read back."""
+    folder, _ = _stored_job(spark, sf, True)
+    return job.job_entries(spark, folder, "job-1").select(
+        "row_index", "polarity", "polarity_confidence", "sarcasm_flag", "original_text", "job_id"
+    )
+
+
+def _flat(summary):
+    """(part, name, value) of a stored summary's parts."""
+    def of_map(part):
+        return summary.select(F.lit(part).alias("part"), F.explode(part).alias("name", "value")).withColumn("value", F.col("value").cast("double"))
+
+    def of_list(part, name, value):
+        return summary.select(F.lit(part).alias("part"), F.inline(part)).select("part", F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+
+    kept = summary.select(F.lit("setting").alias("part"), F.lit("include_sarcasm").alias("name"), F.col("setting.include_sarcasm").cast("int").cast("double").alias("value"))
+    count = summary.select(F.lit("sarcasm").alias("part"), F.lit("count").alias("name"), F.col("sarcasm_count").cast("double").alias("value"))
+    parts = [of_map("polarity_distribution"), of_map("emotion_distribution"), of_list("word_cloud", "word", "weight"), of_list("temporal_trend", "period", "avg_polarity"), kept, count]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _flat_sql(where, include):
+    """The same parts over the documents that ``where`` leaves."""
+    level = f"""SELECT 'polarity_distribution' AS part, l.polarity AS name, count(d.doc_id)::DOUBLE AS value FROM {base.LEVELS_SQL}
+        LEFT JOIN (SELECT * FROM docentries WHERE {where}) d ON d.polarity = l.polarity GROUP BY l.polarity"""
+    emotion = f"""SELECT 'emotion_distribution', CASE emotion WHEN 'joy' THEN 'happiness' ELSE emotion END, {base.half_even('(pct / 100.0)', 4)} FROM (
+        SELECT emotion, {base.half_even('(100.0::DOUBLE * n / sum(n) OVER ())', 1)} AS pct FROM (
+        SELECT e.sentiment AS emotion, count(*) AS n FROM tok t JOIN emolex e ON t.word = e.word
+        WHERE {where} AND e.sentiment NOT IN ('positive', 'negative') GROUP BY e.sentiment)) WHERE emotion NOT IN ('trust', 'anticipation')"""
+    words = f"""SELECT 'word_cloud', word, n::DOUBLE FROM (SELECT word, count(*) AS n FROM tok WHERE {where} AND length(word) > 2
+        AND word NOT IN (SELECT word FROM stops) GROUP BY word ORDER BY n DESC, word LIMIT 30)"""
+    trend = f"""SELECT 'temporal_trend', concat('2025-', lpad((doc_id % 12 + 1)::VARCHAR, 2, '0')),
+        {base.half_even(f"(sum(CAST({base.score_sql('polarity')} * 2 AS BIGINT))::DOUBLE / 2 / count(*))", 3)} FROM docentries WHERE {where} GROUP BY 2"""
+    rest = f"SELECT 'setting', 'include_sarcasm', {include}::DOUBLE UNION ALL SELECT 'sarcasm', 'count', count(*)::DOUBLE FROM docentries WHERE {_FLAG}"
+    return " UNION ALL ".join([level, f"({emotion})", f"({words})", f"({trend})", rest])
+
+
+@query("job_summary", _flat_sql(f"NOT ({_FLAG})", 0))
+def job_summary(spark, sf):
+    """The stored summary of a job that leaves sarcastic rows out of every aggregate."""
+    folder, _ = _stored_job(spark, sf, False)
+    return _flat(job.job_summary(spark, folder, "job-1"))
+
+
+@query("job_resummary", _flat_sql(f"NOT ({_FLAG})", 0))
+def job_resummary(spark, sf):
+    """A job stored with all rows, then summed up anew from its entries without the sarcastic ones."""
+    folder, _ = _stored_job(spark, sf, True)
+    options = job.JobOptions("text", "happened", include_sarcasm=False, with_topics=False)
+    return _flat(job.resummarise(spark, base.lexicons(spark), folder, "job-1", options))

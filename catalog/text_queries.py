@@ -10,6 +10,7 @@ from feedback_spark.functions import labels, text
 from feedback_spark.functions.numbers import round_half_even
 from feedback_spark.operators import cleaning, emotions, entries, keywords, polarity, tokens, topics
 from feedback_spark.plans import insights
+from feedback_spark.session import durable
 
 
 def _words(spark, sf):
@@ -201,11 +202,23 @@ def top_bigrams(spark, sf):
     return keywords.top_bigrams(tokens.bigrams(base.cleaned(spark, sf)), base.lexicons(spark).stops)
 
 
-def _hits(spark, sf):
-    marked = keywords.keyword_marks(base.document_entries(spark, sf), top_words(spark, sf))
+def _hits(spark, sf, top=None):
+    marked = keywords.keyword_marks(base.document_entries(spark, sf), top or top_words(spark, sf))
     return keywords.keyword_hits(marked, key="doc_id")
 
 
+def _scores(spark, sf, top):
+    """Keyword scores of a stored list of words, stored: a few rows that several parts read."""
+    return durable(keywords.keyword_scores(_hits(spark, sf, top)), "keyword_scores")
+
+
+def _shared(spark, sf):
+    """(top words, emotions) from one count of the words, which is stored."""
+    counts = durable(_counts(spark, sf), "word_counts")
+    found = emotions.emotion_distribution(emotions.emotion_shares(counts, base.lexicons(spark).emotions))
+    return durable(keywords.top_words(counts, base.lexicons(spark).stops), "top_words"), found
+
+
 @query("keyword_hits", "SELECT CAST(rank AS INTEGER) AS rank, word, n, pos_hits, neg_hits, first_polarity FROM kwhits")
 def keyword_hits(spark, sf):
     return _hits(spark, sf)
@@ -220,7 +233,8 @@ def keyword_scores(spark, sf):
     t.n::DOUBLE / greatest(max(t.n) OVER (), 1) AS size
     FROM topw t LEFT JOIN (SELECT * FROM kwscores WHERE side = 'positive') p ON t.word = p.word""")
 def word_cloud(spark, sf):
-    return keywords.word_cloud(top_words(spark, sf), keyword_scores(spark, sf))
+    top = durable(top_words(spark, sf), "top_words")
+    return keywords.word_cloud(top, _scores(spark, sf, top))
 
 
 @query("keyword_relative", """SELECT side, word, score,
@@ -234,8 +248,9 @@ def keyword_relative(spark, sf):
         WHEN 'surprise' THEN 'Surprise' WHEN 'fear' THEN 'Fear' WHEN 'disgust' THEN 'Disgust' ELSE emotion END
     FROM (SELECT emotion FROM emodist ORDER BY share DESC, emotion LIMIT 1)""")
 def leading_terms(spark, sf):
-    lead = insights.leading_emotion(emotion_distribution(spark, sf)).select(F.lit("emotion").alias("kind"), F.col("emotion").alias("lead"))
-    words = keywords.leading_keywords(keyword_scores(spark, sf)).select(F.col("side").alias("kind"), F.col("word").alias("lead"))
+    top, found = _shared(spark, sf)
+    lead = insights.leading_emotion(found).select(F.lit("emotion").alias("kind"), F.col("emotion").alias("lead"))
+    words = keywords.leading_keywords(_scores(spark, sf, top)).select(F.col("side").alias("kind"), F.col("word").alias("lead"))
     return words.unionByName(lead)
 
 
@@ -244,10 +259,11 @@ def leading_terms(spark, sf):
     UNION ALL SELECT 'word_cloud', count(*) FROM topw
     UNION ALL SELECT 'emotions', count(*) FROM emodist""")
 def result_presence(spark, sf):
-    scores = keyword_scores(spark, sf)
+    top, found = _shared(spark, sf)
+    scores = _scores(spark, sf, top)
     return insights.result_presence(
         keywords_positive=scores.filter("side = 'positive'"), keywords_negative=scores.filter("side = 'negative'"),
-        word_cloud=top_words(spark, sf), emotions=emotion_distribution(spark, sf),
+        word_cloud=top, emotions=found,
     )
 
 

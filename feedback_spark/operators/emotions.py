@@ -68,6 +68,13 @@ def emotions_map(distribution: DataFrame, *by: str) -> DataFrame:
     return distribution.groupBy(*by).agg(F.map_from_entries(listed).alias("emotions"))
 
 
+def document_emotions(tokens: DataFrame, lexicon: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, emotions): the kept emotions of each document as one map; documents without an emotion word give no row."""
+    found = emotion_by_document(tokens, lexicon, key)
+    named = found.select(key, _kept_name(F.col("emotion")).alias("emotion"), "share").filter(~F.col("emotion").isin(DROPPED))
+    return emotions_map(named.groupBy(key, "emotion").agg(F.min("share").alias("share")), key)
+
+
 def emotion_percent(distribution: DataFrame) -> DataFrame:
     """The six shown emotions in their fixed order, whole percent, absent ones 0."""
     names = list(shares.EMOTION_NAMES)

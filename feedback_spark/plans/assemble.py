@@ -61,11 +61,13 @@ def _joined(
     return joined
 
 
-def _entries(joined: DataFrame, corpus: CorpusResult | None, key: str) -> DataFrame:
+def _entries(joined: DataFrame, corpus: CorpusResult | None, key: str, emotions_per_entry: bool) -> DataFrame:
     entries = joined.select(key, "polarity", "polarity_confidence", *OPTIONAL)
+    empty = F.map_from_entries(F.array().cast("array<struct<key:string,value:double>>"))
     if corpus is None:
-        empty = F.array().cast("array<struct<key:string,value:double>>")
-        entries = entries.withColumn("emotions", F.map_from_entries(empty))
+        entries = entries.withColumn("emotions", empty)
+    elif emotions_per_entry:
+        entries = entries.join(corpus.document_emotions, key, "left").withColumn("emotions", F.coalesce("emotions", empty))
     else:
         shared = emotions.emotions_map(emotions.emotion_distribution(corpus.emotions))
         entries = rows_of.entries_with_emotions(entries, shared)
@@ -93,12 +95,18 @@ def assemble(
     key: str = "row_index",
     include_sarcasm: bool = True,
     topic_mode: str = "global",
+    emotions_per_entry: bool = False,
 ) -> Assembled:
-    """Combine the branches. Without ``corpus`` entries, distribution and trend remain."""
+    """Combine the branches. Without ``corpus`` entries, distribution and trend remain.
+
+    With ``include_sarcasm=False`` flagged rows count in no aggregate: ``corpus`` must then be that of the other
+    rows, as ``job.counted_documents`` gives it. Entries carry the emotions of the whole corpus, or with
+    ``emotions_per_entry`` those of their own text, so that a filter by emotion tells them apart.
+    """
     cleaning.require_columns(rows, key, text_column, timestamp_column)
     joined = _joined(rows, predictions, corpus, text_column, timestamp_column, key)
     joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
-    entries = _entries(joined, corpus, key)
+    entries = _entries(joined, corpus, key, emotions_per_entry)
     counted = rows_of.exclude_sarcasm(joined, include_sarcasm)
     found = cloud = None
     if corpus is not None:

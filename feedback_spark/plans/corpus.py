@@ -24,6 +24,7 @@ class CorpusResult:
     emotions: DataFrame
     topic_terms: DataFrame | None
     document_topics: DataFrame | None
+    document_emotions: DataFrame | None = None
     kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
@@ -67,6 +68,7 @@ def corpus_analysis(
         emotions=emotions.emotion_shares(counts, lexicons.emotions),
         topic_terms=topics.topic_terms(topics.topic_beta(fitted)) if fitted else None,
         document_topics=topics.dominant_topics(fitted, key) if fitted else None,
+        document_emotions=emotions.document_emotions(tokens.tokens(cleaned, key), lexicons.emotions, key),
         kept=(scored, counts) + ((fitted.documents,) if fitted else ()),
     )
 
