@@ -9,7 +9,7 @@ from catalog.base import query
 from feedback_spark.functions import labels
 from feedback_spark.operators import cleaning, emotions, scoring, tokens, topics
 from feedback_spark.plans import assemble as plan, corpus, insights, job
-from feedback_spark.session import shared_path
+from feedback_spark.session import durable, shared_path
 
 
 def _fitted(spark, sf):
@@ -72,9 +72,33 @@ def run_analysis(spark, sf):
     return corpus.corpus_record(_corpus(spark, sf, True))
 
 
-@query("corpus_without_topics")
+_CORPUS_SQL = f"""SELECT 'summary' AS part, 'documents' AS name, count(*)::DOUBLE AS value FROM scored
+    UNION ALL SELECT 'summary', 'avg_word_count', round_even(avg(word_count), 0) FROM scored
+    UNION ALL SELECT 'summary', 'positive_pct', {base.half_even("(100.0::DOUBLE * count(*) FILTER (polarity_class IN ('Very Positive', 'Positive')) / count(*))", 1)} FROM scored
+    UNION ALL SELECT 'summary', 'negative_pct', {base.half_even("(100.0::DOUBLE * count(*) FILTER (polarity_class IN ('Very Negative', 'Negative')) / count(*))", 1)} FROM scored
+    UNION ALL SELECT 'polarity_distribution', polarity_class, count(*)::DOUBLE FROM scored GROUP BY polarity_class
+    UNION ALL SELECT 'top_words', word, n::DOUBLE FROM topw
+    UNION ALL (SELECT 'top_bigrams', concat(word, ' ', next), count(*)::DOUBLE AS n FROM (
+        SELECT word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM tok)
+        WHERE length(word) > 2 AND length(next) > 2 AND word NOT IN (SELECT word FROM stops) AND next NOT IN (SELECT word FROM stops)
+        GROUP BY word, next ORDER BY n DESC, word, next LIMIT 20)
+    UNION ALL SELECT 'emotions', emotion, pct FROM emo"""
+
+
+@query("corpus_without_topics", _CORPUS_SQL)
 def corpus_without_topics(spark, sf):
-    return corpus.corpus_record(_corpus(spark, sf, False))
+    """The nested result in long form."""
+    result = _corpus(spark, sf, False)
+    record = durable(corpus.corpus_record(result), "record")
+    result.release()
+    summary = record.select(F.lit("summary").alias("part"), F.explode(F.create_map(*[
+        x for f in ("documents", "avg_word_count", "positive_pct", "negative_pct") for x in (F.lit(f), F.col(f"summary.{f}").cast("double"))
+    ])).alias("name", "value"))
+    lists = {"polarity_distribution": ("class", "count"), "top_words": ("word", "count"), "top_bigrams": ("bigram", "count"), "emotions": ("emotion", "pct")}
+    for part, (name, value) in lists.items():
+        cells = record.select(F.inline(part)).select(F.lit(part).alias("part"), F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+        summary = summary.unionByName(cells)
+    return summary
 
 
 def _assembled(spark, sf, with_corpus=True, with_topics=True):
@@ -94,12 +118,50 @@ def assembled_entries(spark, sf):
     return _assembled(spark, sf).entries
 
 
-@query("assemble_minimal")
-def assemble_minimal(spark, sf):
-    return plan.summary_record(_assembled(spark, sf, with_corpus=False), "job-1")
+_MONTH = "concat('2025-', lpad((doc_id % 12 + 1)::VARCHAR, 2, '0'))"
+_DOC_TREND = f"""SELECT {_MONTH} AS period, {base.half_even(f"(sum(CAST({base.score_sql('polarity')} * 2 AS BIGINT))::DOUBLE / 2 / count(*))", 3)} AS avg_polarity
+    FROM docentries GROUP BY 1"""
 
 
-@query("insight_facts")
+@query("assemble_minimal", f"""SELECT 'polarity_distribution' AS part, l.polarity AS name, count(d.doc_id)::DOUBLE AS value
+    FROM {base.LEVELS_SQL} LEFT JOIN docentries d ON d.polarity = l.polarity GROUP BY l.polarity
+    UNION ALL SELECT 'intent_distribution', intent, 0 FROM (VALUES ('complaint'), ('suggestion'), ('inquiry'), ('compliment'), ('statement')) v(intent)
+    UNION ALL SELECT 'temporal_trend', period, avg_polarity FROM ({_DOC_TREND})
+    UNION ALL SELECT 'sizes', name, 0 FROM (VALUES ('sarcasm_count'), ('emotion_distribution'), ('word_cloud'), ('topics')) v(name)""")
+def assemble_minimal(spark, sf):
+    """Without a corpus result, in long form: distributions and trend stay, the other parts are empty."""
+    made = _assembled(spark, sf, with_corpus=False)
+    record = durable(plan.summary_record(made, "job-1"), "record")
+    made.release()
+    out = record.select(F.lit("temporal_trend").alias("part"), F.inline("temporal_trend")).toDF("part", "name", "value")
+    for part in ("polarity_distribution", "intent_distribution"):
+        out = out.unionByName(record.select(F.lit(part).alias("part"), F.explode(part).alias("name", "value")).withColumn("value", F.col("value").cast("double")))
+    sizes = F.create_map(
+        F.lit("sarcasm_count"), F.col("sarcasm_count").cast("double"),
+        *[x for c in ("emotion_distribution", "word_cloud", "topics") for x in (F.lit(c), F.size(c).cast("double"))],
+    )
+    return out.unionByName(record.select(F.lit("sizes").alias("part"), F.explode(sizes).alias("name", "value")))
+
+
+_TONE = ", ".join(
+    base.percent_sql(f"(count(*) FILTER ({base.group_sql('polarity')} = '{g}'))", "count(*)") + f" AS {g}_pct" for g in ("positive", "neutral", "negative")
+)
+
+
+@query("insight_facts", f"""SELECT 'finegrained' AS theme, unnest(['tone', 'positive_pct', 'neutral_pct', 'negative_pct']) AS fact, unnest([
+        CASE WHEN positive_pct >= 50 THEN 'predominantly positive' WHEN negative_pct >= 40 THEN 'skewing negative' ELSE 'mixed' END,
+        positive_pct::VARCHAR, neutral_pct::VARCHAR, negative_pct::VARCHAR]) AS value FROM (SELECT {_TONE} FROM docentries)
+    UNION ALL SELECT 'aspect', 'aspects', '0'
+    UNION ALL SELECT 'intent', intent, '0' FROM (VALUES ('complaint'), ('suggestion'), ('inquiry'), ('compliment'), ('statement')) v(intent)
+    UNION ALL SELECT 'sarcasm', name, '0' FROM (VALUES ('count'), ('pct')) v(name)
+    UNION ALL SELECT 'confidence', unnest(['average_pct', 'low']), unnest([a::VARCHAR, b::VARCHAR]) FROM (SELECT
+        (sum(CAST(round_even(polarity_confidence * 10000, 0) AS BIGINT)) + count(*) * 50) // (count(*) * 100) AS a,
+        count(*) FILTER (polarity_confidence < 0.6) AS b FROM docentries)
+    UNION ALL SELECT 'emotion', unnest(['emotion', 'pct']), unnest([CASE emotion WHEN 'happiness' THEN 'Joy' ELSE concat(upper(emotion[1]), emotion[2:]) END,
+        CAST(floor(share * 100 + 0.5) AS BIGINT)::VARCHAR]) FROM (SELECT * FROM emodist ORDER BY share DESC, emotion LIMIT 1)
+    UNION ALL SELECT 'keywords', side, word FROM kwscores WHERE place = 1
+    UNION ALL SELECT 'trend', unnest(['direction', 'first', 'last']), unnest([CASE WHEN l > f THEN 'improving' WHEN l < f THEN 'declining' ELSE 'stable' END, a, b])
+        FROM (SELECT min(period) AS a, max(period) AS b, arg_min(avg_polarity, period) AS f, arg_max(avg_polarity, period) AS l FROM ({_DOC_TREND}))""")
 def insight_facts(spark, sf):
     return insights.insight_facts(_assembled(spark, sf, with_topics=False))
 
