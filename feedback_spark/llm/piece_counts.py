@@ -4,12 +4,12 @@ The model (a SentencePiece BPE file) maps a space to a mark that starts a word,
 after another character. So a text with a space put in front falls apart at its spaces, and the pieces of a
 text are those of its pre-tokens. No ids are made for whole texts.
 
-1. Each task lists the distinct pre-tokens of its texts; the lists meet by pre-token, and the pieces of each
-   distinct pre-token are counted once in the whole run.
-2. Each task writes, per chunk of about ``CHUNK_CHARACTERS`` characters and per pre-token, one row with the documents of
-   the chunk that hold it and how often. A frequent word is one row per chunk, not one per document.
-3. Both meet in one join by pre-token. Its hot keys have a row per chunk and are split by adaptive execution.
-4. Frequencies times pieces are added up per chunk in each task, and the partial sums meet by chunk.
+1. Each task counts, per chunk of documents, how often each document holds each distinct pre-token, and deals the
+   pre-tokens by hash into buckets. One row holds all pre-tokens of a chunk that fall into one bucket, packed.
+2. Rows meet by bucket. The pieces of each distinct pre-token of a bucket are counted once and joined to its
+   frequencies. A pre-token that more than ``HOT_DOCUMENTS`` documents of a chunk hold is dealt by pre-token and chunk, so that
+   the frequent ones, which are few, spread over all buckets instead of meeting in one.
+3. Frequencies times pieces are added up per chunk in each task, and the partial sums meet by chunk.
 
 Defined cases: null and empty texts have no tokens; repeated rows are counted one by one, since a document is
 known by its place in its chunk and not by its id; an empty table gives an empty table; other columns are not read.
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,10 +31,12 @@ from feedback_spark.llm.frames import Batches, texts_of
 # Fixed value: the model's mark for a space.
 MARK = "▁"
 # A chunk ends at either bound; places in it fit 16 bits.
-CHUNK_CHARACTERS = 3_000_000
+CHUNK_CHARACTERS = 16_000_000
 CHUNK_DOCUMENTS = 8_192
-# Pre-tokens a task lists, and chunks it adds up, before it hands them on.
-MOST_KEPT = 500_000
+HOT_DOCUMENTS = 256
+BUCKETS_PER_PARTITION = 4
+# Pre-tokens a task remembers, and chunks it adds up, before it starts anew.
+MOST_KEPT = 400_000
 MOST_HELD = 1_024
 RUNS = re.compile(r" [ ]*[^ ]*")
 
@@ -69,35 +72,16 @@ def piece_numbers(path: str, tokens: list[str]) -> list[int]:
     return counts
 
 
-def distinct_pre_tokens(texts: DataFrame) -> DataFrame:
-    def run(batches: Batches) -> Batches:
-        held: set[str] = set()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                held.update(*map(pre_tokens, texts_of(batch.slice(start, 256), "text")))
-                if len(held) > MOST_KEPT:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["piece_of"])
-                    held = set()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["piece_of"])
-
-    return texts.mapInArrow(run, "piece_of string").distinct()
-
-
-def count_pieces(tokens: DataFrame, path: str) -> DataFrame:
-    """(piece_of, pieces) of a table of distinct pre-tokens."""
-
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            column = batch.column("piece_of")
-            counts = piece_numbers(path, column.to_pylist())
-            yield pa.RecordBatch.from_arrays([column, pa.array(counts, pa.int64())], names=["piece_of", "pieces"])
+class Numbers(dict):
+    """Numbers of pre-tokens in order of first use."""
 
-    return tokens.mapInArrow(run, "piece_of string, pieces long")
+    def __missing__(self, token: str) -> int:
+        value = self[token] = len(self)
+        return value
 
 
-FREQUENCIES = "chunk long, token string, places binary, times binary"
-FREQUENCY_SCHEMA = pa.schema([("chunk", pa.int64()), ("token", pa.string()), ("places", pa.binary()), ("times", pa.binary())])
+PACKED = "bucket int, chunk long, names binary, name_sizes binary, documents binary, places binary, times binary"
+PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(n, pa.binary()) for n in ("names", "name_sizes", "documents", "places", "times")]])
 PARTIAL_SCHEMA = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("sums", pa.binary())])
 
 
@@ -118,51 +102,64 @@ def chunks(batches: Batches, id_column: str):
         yield (part << 32) + number, ids, texts
 
 
-def frequencies(docs: DataFrame, id_column: str) -> DataFrame:
-    """One row per chunk and pre-token: places of the documents in the chunk (16 bits each) and times (32 bits each)."""
+def frequencies(docs: DataFrame, id_column: str, buckets: int) -> DataFrame:
+    """Packed rows per chunk and bucket: UTF-8 names with their sizes, documents per name, places (16 bits) and times (32 bits)."""
 
     def run(batches: Batches) -> Batches:
         for chunk, _, texts in chunks(batches, id_column):
-            words = list(map(pre_tokens, texts))
-            number: dict[str, int] = dict.fromkeys(t for w in words for t in w)
-            for i, t in enumerate(number):
-                number[t] = i
-            sizes = list(map(len, words))
-            flat = np.fromiter((number[t] for w in words for t in w), np.int64, sum(sizes))
-            found, times = np.unique(flat * len(words) + np.repeat(np.arange(len(words)), sizes), return_counts=True)
-            token, places = np.divmod(found, len(words))
-            cuts = np.flatnonzero(np.diff(token, prepend=-1, append=len(number))).tolist()
-            a, b, names = places.astype("<u2").tobytes(), times.astype("<u4").tobytes(), list(number)
-            for start in range(0, len(names), 20_000):
-                part = list(zip(cuts[start : start + 20_000], cuts[start + 1 : start + 20_001]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([chunk] * len(part), pa.int64()),
-                    pa.array(names[start : start + len(part)], pa.string()),
-                    pa.array([a[2 * x : 2 * y] for x, y in part], pa.binary()),
-                    pa.array([b[4 * x : 4 * y] for x, y in part], pa.binary()),
-                ], schema=FREQUENCY_SCHEMA)
-
-    return docs.mapInArrow(run, FREQUENCIES)
-
-
-def partial_sums(joined: DataFrame) -> DataFrame:
-    """(chunk, places, sums): times by pieces, added up per chunk and task."""
+            number = Numbers()
+            cut = []
+            for text in texts:
+                words = pre_tokens(text)
+                cut.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            n = len(texts)
+            sizes = [len(c) for c in cut]
+            found, times = np.unique(np.concatenate(cut) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+            token, places = np.divmod(found, n)
+            documents = np.bincount(token, minlength=len(number))
+            names = [t.encode() for t in number]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+            hashes[documents > HOT_DOCUMENTS] += np.uint64(xxhash.xxh64_intdigest(chunk.to_bytes(8, "little")))
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            starts = np.cumsum(documents) - documents
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(order)]
+            for a, b in zip(edges, edges[1:]):
+                own = order[a:b]
+                run_of = documents[own]
+                at = np.arange(run_of.sum()) - np.repeat(np.cumsum(run_of) - run_of, run_of) + np.repeat(starts[own], run_of)
+                part = [names[i] for i in own.tolist()]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": [int(bucket[own[0]])], "chunk": [chunk], "names": [b"".join(part)],
+                    "name_sizes": [np.array(list(map(len, part)), "<u4").tobytes()], "documents": [run_of.astype("<u4").tobytes()],
+                    "places": [places[at].astype("<u2").tobytes()], "times": [times[at].astype("<u4").tobytes()],
+                }, schema=PACKED_SCHEMA)
+
+    return docs.mapInArrow(run, PACKED)
+
+
+def partial_sums(packed: DataFrame, path: str) -> DataFrame:
+    """(chunk, places, sums): times by pieces, added up per chunk and task; each distinct pre-token is counted once."""
 
     def run(batches: Batches) -> Batches:
+        pieces: dict[bytes, int] = {}
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            counts, times, pieces = (batch.column(n).to_pylist() for n in ("places", "times", "pieces"))
-            chunk = batch.column("chunk").to_numpy()
-            for one in np.unique(chunk).tolist():
-                rows = np.flatnonzero(chunk == one).tolist()
-                place = np.frombuffer(b"".join([counts[i] for i in rows]), "<u2")
-                each = np.repeat([pieces[i] for i in rows], [len(counts[i]) // 2 for i in rows])
-                value = np.frombuffer(b"".join([times[i] for i in rows]), "<u4") * each
-                added = np.bincount(place, value, CHUNK_DOCUMENTS).astype(np.int64)
-                held[one] = held[one] + added if one in held else added
-            if len(held) >= MOST_HELD:
-                yield flush(held)
-                held = {}
+            for row in batch.to_pylist():
+                ends = np.cumsum(np.frombuffer(row["name_sizes"], "<u4"), dtype=np.int64).tolist()
+                names = [row["names"][a:b] for a, b in zip([0, *ends], ends)]
+                if len(pieces) > MOST_KEPT:
+                    pieces = {}
+                new = [n for n in names if n not in pieces]
+                if new:
+                    pieces.update(zip(new, piece_numbers(path, [n.decode() for n in new])))
+                each = np.repeat(np.fromiter(map(pieces.__getitem__, names), np.int64, len(names)), np.frombuffer(row["documents"], "<u4"))
+                added = np.bincount(np.frombuffer(row["places"], "<u2"), np.frombuffer(row["times"], "<u4") * each, CHUNK_DOCUMENTS).astype(np.int64)
+                chunk = row["chunk"]
+                held[chunk] = held[chunk] + added if chunk in held else added
+                if len(held) >= MOST_HELD:
+                    yield flush(held)
+                    held = {}
         if held:
             yield flush(held)
 
@@ -174,7 +171,7 @@ def partial_sums(joined: DataFrame) -> DataFrame:
             pa.array([held[c][p].astype("<i8").tobytes() for c, p in places.items()], pa.binary()),
         ], schema=PARTIAL_SCHEMA)
 
-    return joined.mapInArrow(run, "chunk long, places binary, sums binary")
+    return packed.mapInArrow(run, "chunk long, places binary, sums binary")
 
 
 def sums(partials: DataFrame) -> DataFrame:
@@ -219,10 +216,9 @@ def members(docs: DataFrame, id_column: str) -> DataFrame:
 def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row of ``df``, which must be a scan whose partitions are the same each time."""
     docs = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    dictionary = count_pieces(distinct_pre_tokens(docs.select("text")), path)
-    seen = frequencies(docs, "doc_id")
-    joined = seen.join(dictionary, seen["token"] == dictionary["piece_of"]).select("chunk", "places", "times", "pieces")
-    counted = sums(partial_sums(joined))
+    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = frequencies(docs, "doc_id", buckets).repartition("bucket")
+    counted = sums(partial_sums(packed, path))
     return members(docs, "doc_id").join(counted, ["chunk", "place"], "left").select(
         "doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")
     )
