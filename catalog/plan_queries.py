@@ -16,14 +16,25 @@ def _fitted(spark, sf):
     return topics.fit_topics(tokens.topic_terms(base.cleaned(spark, sf), base.lexicons(spark).stops))
 
 
+def _stored(df, *held):
+    """``df`` written to the shared folder, and the blocks it was made from dropped."""
+    out = durable(df, "result")
+    for part in held:
+        if part is not None:
+            part.release()
+    return out
+
+
 @query("lda_topics")
 def lda_topics(spark, sf):
-    return topics.topic_beta(_fitted(spark, sf))
+    fitted = _fitted(spark, sf)
+    return _stored(topics.topic_beta(fitted), fitted)
 
 
 @query("document_topics")
 def document_topics(spark, sf):
-    return topics.dominant_topics(_fitted(spark, sf)).select("doc_id", "topic", "weight")
+    fitted = _fitted(spark, sf)
+    return _stored(topics.dominant_topics(fitted).select("doc_id", "topic", "weight"), fitted)
 
 
 @query("document_topic_facts", """SELECT doc_id, 3 AS topics, 1.0::DOUBLE AS weight_sum, true AS leads FROM (
@@ -33,16 +44,19 @@ def document_topic_facts(spark, sf):
     weights = F.transform("topics", lambda t: t["weight"])
     total = F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 6)
     leads = (F.array_max(weights) == F.col("weight")) & (F.get(weights, F.col("topic") - 1) == F.col("weight"))
-    return topics.dominant_topics(_fitted(spark, sf)).select(
+    fitted = _fitted(spark, sf)
+    facts = topics.dominant_topics(fitted).select(
         "doc_id", F.size(F.array_distinct(F.transform("topics", lambda t: t["topic_id"]))).alias("topics"),
         total.alias("weight_sum"), leads.alias("leads"),
     )
+    return _stored(facts, fitted)
 
 
 @query("topic_profile")
 def topic_profile(spark, sf):
     polarities = base.document_entries(spark, sf).select("doc_id", "polarity")
-    return topics.topic_profile(polarities, topics.dominant_topics(_fitted(spark, sf)), "per_topic")
+    fitted = _fitted(spark, sf)
+    return _stored(topics.topic_profile(polarities, topics.dominant_topics(fitted), "per_topic"), fitted)
 
 
 @query("model_scores")
@@ -69,7 +83,8 @@ def _predictions(spark, sf):
 
 @query("run_analysis")
 def run_analysis(spark, sf):
-    return corpus.corpus_record(_corpus(spark, sf, True))
+    result = _corpus(spark, sf, True)
+    return _stored(corpus.corpus_record(result), result)
 
 
 _CORPUS_SQL = f"""SELECT 'summary' AS part, 'documents' AS name, count(*)::DOUBLE AS value FROM scored
@@ -89,8 +104,7 @@ _CORPUS_SQL = f"""SELECT 'summary' AS part, 'documents' AS name, count(*)::DOUBL
 def corpus_without_topics(spark, sf):
     """The nested result in long form."""
     result = _corpus(spark, sf, False)
-    record = durable(corpus.corpus_record(result), "record")
-    result.release()
+    record = _stored(corpus.corpus_record(result), result)
     summary = record.select(F.lit("summary").alias("part"), F.explode(F.create_map(*[
         x for f in ("documents", "avg_word_count", "positive_pct", "negative_pct") for x in (F.lit(f), F.col(f"summary.{f}").cast("double"))
     ])).alias("name", "value"))
@@ -102,20 +116,24 @@ def corpus_without_topics(spark, sf):
 
 
 def _assembled(spark, sf, with_corpus=True, with_topics=True):
-    return plan.assemble(
-        _rows(spark, sf), _predictions(spark, sf), _corpus(spark, sf, with_topics) if with_corpus else None,
+    result = _corpus(spark, sf, with_topics) if with_corpus else None
+    made = plan.assemble(
+        _rows(spark, sf), _predictions(spark, sf), result,
         text_column="text", timestamp_column="happened", key="doc_id", topic_mode="per_topic",
     )
+    return made, result
 
 
 @query("assemble")
 def assemble(spark, sf):
-    return plan.summary_record(_assembled(spark, sf), "job-1")
+    made, result = _assembled(spark, sf)
+    return _stored(plan.summary_record(made, "job-1"), made, result)
 
 
 @query("assembled_entries")
 def assembled_entries(spark, sf):
-    return _assembled(spark, sf).entries
+    made, result = _assembled(spark, sf)
+    return _stored(made.entries, made, result)
 
 
 _MONTH = "concat('2025-', lpad((doc_id % 12 + 1)::VARCHAR, 2, '0'))"
@@ -130,9 +148,8 @@ _DOC_TREND = f"""SELECT {_MONTH} AS period, {base.half_even(f"(sum(CAST({base.sc
     UNION ALL SELECT 'sizes', name, 0 FROM (VALUES ('sarcasm_count'), ('emotion_distribution'), ('word_cloud'), ('topics')) v(name)""")
 def assemble_minimal(spark, sf):
     """Without a corpus result, in long form: distributions and trend stay, the other parts are empty."""
-    made = _assembled(spark, sf, with_corpus=False)
-    record = durable(plan.summary_record(made, "job-1"), "record")
-    made.release()
+    made, _ = _assembled(spark, sf, with_corpus=False)
+    record = _stored(plan.summary_record(made, "job-1"), made)
     out = record.select(F.lit("temporal_trend").alias("part"), F.inline("temporal_trend")).toDF("part", "name", "value")
     for part in ("polarity_distribution", "intent_distribution"):
         out = out.unionByName(record.select(F.lit(part).alias("part"), F.explode(part).alias("name", "value")).withColumn("value", F.col("value").cast("double")))
@@ -163,7 +180,8 @@ _TONE = ", ".join(
     UNION ALL SELECT 'trend', unnest(['direction', 'first', 'last']), unnest([CASE WHEN l > f THEN 'improving' WHEN l < f THEN 'declining' ELSE 'stable' END, a, b])
         FROM (SELECT min(period) AS a, max(period) AS b, arg_min(avg_polarity, period) AS f, arg_max(avg_polarity, period) AS l FROM ({_DOC_TREND}))""")
 def insight_facts(spark, sf):
-    return insights.insight_facts(_assembled(spark, sf, with_topics=False))
+    made, result = _assembled(spark, sf, with_topics=False)
+    return _stored(insights.insight_facts(made), made, result)
 
 
 def _own_model(texts):
