@@ -130,3 +130,44 @@ def test_pipeline_on_awkward_rows(spark, docs):
         for given in (docs, docs.limit(0)):
             made = stage(spark, given, SMALL)
             assert made.count() <= given.count() and (name == "bpe" or made.columns == given.columns)
+
+
+def test_pipeline_equals_plain_versions(spark):
+    """Each stage against a plain version of its rule over what the stage before kept."""
+    from test_documents_llm import plain_counts, plain_join
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from feedback_spark.llm import host_rules, leak_search, toxicity
+
+    labels, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+
+    counts = {d.doc_id: plain_counts(d.text) for d in docs}
+    base = {i: c[0] < 10 or 100 * c[5] > 20 * c[0] for i, c in counts.items()}
+    failed = {i: base[i] or 100 * c[2] > 10 * c[1] or 100 * c[4] > 30 * c[3] for i, c in counts.items()}
+    hosts = {}
+    for d in docs:
+        n, k = hosts.get(d.source, (0, 0))
+        hosts[d.source] = n + 1, k + failed[d.doc_id]
+    mean, weight = host_rules.prior(len(docs), sum(failed.values()), len(hosts), sum(k * k / n for n, k in hosts.values()))
+    docs = [d for d in docs if not base[d.doc_id] and (hosts[d.source][1] + mean * weight) / (hosts[d.source][0] + weight) < host_rules.HOST_LIMIT]
+
+    model = toxicity.learn(spark.createDataFrame(docs), labels)
+    docs = [d for d, s in zip(docs, model.scores([d.text for d in docs])) if s < toxicity.THRESHOLD]
+
+    classes = plain_join([(d.doc_id, d.text) for d in docs])
+    docs = [d for d, (least, _) in zip(docs, classes) if d.doc_id == least]
+
+    parts = [leak_search.question_and_answer(i.text) for i in items.collect()]
+
+    def leaks(text):
+        words, known = leak_search.words_of(text), {}
+        return any(leak_search.is_leak(leak_search.overlap(q, words, known), leak_search.overlap(a, words, known)) for q, a in parts)
+
+    docs = [d for d in docs if not leaks(d.text)]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = {d.doc_id: library.encode(d.text, add_special_tokens=False).ids for d in docs}
+    made = {r.doc_id: r for r in corpus_pipeline.run(spark, SMALL).collect()}
+    assert {i: r.ids for i, r in made.items()} == wanted
+    assert all(r.decoded == library.decode(r.ids, skip_special_tokens=False) and r.n_tokens == len(r.ids) for r in made.values())
