@@ -14,12 +14,17 @@ from feedback_spark.session import durable
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 SLICE_ROWS = 512
+BATCH_ROWS = 1_024
 
 Batches = Iterator[pa.RecordBatch]
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, wherever the session was started."""
+    """Let Python workers import this package from where the driver has it, wherever the session was started.
+
+    Batches of whole texts are kept small, since JVM and worker each hold some of them at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
