@@ -119,7 +119,8 @@ def judge(df: DataFrame, host_column: str = "source", text_column: str = "text",
     """``df`` with counts, ``base_failed``, ``host_rate`` and ``kept``. Without texts only narrow rows are stored."""
     counted = add_counts(df, text_column, keep_text)
     counted = durable(counted, "rule_counts")
-    hosts = host_verdicts(counted, host_column).select("host", F.col("rate").alias("host_rate"), "host_kept")
+    # Stored, so that its size is known before the join: few hosts are broadcast, many are joined by a shuffle.
+    hosts = durable(host_verdicts(counted, host_column), "hosts").select("host", F.col("rate").alias("host_rate"), "host_kept")
     taken = ("base_failed", "kept", "host_rate", "host_kept", "host")
     plain = counted.drop(*[c for c in taken if c != host_column])
     joined = plain.join(hosts, plain[host_column].eqNullSafe(hosts["host"]))
