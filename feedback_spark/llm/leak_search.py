@@ -8,7 +8,12 @@
    only the blocks of the other terms are opened (the pivot of WAND). A block whose greatest weights together stay
    below the threshold is skipped (block-max), the items of the others are scored in full. All passages of a batch take
    each step at once. Nothing at or above the threshold is lost.
-3. Each document and item found is verified on the whole text by shared word triples of question and answer.
+3. A second index holds the word triples of the items, so that pieces of an item that lie far apart in a document, or
+   whose few rare words are missing, are found too: no pair that the rules of step 4 call a leak depends on the BM25
+   score, items of under five words excepted.
+4. Each document and item found is verified on the whole text by shared word triples. A document leaks an item when it
+   holds more than ``LEAST_WHOLE`` of the triples of question and answer together; below that the answer decides: at
+   least ``LEAST_QUESTION`` of the question and ``LEAST_ANSWER`` of the answer. ``score`` is the best BM25 score in any case.
 
 The index is built for ``INDEX_BYTES`` of item text at a time and sent to the tasks; more items mean further
 passes over the documents, never a larger index. Documents are not shuffled.
@@ -36,6 +41,7 @@ K1, B = 1.2, 0.75
 TUPLE = 3
 LEAST_QUESTION = 0.6
 LEAST_ANSWER = 0.5
+LEAST_WHOLE = 0.6
 INDEX_BYTES = 16_000_000
 
 WORD = re.compile(r"\w+")
@@ -76,7 +82,8 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]], frequency: dict[str, int], n_pieces: int, mean_size: float):
         self.items = items
         self.parts = [question_and_answer(t) for _, t in items]
-        pieces = [(i, w[s : s + PIECE_WORDS]) for i, (_, t) in enumerate(items) for w in [words_of(t)] for s in range(0, len(w), PIECE_WORDS)]
+        self.words = [words_of(t) for _, t in items]
+        pieces = [(i, w[s : s + PIECE_WORDS]) for i, w in enumerate(self.words) for s in range(0, len(w), PIECE_WORDS)]
         self.item_of = np.array([i for i, _ in pieces], np.int64)
         self.terms: dict[str, int] = {}
         rows: list[tuple[int, int, float]] = []
@@ -103,12 +110,83 @@ class Index:
         self.block_starts = np.searchsorted(keys // max(self.n_blocks, 1), np.arange(len(self.terms) + 1))
         self.greatest = np.zeros(len(self.terms))
         np.maximum.at(self.greatest, term, self.weight)
+        self._index_tuples()
+
+    def _index_tuples(self) -> None:
+        """The items of each word tuple, and how many of its tuples a document must hold to leak an item."""
+        cut = self.words
+        ids, owner = self.numbered(cut), np.repeat(np.arange(len(cut)), [len(w) for w in cut])
+        # Tuples are numbered word by word: a level holds the keys (number of the words before, next word).
+        self.levels: list[np.ndarray] = []
+        for n in range(2, TUPLE + 1):
+            self.levels.append(np.zeros(0, np.int64))
+            self.levels[-1] = np.unique(self._tuple_keys(ids, owner, n)[1])
+        owner, key = self._tuple_keys(ids, owner, TUPLE)
+        held = np.unique(np.searchsorted(self.levels[-1], key) * max(len(cut), 1) + owner)
+        key, self.tuple_item = np.divmod(held, max(len(cut), 1))
+        self.tuple_starts = np.searchsorted(key, np.arange(len(self.levels[-1]) + 1))
+        self.needed = np.full(len(cut), np.inf)
+        for i, n in enumerate(np.bincount(self.tuple_item, minlength=len(cut)).tolist()):
+            question, answer = (share * len(tuples(p, TUPLE)) for p, share in zip(self.parts[i], (LEAST_QUESTION, LEAST_ANSWER)))
+            if n:
+                self.needed[i] = max(1.0, min(LEAST_WHOLE * n, question or answer or 1.0))
+
+    def _tuple_keys(self, ids: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key in level ``n``) of each run of ``n`` words whose beginning is a known tuple."""
+        at = np.flatnonzero(ids[: max(0, len(ids) - n + 1)] >= 0)
+        at = at[(owner[at] == owner[at + n - 1]) & (ids[at + n - 1] >= 0)]
+        number = ids[at]
+        for k in range(1, n):
+            if k > 1:
+                level = self.levels[k - 2]
+                place = np.minimum(np.searchsorted(level, number), max(len(level) - 1, 0))
+                same = level[place] == number if len(level) else np.zeros(len(number), bool)
+                at, number = at[same], place[same]
+            known = ids[at + k] >= 0
+            at = at[known]
+            number = number[known] * len(self.terms) + ids[at + k]
+        return owner[at], number
+
+    def numbered(self, cut: list[list[str]]) -> np.ndarray:
+        """The numbers of the words of all texts, -1 for those of no item."""
+        get = self.terms.get
+        return np.array([get(w, -1) for words in cut for w in words], np.int64)
+
+    def share_tuples(self, cut: list[list[str]], ids: np.ndarray) -> list[list[int]]:
+        """For each text the items of which it holds as many word tuples as a leak needs."""
+        owner, key = self._tuple_keys(ids, np.repeat(np.arange(len(cut)), [len(w) for w in cut]), TUPLE)
+        level = self.levels[-1]
+        place = np.minimum(np.searchsorted(level, key), max(len(level) - 1, 0))
+        same = level[place] == key if len(level) else np.zeros(len(key), bool)
+        owner, place = np.divmod(np.unique(owner[same] * max(len(level), 1) + place[same]), max(len(level), 1))
+        at, entry = expand(self.tuple_starts, place)
+        pairs, n = np.unique(owner[at] * max(len(self.items), 1) + self.tuple_item[entry], return_counts=True)
+        text, item = np.divmod(pairs, max(len(self.items), 1))
+        enough = n >= self.needed[item] - 1e-9
+        out: list[list[int]] = [[] for _ in cut]
+        for t, i in zip(text[enough].tolist(), item[enough].tolist()):
+            out[t].append(i)
+        return out
 
-    def retrieve(self, cut: list[list[str]]) -> list[dict[int, float]]:
+    def best_score(self, words: list[str], item: int) -> float:
+        """The best score of a piece of the item over the passages of a text."""
+        terms = {w: t for w in set(words) if (t := self.terms.get(w)) is not None}
+        best = 0.0
+        for piece in range(*np.searchsorted(self.item_of, (item, item + 1)).tolist()):
+            weights = {}
+            for w, t in terms.items():
+                run = self.piece[self.starts[t] : self.starts[t + 1]]
+                k = int(np.searchsorted(run, piece))
+                if k < len(run) and run[k] == piece:
+                    weights[w] = float(self.weight[self.starts[t] + k])
+            for start in range(0, max(1, len(words) - PIECE_WORDS), PIECE_WORDS):
+                best = max(best, sum(weights[w] for w in weights.keys() & set(words[start : start + 2 * PIECE_WORDS])))
+        return best
+
+    def retrieve(self, cut: list[list[str]], ids: np.ndarray | None = None) -> list[dict[int, float]]:
         """For each text the items that one of its passages reaches, with the best score."""
         found: list[dict[int, float]] = [{} for _ in cut]
-        get = self.terms.get
-        ids = np.array([get(w, -1) for words in cut for w in words], np.int64)
+        ids = self.numbered(cut) if ids is None else ids
         sizes = np.array([len(w) for w in cut], np.int64)
         halves = -(-sizes // PIECE_WORDS)
         passages = np.maximum(halves - 1, (sizes > 0).astype(np.int64))
@@ -155,15 +233,27 @@ class Index:
             here[item] = max(here.get(item, 0.0), value)
         return found
 
-    def search(self, texts: list[str]) -> list[list[tuple[int, float, float, float]]]:
-        """(item, score, question overlap, answer overlap) of each text, by item."""
+    def judge(self, texts: list[str]) -> list[list[tuple[int, float, float, float, bool]]]:
+        """(item, score, question overlap, answer overlap, leaked) of each text, by item: those that BM25 finds and all leaks."""
         cut = list(map(words_of, texts))
+        ids = self.numbered(cut)
         out = []
-        for words, found in zip(cut, self.retrieve(cut)):
+        for words, found, near in zip(cut, self.retrieve(cut, ids), self.share_tuples(cut, ids)):
             known: dict[int, set] = {}
-            out.append([(i, s, overlap(self.parts[i][0], words, known), overlap(self.parts[i][1], words, known)) for i, s in sorted(found.items())])
+            rows = []
+            for i in sorted({*found, *near}):
+                question, answer = self.parts[i]
+                parts = overlap(question, words, known), overlap(answer, words, known)
+                leaked = is_leak(*parts, overlap(self.words[i], words, known))
+                if i in found or leaked:
+                    rows.append((i, found[i] if i in found else self.best_score(words, i), *parts, leaked))
+            out.append(rows)
         return out
 
+    def search(self, texts: list[str]) -> list[list[tuple[int, float, float, float]]]:
+        """(item, score, question overlap, answer overlap) of each text, by item."""
+        return [[row[:4] for row in rows] for rows in self.judge(texts)]
+
 
 def expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each term its run of entries: (number of the term in ``terms``, entry)."""
@@ -172,8 +262,8 @@ def expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.arange(len(at)) - np.repeat(np.cumsum(run) - run, run) + np.repeat(starts[terms], run)
 
 
-def is_leak(question: float, answer: float) -> bool:
-    return question >= LEAST_QUESTION and answer >= LEAST_ANSWER
+def is_leak(question: float, answer: float, whole: float = 0.0) -> bool:
+    return whole > LEAST_WHOLE or question >= LEAST_QUESTION and answer >= LEAST_ANSWER
 
 
 def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES):
@@ -199,7 +289,7 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES):
 
 
 def leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, leaked) of every document and item at or above the threshold."""
+    """(doc_id, item_id, score, question_overlap, answer_overlap, leaked) of every document and item that BM25 finds or that is a leak."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, leaked boolean"
     docs = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     result = None
@@ -210,9 +300,9 @@ def leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_colum
                 for start in range(0, whole.num_rows, 256):
                     batch = whole.slice(start, 256)
                     rows = [
-                        (doc, index.items[i][0], score, question, answer, is_leak(question, answer))
-                        for doc, found in zip(batch.column("doc_id").to_pylist(), index.search(texts_of(batch, "text")))
-                        for i, score, question, answer in found
+                        (doc, index.items[i][0], score, question, answer, leaked)
+                        for doc, found in zip(batch.column("doc_id").to_pylist(), index.judge(texts_of(batch, "text")))
+                        for i, score, question, answer, leaked in found
                     ]
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                     columns = list(zip(*rows)) or [()] * 6
@@ -231,8 +321,8 @@ def without_leaks(df: DataFrame, items: DataFrame, text_column: str = "text") ->
     for index in indexes(items):
 
         def work(batch: pa.RecordBatch, index: Index = index) -> dict[str, pa.Array]:
-            found = index.search(texts_of(batch, text_column))
-            return {"_leaked": pa.array([any(is_leak(q, a) for _, _, q, a in f) for f in found], pa.bool_())}
+            found = index.judge(texts_of(batch, text_column))
+            return {"_leaked": pa.array([any(leaked for *_, leaked in f) for f in found], pa.bool_())}
 
         df = with_columns(df, [text_column], "_leaked boolean", work).filter(~F.col("_leaked")).drop("_leaked")
     return df

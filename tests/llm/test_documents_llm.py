@@ -197,6 +197,29 @@ def test_every_planted_item_is_found(spark):
     assert {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text} <= found
 
 
+def test_cut_and_edited_items_are_leaks(spark, frame):
+    """Items cut short, with one word replaced, or in pieces too far apart for one passage; counts against plain triples."""
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
+    rng, rows = random.Random(8), []
+    for i in items:
+        words = i.text.split()
+        edited = list(words)
+        edited[rng.randrange(len(words))] = "replaced"
+        apart = " ".join(" ".join(words[k : k + 12]) + " filler" * 150 for k in range(0, len(words), 12))
+        rows += [(i.item_id, " ".join(t)) for t in (words[:-3], words[: len(words) * 9 // 10], edited, words[: len(words) // 2])] + [(i.item_id, apart)]
+    texts, wanted = frame("doc_id long, text string", *rows), Counter()
+    for k, (item, text) in enumerate(rows):
+        held = leak_search.tuples(leak_search.words_of(text), 3)
+        whole = leak_search.tuples(leak_search.words_of(next(i.text for i in items if i.item_id == item)), 3)
+        if len(held & whole) > 0.6 * len(whole):
+            wanted[item] += 1
+        assert k % 5 > 2 or len(held & whole) > 0.6 * len(whole)
+    found = leak_search.leaks(texts, spark.createDataFrame(items)).filter("leaked").collect()
+    counts = Counter((r.doc_id, r.item_id) for r in found)
+    assert all(counts[i, i] >= n for i, n in wanted.items()) and any(r.score < leak_search.THRESHOLD for r in found)
+    assert leak_search.without_leaks(texts, spark.createDataFrame(items)).count() <= len(rows) - sum(wanted.values())
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
