@@ -1,10 +1,15 @@
 """Main text of web pages: flat text blocks classified by a small decision tree.
 
 1. A page is cut into flat blocks at block-level tags and line breaks. Scripts, styles, templates, comments and the
-   head are dropped; character references are decoded; white space inside a block becomes one space.
+   head are dropped; character references are decoded; white space inside a block becomes one space. The head ends at
+   its end tag, at the body or before the first tag or text that may not stand in it. Other dropped elements end at
+   their end tag or with their parent; one without an end tag also where its parent's end is implied and before an
+   article or main element. Only raw text (``RAW``) and comments run to the end of the page when unclosed, as in browsers.
 2. Each block is described by its words and link density, those of its two neighbours, the kind of its tag and the
    innermost marked container around it: an article or main part, or page furniture such as menus, footers, forms,
-   notices, adverts, sidebars and reader comments, told by tag, role, class or id.
+   notices, adverts, sidebars and reader comments, told by tag, role, class or id. A name alone may mislead
+   (``no-sidebar``): a main element in a container so named is main text, and an article too, except that one among
+   teasers or comments is so only when the page has no other main text.
 3. A decision tree (Gini impurity) decides which blocks are main text. It is grown on the small labelled table
    below when the operator starts, and sent to the tasks.
 
@@ -27,7 +32,9 @@ from pyspark.sql import DataFrame
 from feedback_spark.llm.frames import texts_of, with_columns
 
 # HTML element names.
-DROPPED = "script style template noscript head svg math iframe object canvas audio video select textarea button"
+RAW = "script style iframe textarea"
+DROPPED = frozenset("template noscript head svg math object canvas audio video select button".split())
+IN_HEAD = frozenset("html head title base basefont bgsound link meta noframes noscript template".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu fieldset".split())
 MAIN = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,13 +53,22 @@ FURNITURE_NAME = re.compile(
     r"header|masthead|topbar|toolbar|comment|comments|commentlist|disqus|reply|replies|respond|share|sharing|social|related|recommended|"
     r"widget|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|contentinfo|complementary)(?:$|[\s_-])"
 )
+# Of these, names of lists of teasers or comments, whose entries may be articles.
+TEASER_NAME = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|comment|comments|commentlist|disqus|"
+    r"reply|replies|respond|related|recommended|widget)(?:$|[\s_-])|(?:^|\s)(?:sidebar|side-bar|aside|rail|complementary)(?:$|\s)"
+)
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:main|articlebody|article-body|post-content|entry-content|main-content|article)(?:$|[\s_-])")
 
-REMOVED = re.compile(rf"<!--.*?(?:-->|$)|<({'|'.join(DROPPED.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S | re.I)
+REMOVED = re.compile(rf"<!--.*?(?:-->|$)|<({'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S | re.I)
+DROPPED_END = re.compile(rf"</({'|'.join(sorted(DROPPED))})\b", re.I)
+TITLE_END = re.compile(r"</title\b", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 FURNITURE_MARK, NO_MARK, MAIN_MARK = -1, 0, 1
+# On open containers only: marked by name alone; the same for teasers or comments; dropped; an article among teasers or comments.
+NAMED_MARK, TEASER_MARK, DROPPED_MARK, ENTRY_MARK = -2, -3, -4, 2
 
 
 @dataclass
@@ -66,15 +82,23 @@ class Block:
 
 def container_mark(name: str, attributes: str, outer: int) -> int:
     """The mark of an element inside a container marked ``outer``."""
-    if outer == FURNITURE_MARK:
+    if outer in (FURNITURE_MARK, DROPPED_MARK):
         return outer
     found = " ".join(" ".join(m) for m in NAMES.findall(attributes)).lower() if "=" in attributes else ""
-    if name in MAIN or found and MAIN_NAME.search(found) and not FURNITURE_NAME.search(found):
-        return MAIN_MARK
-    if name == "header" and outer == MAIN_MARK:
+    named = bool(found) and name not in ("html", "body") and FURNITURE_NAME.search(found) is not None
+    if outer in (NAMED_MARK, TEASER_MARK):
+        if name == "main" or name == "article" and outer == NAMED_MARK:
+            return MAIN_MARK if name == "main" or not (named and TEASER_NAME.search(found)) else TEASER_MARK
+        if name == "article" and not named:
+            return ENTRY_MARK
+    elif name in MAIN or found and MAIN_NAME.search(found) and not FURNITURE_NAME.search(found):
+        return outer if outer == ENTRY_MARK and name != "main" else MAIN_MARK
+    if name == "header" and outer in (MAIN_MARK, ENTRY_MARK):
         return outer  # the head of an article belongs to it
-    if name in FURNITURE or found and name not in ("html", "body") and FURNITURE_NAME.search(found):
+    if name in FURNITURE:
         return FURNITURE_MARK
+    if named:
+        return TEASER_MARK if outer == TEASER_MARK or TEASER_NAME.search(found) else NAMED_MARK
     return outer
 
 
@@ -84,6 +108,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked, at, link_depth, kind = 0, 0, 0, 0
+    last_end = {m[1].lower(): m.start() for m in DROPPED_END.finditer(page)}
+    skip, titles = 0, True
 
     def end_block() -> None:
         nonlocal linked, parts
@@ -95,17 +121,46 @@ def blocks_of(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][1] == DROPPED_MARK:
+            if stack[-1][0] != "head" or text.isspace():
+                return
+            stack.pop()
         parts.append(text)
         if link_depth:
             linked += len("".join(html.unescape(text).split()))
 
     for tag in TAG.finditer(page):
+        if tag.start() < skip:
+            continue
         if tag.start() > at:
             add(page[at : tag.start()])
         at = tag.end()
         if not tag[2]:
             continue
         name = tag[2].lower()
+        if name == "title" and not tag[1] and titles:
+            end = TITLE_END.search(page, at)
+            skip = at = end.start() if end else at
+            titles = end is not None
+            continue
+        if name == "body" and not tag[1] and (heads := [i for i, (n, _) in enumerate(stack) if n == "head"]):
+            del stack[heads[0] :]
+        elif stack and stack[-1][0] == "head" and (name in ("body", "html", "br") if tag[1] else name not in IN_HEAD):
+            stack.pop()
+        if name in DROPPED:
+            in_head = bool(stack) and stack[-1][0] == "head"
+            if tag[1] or name in ("button", "select"):
+                open_one = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                if open_one is not None:
+                    del stack[open_one:]
+            if not tag[1] and not (name in ("svg", "math") and tag[3].endswith("/")) and not (in_head and (name == "head" or last_end.get(name, -1) < at)):
+                stack.append((name, DROPPED_MARK))
+            continue
+        # A dropped element that has no end tag ends where its parent does, also when that is implied.
+        while not tag[1] and stack and stack[-1][0] in DROPPED and last_end.get(stack[-1][0], -1) < at:
+            if name not in MAIN and not (name in SELF_CLOSING and len(stack) > 1 and stack[-2][0] == name):
+                break
+            stack.pop()
         if name == "a":
             link_depth = 0 if tag[1] else 1
         if name not in BLOCKS:
@@ -134,6 +189,9 @@ def blocks_of(page: str) -> list[Block]:
     if at < len(page) and not page[at:].lstrip().startswith("<"):
         add(page[at:])
     end_block()
+    entries = FURNITURE_MARK if any(b.mark == MAIN_MARK for b in out) else MAIN_MARK
+    for block in out:
+        block.mark = entries if block.mark == ENTRY_MARK else max(block.mark, FURNITURE_MARK)
     return out
 
 

@@ -42,6 +42,28 @@ def test_furniture_goes_and_blocks_stay():
     assert html_blocks.main_text("", tree) == "" and html_blocks.main_text("<<<> <p", tree) == ""
 
 
+ARTICLE = "<article><h1>Head line</h1><p>" + "word " * 30 + "<p>Last one here</article>"
+TEXT = ["Head line", ("word " * 30).strip(), "Last one here"]
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t <b> u</title><meta charset=utf-8><body>" + ARTICLE,
+    "<html><head><title>t</title><link rel=x href=y><noscript><img src=z></noscript>" + ARTICLE + "<footer>f</footer>",
+    "<head><noscript><style>p{}</style><title>t</title><body><nav><a href=1>Home</a></nav>" + ARTICLE,
+    "<HEAD><TITLE>t</TITLE></HEAD><BODY>" + ARTICLE + "</BODY>",
+    *(f"<html><head></head><body><div><{n} id=q>inner</div>{ARTICLE}</body>" for n in ("button", "select", "object", "audio", "video", "canvas", "svg")),
+    "<body><div><button>a</div>" + ARTICLE + "<div><button>b</button></div>",
+    "<body><nav><ul><li><button>a<li><a href=1>b</a></ul></nav><video src=v>" + ARTICLE,
+    *(f"<body><div class='{n}'>{ARTICLE}</div><footer>f</footer>" for n in ("content-sidebar-wrap", "no-sidebar", "with-comments")),
+    "<body><main class=no-sidebar><div class=content-sidebar-wrap>" + ARTICLE + "</div></main>",
+    "<body>" + ARTICLE + "<div class=related><article><p>" + "other " * 30 + "</article></div>",
+    "<body><div class=content-sidebar-wrap>" + ARTICLE + "<div class=sidebar><article><p>" + "other " * 30 + "</article></div></div>",
+    "<body>" + ARTICLE + "<ol class=comments><li><article class=comment-body><p>" + "other " * 30 + "</article></ol>",
+])
+def test_optional_tags_and_misleading_names(page):
+    assert html_blocks.main_text(page, html_blocks.train()).split("\n") == TEXT
+
+
 def test_tree_repeats_its_table():
     rows = html_blocks.labelled_rows(html_blocks.LABELLED_PAGES)
     wrong = (html_blocks.train().predict(rows[:, :-1]) != (rows[:, -1] == 1)).sum()
