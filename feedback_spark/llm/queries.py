@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedback_spark.llm import (
-    bin_packing, host_rules, html_blocks, huffman_files, leak_search, merge_tree, ngram_join, piece_counts, toxicity, transcripts,
+    bin_packing, filter_audit, host_rules, html_blocks, huffman_files, leak_search, merge_tree, ngram_join, piece_counts, toxicity, transcripts,
 )
 from feedback_spark.llm.frames import importable, table
 
@@ -143,3 +143,37 @@ def op3_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_leak_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_search.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = """
+WITH RECURSIVE l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS bad
+                     FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+             (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::INT
+             + 8 * regexp_matches(text, '[#$%&*|]')::INT
+             + 16 * coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)::INT AS mask
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY ALL),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(prefix, bit, before, step) AS (
+  SELECT '', 0, 0, 0 UNION ALL
+  SELECT p.prefix || f.letter, f.bit, p.before + p.bit, p.step + 1 FROM p, f WHERE (p.before + p.bit) & f.bit = 0),
+o AS (SELECT o.prefix AS filter_order, p.* FROM p AS o JOIN p ON p.prefix = left(o.prefix, p.step) WHERE o.step = 5 AND p.step > 0),
+r AS (SELECT part, filter_order, step, any_value(bit) AS bit,
+             sum(CASE WHEN mask & (before + bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+             sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+             sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+      FROM c, o GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
