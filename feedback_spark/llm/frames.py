@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from feedback_spark.session import durable
@@ -14,6 +16,7 @@ from feedback_spark.session import durable
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 SLICE_ROWS = 512
+SLICE_BYTES = 2_000_000
 BATCH_ROWS = 1_024
 
 Batches = Iterator[pa.RecordBatch]
@@ -40,6 +43,25 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, columns: list[str], most_rows: int = SLICE_ROWS, most_bytes: int = SLICE_BYTES) -> Batches:
+    """``batch`` in runs of rows that hold at most so many rows and bytes of text in ``columns``, one row at least.
+
+    They bound what a task holds at a time, whatever size of batch Spark sends and however long its texts are.
+    """
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for name in columns:
+        values = batch.column(name)
+        if pa.types.is_string(values.type) or pa.types.is_binary(values.type):
+            sizes += pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(start + most_rows, max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def with_columns(
     df: DataFrame, inputs: list[str], added: str, work: Callable[[pa.RecordBatch], dict[str, pa.Array]], drop: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -55,9 +77,7 @@ def with_columns(
 
     def run(batches: Batches) -> Batches:
         for whole in batches:
-            # Small slices bound what a task holds at a time, whatever size of batch Spark sends.
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
+            for batch in slices(whole, inputs):
                 made = work(batch)
                 arrays = [made[n] if n in made else batch.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
@@ -70,8 +90,16 @@ def text_key(text) -> "F.Column":
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A working column name that no column of ``df`` has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lists(values, offsets) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-__all__ = ["Batches", "WORD_PATTERN", "durable", "importable", "lists", "table", "text_key", "texts_of", "with_columns"]
+__all__ = ["Batches", "WORD_PATTERN", "durable", "importable", "lists", "slices", "table", "text_key", "texts_of", "unused", "with_columns"]

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedback_spark.llm import (
-    bin_packing, filter_audit, host_rules, html_blocks, huffman_files, leak_search, merge_tree, ngram_join, piece_counts, toxicity, transcripts,
+    bin_packing, filter_audit, host_rules, html_blocks, huffman_files, leak_search, merge_tree, ngram_join, piece_counts, pu_quality, toxicity,
+    transcripts, whitening,
 )
 from feedback_spark.llm.frames import importable, table
 
@@ -177,3 +178,13 @@ r AS (SELECT part, filter_order, step, any_value(bit) AS bit,
       FROM c, o GROUP BY part, filter_order, step)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM r"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
