@@ -59,9 +59,7 @@ def headerless_detect(spark, sf):
     """The verdict for the file with and the file without a header, of the same rows."""
     headed = _csv(base.feedback(spark, sf).select(F.col("text").alias("raw_text"), "label"), shared_path(spark, "headed"))
     found = [
-        csv_files.first_record(spark, path).select(
-            F.lit(kind).alias("kind"), csv_files.looks_headerless(F.col("cells")).alias("headerless")
-        )
+        csv_files.file_layouts(spark, path).groupBy(F.lit(kind).alias("kind")).agg(F.bool_and(~F.col("headed")).alias("headerless"))
         for kind, path in (("headed", headed), ("headerless", _headerless(spark, sf)))
     ]
     return found[0].unionByName(found[1])
@@ -79,7 +77,8 @@ def detect_encoding(spark, sf):
     docs = base.documents(spark, sf)
     for encoding in ("UTF-8", "ISO-8859-1"):
         _csv(docs, f"{folder}/{encoding}", encoding=encoding)
-    found = csv_files.detect_encodings(spark, [f"{folder}/UTF-8", f"{folder}/ISO-8859-1"])
+    found = csv_files.file_layouts(spark, [f"{folder}/UTF-8", f"{folder}/ISO-8859-1"])
+    found = found.withColumn("encoding", F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1"))
     return found.groupBy("encoding").agg(
         F.bool_and(F.contains("file", "encoding")).alias("as_written")
     )

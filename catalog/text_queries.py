@@ -63,7 +63,7 @@ def clean_text(spark, sf):
 
 @query("clean_pages", f"SELECT page_id, {base.clean_sql('html')} AS cleaned_text FROM pages")
 def clean_pages(spark, sf):
-    pages = base.spread(base.table(spark, sf, "pages"), "page_id")
+    pages = base.table(spark, sf, "pages")
     return pages.select("page_id", text.clean_text(F.col("html")).alias("cleaned_text"))
 
 

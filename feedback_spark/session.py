@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_FOLDER = "spark.checkpoint.dir"
 
 
+def by_value(module: str) -> None:
+    """Send the functions of ``module`` to tasks whole, so that workers need not import this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(cores: int | str = "*", app: str = "feedback_spark", **conf: str) -> SparkSession:
     """A session for tests and benches. On a cluster the caller brings its own."""
     builder = (
@@ -56,9 +63,9 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a test table, one file of one row group, over the cores.
+    """Deal the rows of an input with fewer splits than there are cores over the cores; leave any wider input as it is.
 
-    Rows are dealt in turn and not by a key, so every later step is planned as it is
-    over an input of many splits.
+    Test tables are single files of one row group. What this moves is at most one split per core.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

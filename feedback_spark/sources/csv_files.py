@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from feedback_spark.functions.text import strip
+from feedback_spark.sources import csv_records
 from feedback_spark.session import durable
 
 # First cells that mark a header, and second cells that mark data.
@@ -27,10 +28,9 @@ class Layout:
     columns: list[str]
 
 
-def _reader(spark: SparkSession, encoding: str, header: bool, multi_line: bool = True):
+def _reader(spark: SparkSession, encoding: str, header: bool):
     return (
         spark.read.option("header", header)
-        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", encoding)
@@ -50,52 +50,11 @@ def looks_headerless(cells: Column) -> Column:
     )
 
 
-def first_record(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """The first record as (cells); a limit of one row, so one file is opened."""
-    head = _reader(spark, encoding, False).csv(path)
-    cells = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in head.columns])
-    return head.limit(1).select(cells.alias("cells"))
-
-
-def detect_layout(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> Layout:
-    """Header or not, and the column names; the files of one data set share both."""
-    found = first_record(spark, path, encoding).select("cells", looks_headerless(F.col("cells")).alias("h")).head()
-    if found is None:
-        raise ValueError("CSV is empty")
-    if found.h:
-        return Layout(False, HEADERLESS_SCHEMA)
-    columns = [c.strip().lstrip("\ufeff").strip() for c in found.cells]
-    if not any(columns):
-        raise ValueError("CSV has no header row")
-    return Layout(True, columns)
-
-
-def detect_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, encoding): UTF-8 when every line of the file is valid, else latin-1.
-
-    Lines are checked as raw bytes in the splittable text scan, so a file of
-    any size is read by many tasks and one flag per file and split is shuffled.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid")
-    )
-    encoding = F.when(F.bool_and("valid"), "UTF-8").otherwise("ISO-8859-1")
-    return lines.groupBy("file").agg(encoding.alias("encoding"))
-
-
-def _cells(spark: SparkSession, path: str | list[str], width: int, multi_line: bool) -> DataFrame:
-    """(file, place, cells, short) of every record, cells as raw bytes in latin-1 characters.
-
-    ``place`` orders the records of a file: the start of the split, then the record's place in the scan. The
-    scan of the same files has the same splits each time.
-    """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"c{i}" for i in range(width)), SHORT_RECORD]])
-    reader = _reader(spark, "ISO-8859-1", False, multi_line).option("columnNameOfCorruptRecord", SHORT_RECORD)
-    return reader.schema(schema).csv(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"),
-        F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"),
-        F.col(SHORT_RECORD).alias("short"),
+def _cells(chunks: DataFrame, width: int, multi_line: bool) -> DataFrame:
+    """(file, place, cells, short) of every record, cells as raw bytes in latin-1 characters."""
+    parsed = csv_records.cut(chunks, multi_line).withColumn("parsed", csv_records.cells_of(F.col("record"), width, SHORT_RECORD))
+    return parsed.select(
+        "file", "place", F.array(*[F.col(f"parsed.c{i}") for i in range(width)]).alias("cells"), F.col(f"parsed.{SHORT_RECORD}").alias("short")
     )
 
 
@@ -107,25 +66,27 @@ def _decoded(cells: Column, utf8: Column) -> Column:
     return F.transform(cells, lambda c: F.when(utf8, _as_utf8(c)).otherwise(c))
 
 
-def file_layouts(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> tuple[DataFrame, int]:
-    """((file, first, utf8, headed, names) of every file, most columns): encoding and header decided per file.
+def file_layouts(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """(file, first, utf8, headed, names) of every file: encoding and header decided per file.
 
-    ``names`` are the trimmed column names, blank for a column without a name and for all but the last of a
-    repeated name. Files come and go by expression; their names never pass through the driver.
+    A file is UTF-8 when all its bytes are valid, else latin-1. ``first`` is the place of its first record. ``names`` are
+    the trimmed column names, blank for a column without a name and for all but the last of a repeated name. Files come
+    and go by expression; their names never pass through the driver.
     """
-    width = max(1, len(_reader(spark, "ISO-8859-1", False, multi_line).csv(path).columns))
-    valid = F.forall("cells", lambda c: c.isNull() | F.is_valid_utf8(_as_utf8(c)))
-    while True:
-        found = _cells(spark, path, width, multi_line).groupBy("file").agg(
-            F.min("place").alias("first"), F.bool_and(valid).alias("utf8"),
-            F.min_by(F.struct("cells", "short"), "place").alias("record"),
-        )
-        found = durable(found, "layouts")
-        # A wider first record in some file: its commas bound its cells.
-        more = found.agg(F.max(F.regexp_count(F.col("record.short"), F.lit(",")) + 1)).first()[0] or 0
-        if more <= width:
-            break
-        width = more
+    return _layouts(csv_records.with_states(csv_records.stored_lines(spark, path, multi_line)), multi_line)[0]
+
+
+def _layouts(chunks: DataFrame, multi_line: bool) -> tuple[DataFrame, int]:
+    """(layouts, most columns of a first record); only the chunks of first records are cut."""
+    encodings = chunks.groupBy("file").agg(F.bool_and("utf8").alias("utf8"))
+    first = csv_records.cut(csv_records.first_chunks(chunks), multi_line).groupBy("file").agg(
+        F.min("place").alias("first"), F.min_by("record", "place").alias("raw")
+    )
+    found = durable(first.join(encodings, "file"), "first_records")
+    width = found.agg(F.max(csv_records.cell_count(F.col("raw")))).first()[0] or 1
+    parsed = csv_records.cells_of(F.col("raw"), width, SHORT_RECORD)
+    own = F.struct(F.array(*[F.col(f"parsed.c{i}") for i in range(width)]).alias("cells"), F.col(f"parsed.{SHORT_RECORD}").alias("short"))
+    found = found.withColumn("parsed", parsed).withColumn("record", own).drop("parsed", "raw")
     cells = _decoded(F.transform("record.cells", lambda c: F.coalesce(c, F.lit(""))), F.col("utf8"))
     held = found.withColumn("cells", F.transform(cells, lambda c, i: F.when(i == 0, F.ltrim(c, F.lit(BOM))).otherwise(c)))
     # Cells that the record does not have are no cells of it.
@@ -152,16 +113,17 @@ def read_csv(
     """Trimmed string columns of the files, blank rows dropped.
 
     Encoding and header are decided for each file, so files of one folder may differ in both; columns meet
-    by name, and a file without a column has blanks there. Give ``layout`` and ``encoding`` when all files share
-    them, which spares the look at the files. ``multi_line=False`` lets files without line breaks inside quotes be
-    read in splits. ``keep_file`` adds ``source_file`` and ``source_place``, the record's order in it. ``limit`` is a
+    by name, and a file without a column has blanks there. Files of any size are read in splits, also with line breaks
+    inside quotes. ``multi_line=False`` takes every line for a record; with ``layout`` and ``encoding`` given as well, the files
+    are read in one plain scan. ``keep_file`` adds ``source_file`` and ``source_place``, the record's order in it. ``limit`` is a
     plain row limit, off by default.
     """
-    if layout is not None and encoding != "auto":
-        rows = _read_alike(spark, path, layout, encoding, keep_file, multi_line)
+    if layout is not None and encoding != "auto" and not multi_line:
+        rows = _read_alike(spark, path, layout, encoding, keep_file)
         return rows.limit(limit) if limit is not None else rows
-    found, width = file_layouts(spark, path, multi_line)
-    files = durable(found, "layouts")
+    chunks = csv_records.with_states(csv_records.stored_lines(spark, path, multi_line))
+    files, width = _layouts(chunks, multi_line)
+    files = durable(files, "layouts")
     if layout is not None:
         given = F.array(*[F.lit(c) for c in layout.columns])
         files = files.withColumn("headed", F.lit(layout.header)).withColumn("names", given)
@@ -174,7 +136,7 @@ def read_csv(
     columns = list(dict.fromkeys(c for shape in shapes for c in shape.names if c))
     if not columns:
         raise ValueError("CSV has no header row")
-    raw = _cells(spark, path, width, multi_line).join(files.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"))
+    raw = _cells(chunks, max(width, len(columns)), multi_line).join(files.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"))
     first = F.col("place") == F.col("first")
     # Without a header a record of a single cell is left out, unlike one whose second cell is blank.
     single = ~F.col("headed") & F.get("cells", F.lit(1)).isNull() & F.col("short").isNotNull()
@@ -188,13 +150,13 @@ def read_csv(
     return rows.limit(limit) if limit is not None else rows
 
 
-def _read_alike(spark, path, layout: Layout, encoding: str, keep_file: bool, multi_line: bool) -> DataFrame:
+def _read_alike(spark, path, layout: Layout, encoding: str, keep_file: bool) -> DataFrame:
     """Files of one given layout and encoding, by position."""
     # Unnamed columns, and all but the last of a repeated name, get a name to be dropped by.
     kept = [c if c and c not in layout.columns[i + 1:] else "" for i, c in enumerate(layout.columns)]
     fields = [c or f"_unnamed{i}" for i, c in enumerate(kept)]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*fields, SHORT_RECORD]])
-    reader = _reader(spark, encoding, layout.header, multi_line).option("columnNameOfCorruptRecord", SHORT_RECORD)
+    reader = _reader(spark, encoding, layout.header).option("columnNameOfCorruptRecord", SHORT_RECORD)
     raw = reader.schema(schema).csv(path)
     if not layout.header:
         # A record of a single cell is left out, unlike one whose second cell is blank.

@@ -38,7 +38,8 @@ def test_byte_order_mark_and_repeated_names(spark, written):
 
 def test_headerless_file(spark, written):
     content = 'The show was grand!,pos\n"Okay, nothing more.",neutral\nlonely\n , \nGood,\n'
-    assert csv_files.detect_layout(spark, written(content)) == csv_files.Layout(False, ["raw_text", "label"])
+    found = csv_files.file_layouts(spark, written(content)).first()
+    assert not found.headed and found.names == ["raw_text", "label"]
     df = csv_files.read_csv(spark, written(content))
     assert sorted(rows(df)) == [("Good", ""), ("Okay, nothing more.", "neutral"), ("The show was grand!", "pos")]
 
@@ -48,15 +49,14 @@ def test_headerless_file(spark, written):
     (",pos", False), ("a,b,pos", False), ("nice", False),
 ])
 def test_headerless_verdict(spark, written, line, verdict):
-    cells = csv_files.first_record(spark, written(line + "\nx,y\n"))
-    assert cells.select(csv_files.looks_headerless(F.col("cells"))).first()[0] is verdict
+    assert csv_files.file_layouts(spark, written(line + "\nx,y\n")).first().headed is not verdict
 
 
 def test_encodings(spark, written):
     one = written("text,label\ncafé,a\n", "utf.csv")
     two = written("text,label\ncafé,b\n".encode("latin-1"), "latin.csv")
-    found = {r.file.rsplit("/", 1)[1]: r.encoding for r in csv_files.detect_encodings(spark, [one, two]).collect()}
-    assert found == {"utf.csv": "UTF-8", "latin.csv": "ISO-8859-1"}
+    found = {r.file.rsplit("/", 1)[1]: r.utf8 for r in csv_files.file_layouts(spark, [one, two]).collect()}
+    assert found == {"utf.csv": True, "latin.csv": False}
     assert sorted(rows(csv_files.read_csv(spark, [one, two]))) == [("café", "a"), ("café", "b")]
     assert rows(csv_files.read_csv(spark, two)) == [("café", "b")]
 
