@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedback_spark.functions.labels import polarity_group
 from feedback_spark.functions.numbers import number_or, round_half_even
+from feedback_spark.operators import frequent
 from feedback_spark.operators.tokens import long_enough
 
 # Lengths of the reported lists and the keyword score.
@@ -34,20 +35,28 @@ def top_words(counts: DataFrame, stops: DataFrame, limit: int = TOP_WORDS) -> Da
     return content_words(counts, stops).orderBy(F.desc("n"), "word").limit(limit)
 
 
-def bigram_counts(pairs: DataFrame, stops: DataFrame) -> DataFrame:
-    """(w1, w2, n) of pairs of two content words.
-
-    Pairs are nearly all different, so stop words go before the count.
-    """
+def content_pairs(pairs: DataFrame, stops: DataFrame) -> DataFrame:
+    """Pairs of two content words. Pairs are nearly all different, so stop words go before any count."""
     kept = pairs.filter(long_enough(F.col("w1")) & long_enough(F.col("w2")))
     for side in ("w1", "w2"):
         kept = kept.join(stops.withColumnRenamed("word", side), side, "left_anti")
-    return kept.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    return kept
+
+
+def bigram_counts(pairs: DataFrame, stops: DataFrame) -> DataFrame:
+    """(w1, w2, n) of all pairs of two content words."""
+    return content_pairs(pairs, stops).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_bigrams(pairs: DataFrame, stops: DataFrame, limit: int = TOP_BIGRAMS) -> DataFrame:
-    best = bigram_counts(pairs, stops).orderBy(F.desc("n"), "w1", "w2").limit(limit)
-    return best.select(F.concat_ws(" ", "w1", "w2").alias("bigram"), "w1", "w2", "n")
+    """(bigram, w1, w2, n) of the most frequent pairs of content words, ties by name.
+
+    Frequent pairs are named by summaries and counted exactly, so that not every pair of the corpus is shuffled.
+    """
+    both = content_pairs(pairs, stops).select(F.concat_ws(" ", "w1", "w2").alias("value"))
+    best = frequent.top_values(both, limit)
+    words = F.split("value", " ")
+    return best.select(F.col("value").alias("bigram"), words[0].alias("w1"), words[1].alias("w2"), "n")
 
 
 def ranked_words(top: DataFrame, limit: int = KEYWORD_WORDS) -> DataFrame:

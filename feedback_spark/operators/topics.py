@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from feedback_spark.functions.labels import polarity_group
 from feedback_spark.functions.numbers import whole_percent
 from feedback_spark.functions.text import title_case
+from feedback_spark.operators import gibbs
+from feedback_spark.session import durable
 
 # Size of the model and of the reported lists.
 TOPICS = 3
@@ -57,7 +60,7 @@ def fit_topics(
     Each iteration reads all documents, so nothing is sampled. Terms are hashed
     to ``buckets`` features: the driver holds the used buckets and one weight per
     topic and bucket, whatever the vocabulary. Two words in one bucket count as
-    one word; the bucket goes by the name of the more frequent, then the first by name.
+    one word to the model; ``topic_beta`` tells them apart again.
     """
     hashed = lists.select(key, F.transform("terms", lambda t: bucket_of(t, buckets)).alias("terms"))
     used = [r.term for r in hashed.select(F.explode("terms").alias("term")).distinct().orderBy("term").collect()]
@@ -73,32 +76,85 @@ def fit_topics(
     return TopicModel(lda.fit(vectors), lists, vectors, used, buckets)
 
 
-def bucket_names(lists: DataFrame, chosen: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term) for the ``chosen`` buckets, from the counts of the words that fall into them."""
+def term_weights(lists: DataFrame, shares: DataFrame, chosen: list[str], buckets: int = BUCKETS, key: str = "doc_id") -> DataFrame:
+    """(bucket, term, weights) of all words in the ``chosen`` buckets: per topic their counts, each weighed by the topic's share of its document.
+
+    ``shares``: (key, shares). Shares are summed in billionths, so any order of rows gives the same sums.
+    """
     bucket = bucket_of(F.col("term"), buckets)
-    words = lists.select(F.explode("terms").alias("term")).filter(bucket.isin(chosen))
-    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket)
-    first = F.min(F.struct((-F.col("n")).alias("rank"), "term"))
-    return counted.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.term")
+    words = lists.select(key, F.explode("terms").alias("term")).filter(bucket.isin(chosen))
+    per_document = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    weighed = per_document.join(shares, key).select(
+        "term", F.posexplode(F.transform("shares", lambda s: F.rint(s * 1e9).cast("long"))).alias("topic", "share"), "n"
+    )
+    summed = weighed.groupBy("term", "topic").agg(F.sum(F.col("share") * F.col("n")).alias("weight"))
+    return summed.withColumn("bucket", bucket)
 
 
-def topic_beta(fitted: TopicModel, limit: int = TERMS) -> DataFrame:
-    """(topic, term, beta) of the leading terms, ties at the last place kept.
+def split_beta(found: list[tuple[int, str, float]], weights: DataFrame) -> DataFrame:
+    """(topic, term, beta): each bucket's beta split over its words by their weights in the topic."""
+    heavy = weights.sparkSession.createDataFrame(found, "topic int, bucket string, whole double")
+    in_bucket = Window.partitionBy("topic", "bucket")
+    joined = weights.withColumn("topic", F.col("topic") + 1).join(F.broadcast(heavy), ["topic", "bucket"])
+    part = F.col("weight") / F.greatest(F.sum("weight").over(in_bucket), F.lit(1))
+    return joined.select("topic", "term", (F.col("whole") * part).alias("beta"))
+
 
-    The model is on the driver already. More buckets than wanted are asked
-    for, and more again while the last one still ties with the last place.
+def split_terms(ranked, lists: DataFrame, shares: DataFrame, n_buckets: int, limit: int, buckets: int, key: str = "doc_id") -> DataFrame:
+    """The leading terms of all topics when buckets are split, ties at the last place kept.
+
+    ``ranked(m)`` gives (topic, bucket, beta) of each topic's ``m`` heaviest buckets. A word is no heavier than its bucket, so the list
+    is complete once the last bucket looked at is lighter than the last term listed; until then twice as many are asked for.
     """
-    asked = min(4 * limit, len(fitted.used))
+    asked = min(4 * limit, n_buckets)
     while True:
-        rows = fitted.model.describeTopics(asked).collect()
-        if asked == len(fitted.used) or all(r.termWeights[limit - 1] > r.termWeights[-1] for r in rows):
-            break
-        asked = min(2 * asked, len(fitted.used))
-    found = [(r.topic + 1, fitted.used[i], float(w)) for r in rows for i, w in zip(r.termIndices, r.termWeights)]
-    # As many rows as there are leading buckets.
-    named = {r.bucket: r.term for r in bucket_names(fitted.lists, sorted({b for _, b, _ in found}), fitted.buckets).collect()}
-    rows = [(topic, named[bucket], beta) for topic, bucket, beta in found]
-    return top_terms_ties(fitted.documents.sparkSession.createDataFrame(rows, "topic int, term string, beta double"), limit)
+        found = ranked(asked)
+        chosen = sorted({b for _, b, _ in found})
+        terms = durable(top_terms_ties(split_beta(found, term_weights(lists, shares, chosen, buckets, key)), limit), "topic_terms")
+        lightest: dict[int, float] = {}
+        for topic, _, beta in found:
+            lightest[topic] = min(beta, lightest.get(topic, beta))
+        # One row per topic.
+        listed = {r.topic: r for r in terms.groupBy("topic").agg(F.min("beta").alias("least"), F.count(F.lit(1)).alias("n")).collect()}
+        if asked == n_buckets or all(t in listed and listed[t].n >= limit and lightest[t] < listed[t].least for t in lightest):
+            return terms
+        asked = min(2 * asked, n_buckets)
+
+
+def topic_beta(fitted: TopicModel, limit: int = TERMS) -> DataFrame:
+    """(topic, term, beta) of the leading terms, ties at the last place kept; words that share a bucket share its weight."""
+    key = fitted.documents.columns[0]
+    shares = fitted.model.transform(fitted.documents).select(key, vector_to_array("topicDistribution").alias("shares"))
+
+    def ranked(asked: int) -> list[tuple[int, str, float]]:
+        rows = fitted.model.describeTopics(asked).collect()  # as many numbers as leading buckets
+        return [(r.topic + 1, fitted.used[i], float(w)) for r in rows for i, w in zip(r.termIndices, r.termWeights)]
+
+    return split_terms(ranked, fitted.lists, shares, len(fitted.used), limit, fitted.buckets, key)
+
+
+def gibbs_beta(
+    lists: DataFrame, k: int = TOPICS, *, limit: int = TERMS, key: str = "doc_id", buckets: int = BUCKETS, seed: int = SEED, **sweeps: float
+) -> DataFrame | None:
+    """``topic_beta`` of topics found by collapsed Gibbs sampling over (key, terms); None when fewer than two topics can be told apart.
+
+    ``sweeps``: burn_in, sweeps, thin, alpha and delta of ``gibbs.fit``.
+    """
+    numbered = lists.select(
+        F.col(key).cast("long").alias("key"), F.transform("terms", lambda t: bucket_of(t, buckets).cast("int")).alias("words")
+    )
+    used = [r.word for r in numbered.select(F.explode("words").alias("word")).distinct().orderBy("word").collect()]  # at most ``buckets``
+    use = min(k, lists.limit(k + 1).count() - 1)
+    if not used or use < 2:
+        return None
+    fitted = gibbs.fit(numbered, use, buckets, vocabulary=len(used), seed=seed, **sweeps)
+    shares = gibbs.document_shares(fitted).withColumnRenamed("key", key)
+    own = fitted.beta[:, used]
+
+    def ranked(asked: int) -> list[tuple[int, str, float]]:
+        return [(t + 1, str(used[i]), float(row[i])) for t, row in enumerate(own) for i in np.argsort(-row, kind="stable")[:asked].tolist()]
+
+    return split_terms(ranked, lists, shares, len(used), limit, buckets, key)
 
 
 def top_terms_ties(table: DataFrame, limit: int = TERMS, group: str = "topic", weight: str = "beta") -> DataFrame:
