@@ -7,9 +7,9 @@
    least node only, never pair by pair.
 3. Nodes linked over buckets form candidate groups. The members' whole shingle sets are fetched once, and a
    group is verified in blocks of about ``BLOCK_NODES`` nodes: every pair of blocks is one unit of work that
-   compares all its pairs exactly by an inverted index of shingles, adds up links per node and passes on only a
-   spanning forest. So a group of any size is spread over tasks, no link between different texts is lost, and
-   no table of pairs arises.
+   compares all its pairs exactly by an inverted index of shingles and adds up links per node. A block passes on a
+   spanning forest, a pair of blocks only the edges that join their classes, so edges grow with the nodes. A group
+   of any size is spread over tasks, no link between different texts is lost, and no table of pairs arises.
 4. Components over the verified links give the classes.
 
 A pair of exactly the least similarity misses all bands with odds of 1 - ``RECALL``; candidate groups make up
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from feedback_spark.llm.components import components
-from feedback_spark.llm.frames import Batches, durable, text_key, texts_of
+from feedback_spark.llm.frames import Batches, durable, slices, text_key, texts_of, unused
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -124,8 +124,7 @@ def signatures(df: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for batch in slices(whole, ["text"]):
                 sets = [shingles(t) for t in texts_of(batch, "text")]
                 nodes = [node_number(s) for s in sets]
                 hashed = [buckets(s, bands, rows) if len(s) else None for s in sets]
@@ -156,8 +155,7 @@ def verified_links(df: DataFrame, groups: DataFrame, similarity: float) -> DataF
 
     def sets(batches: Batches) -> Batches:
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for batch in slices(whole, ["text"]):
                 found = [shingles(t) for t in texts_of(batch, "text")]
                 # Rows that share the id of the wanted document but not its shingles fall out here.
                 right = [i for i, (s, n) in enumerate(zip(found, batch.column("node").to_pylist())) if node_number(s) == n]
@@ -189,7 +187,12 @@ def verified_links(df: DataFrame, groups: DataFrame, similarity: float) -> DataF
 
 
 def compare(held: list[tuple[int, int, int, np.ndarray]], across: bool, similarity: float) -> pa.RecordBatch:
-    """All pairs of a unit (``across``: only those of different blocks), by shared shingles."""
+    """All pairs of a unit, by shared shingles.
+
+    A unit of one block gives the links inside it and the edges of a spanning forest. A unit ``across`` two blocks
+    gives the links between them, and of edges only those that join classes which the blocks have by themselves: one
+    for two blocks of near copies, however many links there are.
+    """
     nodes, weights, blocks = (np.array([h[i] for h in held], np.int64) for i in range(3))
     sets = [h[3] for h in held]
     sizes = np.array(list(map(len, sets)))
@@ -197,14 +200,18 @@ def compare(held: list[tuple[int, int, int, np.ndarray]], across: bool, similari
     _, number = np.unique(np.concatenate(sets), return_inverse=True)
     by_value = owner[np.argsort(number, kind="stable")]
     ends = np.cumsum(np.bincount(number))
-    links, parent = np.zeros(len(sets), np.int64), list(range(len(sets)))
-    a, b = [], []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    links, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    edges: list[tuple[int, int]] = []
+    later: list[tuple[int, np.ndarray]] = []
+
+    def join(i: int, found: np.ndarray, kept: bool) -> None:
+        """Gives all classes of ``found`` the label of ``i``; one edge per class that it had not."""
+        others, first = np.unique(label[found], return_index=True)
+        for other, at in zip(others.tolist(), first.tolist()):
+            if other != label[i]:
+                if kept:
+                    edges.append((i, int(found[at])))
+                label[label == other] = label[i]
 
     cuts = np.cumsum(sizes)
     for i in range(len(sets) - 1):
@@ -216,18 +223,21 @@ def compare(held: list[tuple[int, int, int, np.ndarray]], across: bool, similari
         shared = np.bincount(by_value[place], minlength=len(sets))
         close = (1 + similarity) * shared >= similarity * (sizes + sizes[i]) - 1e-9
         close[: i + 1] = False
-        if across:
-            close &= blocks != blocks[i]
         found = np.flatnonzero(close)
+        if across:
+            same = blocks[found] == blocks[i]
+            join(i, found[same], kept=False)
+            found = found[~same]
+            if len(found):
+                later.append((i, found))
+        else:
+            join(i, found, kept=True)
         links[i] += weights[found].sum()
         links[found] += weights[i]
-        for j in found.tolist():
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                a.append(nodes[i])
-                b.append(nodes[j])
+    for i, found in later:
+        join(i, found, kept=True)
     some = np.flatnonzero(links)
+    a, b = ([int(nodes[e[k]]) for e in edges] for k in range(2))
     return pa.RecordBatch.from_arrays([
         pa.array([*a, *nodes[some].tolist()], pa.int64()), pa.array([*b, *[None] * len(some)], pa.int64()),
         pa.array([*[None] * len(a), *links[some].tolist()], pa.int64()),
@@ -271,10 +281,12 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     found = near_duplicates(df, id_column, text_column)
     first = found.filter(F.col("label").isNotNull()).groupBy("label").agg(
         F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("place"), "key", "doc_id")).alias("first")
-    ).select(F.col("first.doc_id").alias("_first_id"), F.col("first.key").alias("_first_key")).distinct()
-    marked = df.withColumn("_key", text_key(F.col(text_column)))
+    )
+    key, first_id, first_key = unused(df, "key"), unused(df, "first_id"), unused(df, "first_key")
+    first = first.select(F.col("first.doc_id").alias(first_id), F.col("first.key").alias(first_key)).distinct()
+    marked = df.withColumn(key, text_key(F.col(text_column)))
     wordless = ~F.coalesce(F.col(text_column), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = marked.join(
-        first, marked[id_column].cast("long").eqNullSafe(F.col("_first_id")) & (F.col("_key") == F.col("_first_key")), "left_semi"
-    ).dropDuplicates([id_column, "_key"])
-    return kept.drop("_key").select(*df.columns).unionByName(df.filter(wordless))
+        first, marked[id_column].cast("long").eqNullSafe(F.col(first_id)) & (F.col(key) == F.col(first_key)), "left_semi"
+    ).dropDuplicates([id_column, key])
+    return kept.drop(key).select(*df.columns).unionByName(df.filter(wordless))

@@ -109,6 +109,16 @@ def test_near_duplicates_equal_all_pairs(frame, monkeypatch, block):
     assert got == Counter((d, *c) for (d, _), c in zip(rows, plain_join(rows)))
 
 
+def test_edges_of_a_group_of_near_copies_grow_with_its_nodes():
+    """A unit across two blocks passes on one edge however many links it finds, and all links are counted."""
+    base = np.arange(1, 101, dtype=np.uint64)
+    held = [(i, 1, i % 2, np.unique(np.append(base, np.uint64(1000 + i)))) for i in range(40)]
+    inner = ngram_join.compare([h for h in held if h[2] == 0], False, 0.8).to_pylist()
+    across = ngram_join.compare(held, True, 0.8).to_pylist()
+    assert sum(r["b"] is not None for r in inner) == 19 and sum(r["b"] is not None for r in across) == 1
+    assert {r["links"] for r in inner if r["b"] is None} == {19} and {r["links"] for r in across if r["b"] is None} == {20}
+
+
 def test_near_duplicates_of_null_ids_and_empty_table(frame, docs, no_docs):
     made = ngram_join.near_duplicates(frame("doc_id long, text string", (None, "a b c d e f"), (None, "a b c d e f"), (3, "x y z"))).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in made) == Counter([(None, None, 1), (None, None, 1), (3, 3, 0)])
