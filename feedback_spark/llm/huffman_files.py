@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from feedback_spark.llm.frames import Batches, texts_of
+from feedback_spark.llm.frames import Batches, slices, texts_of
 from feedback_spark.llm.word_pieces import Vocabulary
 from feedback_spark.session import shared_path
 
@@ -43,50 +43,64 @@ MOST_KEPT = 600_000
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, one call per thousand distinct pre-tokens."""
+    """Ids by the tokenizers library, one call per thousand distinct pre-tokens.
+
+    Ids are held as little-endian unsigned 16-bit integers, as the files' codes need.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.vocabulary = v = Vocabulary(path)
+        if len(v.strings) > 1 << 16:
+            raise ValueError("the file format holds vocabularies of at most 65,536 ids")
         # Pre-tokens arrive cut, lower-cased and in byte letters, so the library's own model runs behind a plain split.
         self.library = Tokenizer(Tokenizer.from_file(path).model)
         self.library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.byte_letters = str.maketrans({chr(b): letter for b, letter in enumerate(v.letters)})
         self.ends = np.array([s.endswith(v.suffix) for s in v.strings])
-        self.kept: dict[str, bytes] = {}
-
-    def _pre_tokens(self, pieces: list[str]) -> dict[str, bytes]:
-        made: dict[str, bytes] = {}
-        for start in range(0, len(pieces), 1000):
-            part = pieces[start : start + 1000]
-            # Printable ASCII stands for itself.
-            letters = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte_letters) for p in part]
-            ids = np.array(self.library.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<i4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            raw = ids.tobytes()
-            made.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
-        return made
+        self.special = {text: number.to_bytes(2, "little") for text, number in v.special.items()}
+        self.kept: dict[str, bytes] = dict(self.special)
+        self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        kept, special = self.kept, self.vocabulary.special
+    def _learn(self, words: set[str], whole: set[str]) -> None:
+        """Ids of composed lower-case ``words`` and of pre-tokens, which stay ``whole``."""
+        kept, pieces, findall = self.kept, self.pieces, self.vocabulary.pattern.findall
         if len(kept) > MOST_KEPT:
+            pieces.clear()
             kept.clear()
-        new = [w for w in words if w not in kept]
-        cut = [[] if w in special else self.vocabulary.pre_tokens(w) for w in new]
-        ids = self._pre_tokens(list({p for c in cut for p in c}))
+            kept.update(self.special)
+        new, whole = list(words.difference(kept)), list(whole.difference(kept))
+        # A word of letters is one pre-token, a mark behind it another; all others are cut by the pattern.
+        cut = [[w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,!?" and w[:-1].isalpha() else findall(w) for w in new]
+        self._learn_pieces(list({p for c in cut for p in c}.union(whole).difference(pieces)))
+        for w in whole:
+            kept[w] = pieces[w]
         for w, c in zip(new, cut):
-            if w in special:
-                kept[w] = np.array([special[w]], "<i4").tobytes()
-            else:
-                kept[w] = ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])
+            kept[w] = pieces[c[0]] if len(c) == 1 else b"".join([pieces[p] for p in c])
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        for start in range(0, len(new), 1000):
+            part = new[start : start + 1000]
+            # Printable ASCII stands for itself.
+            letters = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte_letters) for p in part]
+            ids = np.array(self.library.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u2")
+            cuts = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            self.pieces.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for start in range(0, len(texts), 256):
-            cut = [self.vocabulary.words(t) for t in texts[start : start + 256]]
-            self._learn(set().union(*cut))
+            words: set[str] = set()
+            whole: set[str] = set()
+            cut = []
+            for text in texts[start : start + 256]:
+                lower = self.vocabulary.plain(text)
+                cut.append(self.vocabulary.cut(text) if lower is None else lower.split())
+                (whole if lower is None else words).update(cut[-1])
+            self._learn(words, whole)
             get = self.kept.__getitem__
             out.extend(b"".join(map(get, c)) for c in cut)
         return out
@@ -101,13 +115,10 @@ def encode_ids(df: DataFrame, path: str, end_id: int, id_column: str = "doc_id",
     """(doc_id, ids): ids of each document with the end id, as little-endian unsigned 16-bit integers."""
 
     def run(batches: Batches) -> Batches:
-        encoder = library_encoder(path)
-        if len(encoder.vocabulary.strings) > 1 << 16:
-            raise ValueError("the file format holds vocabularies of at most 65,536 ids")
+        encoder, end = library_encoder(path), end_id.to_bytes(2, "little")
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                made = [np.append(np.frombuffer(b, "<i4"), end_id).astype("<u2").tobytes() for b in encoder.encode(texts_of(part, text_column))]
+            for part in slices(batch, [text_column], 1024):
+                made = [b + end for b in encoder.encode(texts_of(part, text_column))]
                 yield pa.RecordBatch.from_arrays([part.column(id_column), pa.array(made, pa.binary())], names=["doc_id", "ids"])
 
     return df.select(id_column, text_column).mapInArrow(run, "doc_id long, ids binary")

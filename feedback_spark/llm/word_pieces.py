@@ -40,6 +40,7 @@ class Vocabulary:
     """Vocabulary, merges and cutting rules of one tokenizer file."""
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -63,9 +64,37 @@ class Vocabulary:
             found.extend([part] if i % 2 else split_words(part))
         return found
 
+    def plain(self, text: str) -> str | None:
+        """The composed lower-case form of a text that needs no care, else None.
+
+        Special strings, characters that this Python's Unicode tables do not know, spaces that they see differently than
+        the file and a sigma, whose small form depends on its neighbours, need care.
+        """
+        spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if "<|" in spaced or not spaced.isprintable():
+            return None
+        composed = unicodedata.normalize("NFC", spaced)
+        return None if "Σ" in composed else composed.lower()
+
+    def cut(self, text: str) -> list[str]:
+        """Pre-tokens and special strings of a whole text, word by word."""
+        return [p for w in self.words(text) for p in ([w] if w in self.special else self.pre_tokens(w))]
+
     def pre_tokens(self, word: str) -> list[str]:
         """Pre-tokens of a word that is no special string."""
+        if not word.isprintable() and any(unicodedata.category(c) == "Cn" for c in word):
+            return self._by_library(word)
         composed = unicodedata.normalize("NFC", word)
         lower = composed.lower() if "Σ" not in composed else "".join(c.lower() for c in composed)
         # A word of letters alone is one pre-token, as the pattern has no longer match for it.
         return [lower] if lower.isalpha() else self.pattern.findall(lower)
+
+    def _by_library(self, word: str) -> list[str]:
+        """Pre-tokens of a word with code points that this Python's Unicode tables do not know, while the library's may."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+        numbers = {letter: byte for byte, letter in enumerate(self.letters)}
+        return [bytes(numbers[c] for c in piece).decode() for piece, _ in cut]

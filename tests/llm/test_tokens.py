@@ -41,7 +41,17 @@ def test_segment_tree_encodes_as_the_library(library):
 def test_library_encoder_on_distinct_words(library):
     texts = odd_texts(500)
     made = huffman_files.LibraryEncoder(WORDS).encode(texts)
-    assert [np.frombuffer(m, "<i4").tolist() for m in made] == [ids_of(library, t) for t in texts]
+    assert [np.frombuffer(m, "<u2").tolist() for m in made] == [ids_of(library, t) for t in texts]
+
+
+def test_both_encoders_know_every_code_point(library):
+    """Also those that this Python's Unicode tables do not know."""
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(m, "<u2").tolist() for m in huffman_files.LibraryEncoder(WORDS).encode(texts)] == want
+    odd = [i for i, t in enumerate(texts) if not t.isprintable()]
+    made = merge_tree.MergeTree(WORDS).encode([texts[i] for i in odd])
+    assert [np.frombuffer(m, "<i4").tolist() for m in made] == [want[i] for i in odd]
 
 
 def test_merge_takes_the_leftmost_lowest_rank():
