@@ -16,17 +16,28 @@ from feedback_spark.session import shared_path
 VOCABULARY = "word_bpe_49k.json"
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``text`` and ``needed``, with all columns but the text in one struct, whose names meet no operator's working names."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(rest.alias("rest"), "text", *needed)
+
+
+def unpacked(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as they were."""
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose host is kept."""
     importable(spark)
-    return host_rules.judge(docs).filter("kept").select(*docs.columns)
+    return unpacked(host_rules.judge(packed(docs, "source")).filter("kept"), docs)
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the model is learnt from the labelled ones among them."""
     importable(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return unpacked(toxicity.score(packed(docs), model).filter("predicted = 0"), docs)
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

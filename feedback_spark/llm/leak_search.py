@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from feedback_spark.llm.frames import Batches, durable, texts_of, with_columns
+from feedback_spark.llm.frames import Batches, durable, slices, texts_of, unused, with_columns
 
 PIECE_WORDS = 64
 BLOCK_ITEMS = 16
@@ -43,6 +43,9 @@ LEAST_QUESTION = 0.6
 LEAST_ANSWER = 0.5
 LEAST_WHOLE = 0.6
 INDEX_BYTES = 16_000_000
+# Texts judged at a time; their words and ids are held side by side.
+JUDGED_ROWS = 256
+JUDGED_BYTES = 500_000
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -297,8 +300,7 @@ def leaks(df: DataFrame, items: DataFrame, id_column: str = "doc_id", text_colum
 
         def run(batches: Batches, index: Index = index) -> Batches:
             for whole in batches:
-                for start in range(0, whole.num_rows, 256):
-                    batch = whole.slice(start, 256)
+                for batch in slices(whole, ["text"], JUDGED_ROWS, JUDGED_BYTES):
                     rows = [
                         (doc, index.items[i][0], score, question, answer, leaked)
                         for doc, found in zip(batch.column("doc_id").to_pylist(), index.judge(texts_of(batch, "text")))
@@ -317,12 +319,13 @@ NAMES = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "le
 
 
 def without_leaks(df: DataFrame, items: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` that leak no item."""
+    """The rows of ``df`` that leak no item, all columns as they are."""
+    flag = unused(df, "leaked")
     for index in indexes(items):
 
         def work(batch: pa.RecordBatch, index: Index = index) -> dict[str, pa.Array]:
-            found = index.judge(texts_of(batch, text_column))
-            return {"_leaked": pa.array([any(leaked for *_, leaked in f) for f in found], pa.bool_())}
+            found = [f for part in slices(batch, [text_column], JUDGED_ROWS, JUDGED_BYTES) for f in index.judge(texts_of(part, text_column))]
+            return {flag: pa.array([any(leaked for *_, leaked in f) for f in found], pa.bool_())}
 
-        df = with_columns(df, [text_column], "_leaked boolean", work).filter(~F.col("_leaked")).drop("_leaked")
+        df = with_columns(df, [text_column], f"`{flag}` boolean", work).filter(~F.col(flag)).drop(flag)
     return df

@@ -154,6 +154,21 @@ def test_pipeline_on_awkward_rows(spark, docs):
             assert made.count() <= given.count() and (name == "bpe" or made.columns == given.columns)
 
 
+WORKING_NAMES = """rest key node buckets label rep links first first_id first_key _key _first_id _first_key leaked _leaked host rate n_docs
+    n_failed host_rate host_kept kept base_failed n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words score predicted toxic""".split()
+
+
+def test_stages_pass_callers_columns_unchanged(spark):
+    """Every working name of an operator may be a column of the caller."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id")).alias(n) for n in WORKING_NAMES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SMALL)
+        assert made.columns == docs.columns
+        rows = made.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in WORKING_NAMES), name
+
+
 def test_pipeline_equals_plain_versions(spark):
     """Each stage against a plain version of its rule over what the stage before kept."""
     from test_documents_llm import plain_counts, plain_join
@@ -181,11 +196,11 @@ def test_pipeline_equals_plain_versions(spark):
     classes = plain_join([(d.doc_id, d.text) for d in docs])
     docs = [d for d, (least, _) in zip(docs, classes) if d.doc_id == least]
 
-    parts = [leak_search.question_and_answer(i.text) for i in items.collect()]
+    parts = [(*leak_search.question_and_answer(i.text), leak_search.words_of(i.text)) for i in items.collect()]
 
     def leaks(text):
         words, known = leak_search.words_of(text), {}
-        return any(leak_search.is_leak(leak_search.overlap(q, words, known), leak_search.overlap(a, words, known)) for q, a in parts)
+        return any(leak_search.is_leak(*(leak_search.overlap(p, words, known) for p in of_item)) for of_item in parts)
 
     docs = [d for d in docs if not leaks(d.text)]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
