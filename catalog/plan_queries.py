@@ -8,8 +8,9 @@ from catalog import base
 from catalog.base import query
 from feedback_spark.functions import labels
 from feedback_spark.operators import cleaning, emotions, scoring, tokens, topics
-from feedback_spark.plans import assemble as plan, corpus, insights, job
+from feedback_spark.plans import assemble as plan, corpus, insights, job, partials
 from feedback_spark.session import durable, shared_path
+from feedback_spark.sources import store
 
 
 def _fitted(spark, sf):
@@ -290,3 +291,21 @@ def job_resummary(spark, sf):
     folder, _ = _stored_job(spark, sf, True)
     options = job.JobOptions("text", "happened", include_sarcasm=False, with_topics=False)
     return _flat(job.resummarise(spark, base.lexicons(spark), folder, "job-1", options))
+
+
+_INTENT_NAMES = ", ".join(f"('{i}')" for i in labels.INTENTS)
+
+
+@query("partial_summary", f"""SELECT 'polarity' AS part, l.polarity AS name, count(e.row_index)::DOUBLE AS value FROM {base.LEVELS_SQL}
+    LEFT JOIN (SELECT * FROM entries WHERE NOT sarcasm_flag) e ON e.polarity = l.polarity GROUP BY l.polarity
+    UNION ALL SELECT 'intent', i.intent, count(e.row_index)::DOUBLE FROM (VALUES {_INTENT_NAMES}) i(intent)
+    LEFT JOIN (SELECT * FROM entries WHERE NOT sarcasm_flag) e ON e.intent = i.intent GROUP BY i.intent
+    UNION ALL SELECT 'trend', period, {base.half_even(f"(sum(CAST({base.score_sql('polarity')} * 2 AS BIGINT))::DOUBLE / 2 / count(*))", 3)}
+    FROM (SELECT polarity, {base.period_sql('happened')} AS period FROM entries WHERE NOT sarcasm_flag) WHERE period IS NOT NULL GROUP BY period
+    UNION ALL SELECT 'sarcasm', 'count', count(*)::DOUBLE FROM entries WHERE sarcasm_flag""")
+def partial_summary(spark, sf):
+    """Entries counted once per event type, stored, merged and summed up without the sarcastic ones."""
+    path = shared_path(spark, "partials")
+    entries = base.dated_entries(spark, sf).withColumn("job_id", F.concat(F.lit("job-"), F.col("intent")))
+    store.upsert_aggregates(partials.partial_counts(entries, "job_id", timestamp_column="happened"), path)
+    return partials.summary(partials.merged(spark.read.parquet(path)), include_sarcasm=False)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedback_spark.operators import cleaning, entries as rows_of, scoring
-from feedback_spark.plans import assemble as plan, corpus
+from feedback_spark.plans import assemble as plan, corpus, partials
 from feedback_spark.sources import store
 from feedback_spark.sources.lexicons import Lexicons
 
@@ -77,10 +77,29 @@ def run_job(
     entries = rows_of.entry_document(rows, made.entries, options.text_column, job_id, key)
     store.upsert_aggregates(entries, f"{folder}/entries", [job_id])
     _store_summary(made, folder, job_id, options)
+    _store_partials(narrow_entries(made, rows, options, key), folder, job_id, options)
     made.release()
     result.release()
 
 
+def narrow_entries(made: plan.Assembled, rows: DataFrame, options: JobOptions, key: str) -> DataFrame:
+    """The narrow columns of all entries that partial counts need."""
+    narrow = made.entries.select(key, "polarity", *[c for c in ("intent", "sarcasm_flag") if c in made.entries.columns])
+    when = options.timestamp_column
+    return narrow.join(rows.select(key, when), key) if when else narrow
+
+
+def _store_partials(entries: DataFrame, folder: str, job_id: str, options: JobOptions) -> None:
+    found = partials.partial_counts(entries, timestamp_column=options.timestamp_column).withColumn("job_id", F.lit(job_id))
+    store.upsert_aggregates(found, f"{folder}/partials", [job_id])
+
+
+def counts_under(spark: SparkSession, folder: str, job_id: str, include_sarcasm: bool) -> DataFrame:
+    """(part, name, value) of a stored job under any sarcasm setting, from its partial counts alone."""
+    stored = spark.read.parquet(f"{folder}/partials").filter(F.col("job_id") == job_id)
+    return partials.summary(stored, include_sarcasm)
+
+
 def _store_summary(made: plan.Assembled, folder: str, job_id: str, options: JobOptions) -> None:
     setting = F.struct(*[F.lit(getattr(options, f)).cast("boolean" if f == "include_sarcasm" else "string").alias(f) for f in SETTING])
     store.upsert_aggregates(plan.summary_record(made, job_id).withColumn("setting", setting), f"{folder}/summaries", [job_id])

@@ -137,6 +137,24 @@ def test_an_emptied_job_loses_its_rows(spark, tmp_path, frame):
     assert rows(spark.read.parquet(path).select("job_id", "n")) == [("c", 3)]
 
 
+def test_a_failed_upsert_keeps_the_old_rows(spark, tmp_path, frame):
+    path = str(tmp_path / "store")
+    store.upsert_aggregates(frame("job_id string, n int", ("a", 1), ("b", 2)), path)
+    broken = frame("job_id string, n int", ("a", 5)).select("job_id", F.raise_error(F.lit("lost")).cast("int").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        store.upsert_aggregates(broken, path, jobs=["a", "b"])
+    assert sorted(rows(spark.read.parquet(path).select("job_id", "n"))) == [("a", 1), ("b", 2)]
+    # Rows made from the store's own.
+    store.upsert_aggregates(spark.read.parquet(path).filter("job_id = 'a'").select("job_id", (F.col("n") + 1).alias("n")), path, jobs=["a"])
+    assert sorted(rows(spark.read.parquet(path).select("job_id", "n"))) == [("a", 2), ("b", 2)]
+
+
+def test_small_numbers_are_written_in_plain_digits(spark, tmp_path, frame):
+    path = str(tmp_path / "out")
+    store.write_annotated_csv(frame("row_index long, score double", (0, 0.0005), (1, 0.25), (2, None), (3, 1e25)), path)
+    assert sorted(r.score for r in csv_files.read_csv(spark, path).collect()) == ["0.0005", "0.25", "1.0E25"]
+
+
 def test_json_bodies(frame):
     body = json.dumps({"documents": [{"raw_text": "a", "label": "pos"}, {"raw_text": "b"}]})
     assert rows(json_documents.json_documents(frame("body string", (body,)))) == [(0, "a", "pos"), (1, "b", None)]
