@@ -33,13 +33,18 @@ def top_values(values: DataFrame, limit: int, tracked: tuple[int, ...] = TRACKED
         named = {r["item"]: r["count"] for r in summary.named}  # at most ``asked`` values
         if not named:
             continue
+        outside = max(ERROR / size * summary.rows, min(named.values()) if len(named) == asked else 0)
+        every = summary.rows * ERROR / size < 1 and len(named) < asked
+        # Estimates are never too low, so no list can be proven whose last place is estimated at or below the bound.
+        last = sorted(named.values())[-limit] if len(named) >= limit else 0
+        if not every and last <= outside:
+            continue
         listed = values.sparkSession.createDataFrame([(v,) for v in named], f"{column} string")
         exact = durable(ranked(values.join(F.broadcast(listed), column).groupBy(column).agg(F.count(F.lit(1)).alias("n"))), "top_values")
         counts = [r.n for r in exact.collect()]
-        outside = max(ERROR / size * summary.rows, min(named.values()) if len(named) == asked else 0)
         if len(counts) == limit and counts[-1] > outside:
             return exact
-        if summary.rows * ERROR / size < 1 and len(named) < asked:
+        if every:
             # Nothing was dropped from the summary, so it named every value there is.
             return exact
     return ranked(values.groupBy(column).agg(F.count(F.lit(1)).alias("n")))
