@@ -1,17 +1,18 @@
 """Toxicity scores from a lexicon matched with spelling errors and from the words around each match.
 
 1. A lexicon is learnt from labelled documents: words and word beginnings that stand almost only in toxic ones.
-   Counting is a Spark aggregation; the lexicon is at most ``MOST_ENTRIES`` long.
-2. Its trie is intersected with the Levenshtein automata of its words: one deterministic automaton accepts each
-   entry within its number of edits (``edits_for``); beginnings must match exactly and may go on at will. Lookalikes
-   that clean documents use are learnt too and left out.
-3. The automaton runs over the distinct words of a batch at once. Words around a match, ``CONTEXT`` to each side,
-   tell quotation (quote marks on both sides or a verb of reporting) from abuse; a quoted match is no evidence
-   of abuse, and one next to a form of address counts more.
+   Counting, and leaving out terms that a shorter beginning covers, are Spark aggregations and joins; all others stay.
+2. Its trie is intersected with the Levenshtein automata of its words, so that each entry is met within its number of
+   edits (``edits_for``); beginnings must match exactly and may go on at will. States are made in the tasks when a
+   word first reaches them. Lookalikes that clean documents use are learnt too and left out.
+3. The automaton runs over the distinct words of a batch at once. A match between two paired quote marks is quoted, one
+   after a verb of reporting in its clause is reported; ``CONTEXT`` bounds how far such a verb or a form of address
+   may be. Quoted, reported and plain matches are features of their own.
 4. A logistic model turns the counts of a document into a score. It is fitted on at most ``TRAINING_ROWS`` labelled
    rows, the documents with the least hash of their id, so that the choice is the same on each run.
 
-Texts are scored where they lie. Only the model is sent to the tasks, and its size is bounded by the parameters.
+Texts are scored where they lie. Only the trie and the weights are sent to the tasks; each entry stands in at
+least ``LEAST_TOXIC`` of the ``TRAINING_ROWS`` documents, which bounds them.
 
 Defined cases: null and empty texts have no match and get the score of a text without one; repeated rows get the
 same score; a null ``doc_id`` is never labelled and not held out; rows without a label are not trained on; without labelled
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +32,29 @@ from pyspark.sql import Column, DataFrame, functions as F
 from feedback_spark.llm.frames import Batches, durable, texts_of, with_columns
 
 TRAINING_ROWS = 12_000
-MOST_ENTRIES = 500
 LEAST_TOXIC = 5
 LEAST_SHARE = 0.9
 BEGINNINGS = range(4, 8)
 # A beginning becomes the whole word when one word makes up this share of its documents.
 ONE_WORD_SHARE = 0.7
 CONTEXT = 8
+# Bounds of a worker's memory, not of the lexicon.
+MOST_CELLS = 4_000_000
+SLICE_WORDS = 4_096
 THRESHOLD = 0.3
 
-TOKENS = re.compile(r"\w+|[\"“”„«»]")
-QUOTES = frozenset("\"“”„«»")
+WORDS = re.compile(r"\w+")
+TOKENS = re.compile(r"\w+|[\"“”„«».!?;\n]")
+# Quote marks and their family.
+QUOTES = {**dict.fromkeys('"', "straight"), **dict.fromkeys("“”„", "curly"), **dict.fromkeys("«»", "angle")}
+CLAUSE_ENDS = frozenset(".!?;\n")
 # Verbs of reporting and forms of address in four languages.
 REPORTING = frozenset("said says wrote called quoted quote dit écrit cité sagte schrieb zitierte dijo escribió citó".split())
 ADDRESS = frozenset("you your yours du dich dir dein tu te toi vous votre usted ustedes vosotros".split())
 
-FEATURES = ("any_match", "exact", "inexact", "addressed", "share")
-# Weights used when nothing can be fitted: a match that is not quoted makes a text toxic.
-FALLBACK = np.array([-3.0, 3.0, 1.0, 0.5, 0.5, 0.5])
+FEATURES = ("any_match", "exact", "inexact", "addressed", "share", "quoted", "reported")
+# Weights used when nothing can be fitted: a match that is neither quoted nor reported makes a text toxic.
+FALLBACK = np.array([-3.0, 3.0, 1.0, 0.5, 0.5, 0.5, 0.0, 0.0])
 
 
 def edits_for(word: str) -> int:
@@ -56,143 +62,191 @@ def edits_for(word: str) -> int:
     return 0 if len(word) < 5 else 1 if len(word) < 8 else 2
 
 
-@dataclass
 class Automaton:
-    """A deterministic automaton over character classes; state 0 is dead."""
-
-    table: np.ndarray
-    edits: np.ndarray  # of the nearest entry a state accepts, -1 for none
-    classes: np.ndarray
-    ignored: frozenset[str] = field(default_factory=frozenset)
-
-    def matches(self, words: list[str]) -> dict[str, int]:
-        """The accepted words and their edits."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        kinds = self.classes[np.minimum(points, len(self.classes) - 1)]
-        starts = np.cumsum(sizes) - sizes
-        state, live, at = np.ones(len(words), np.int64), np.flatnonzero(sizes), 0
-        while len(live):
-            state[live] = self.table[state[live], kinds[starts[live] + at]]
-            at += 1
-            live = live[(state[live] > 0) & (sizes[live] > at)]
-        edits = self.edits[state]
-        return {w: int(edits[i]) for i in np.flatnonzero(edits >= 0).tolist() if (w := words[i]) not in self.ignored}
-
-
-def build_automaton(words: list[str], beginnings: list[str], ignored: frozenset[str] = frozenset()) -> Automaton:
-    """Subset construction over pairs of a trie node and the edits spent."""
-    children: list[dict[str, int]] = [{}]
-    budget, ends, opens = [0], [False], [False]
-
-    def insert(text: str, edits: int, root: int) -> int:
-        node = root
+    """Levenshtein automata of the entries over their trie, made deterministic as far as words ask for it.
+
+    A state is a set of (trie node, edits spent); state 0 is dead. Only the trie is built beforehand and sent to tasks.
+    A transition is worked out when a word first takes it and kept in a table of at most ``MOST_CELLS`` cells before a
+    slice of ``SLICE_WORDS`` words, so memory does not grow with the lexicon's states.
+    """
+
+    def __init__(self, words: list[str], beginnings: list[str], ignored: frozenset[str] = frozenset()):
+        self.children: list[dict[str, int]] = []
+        self.budget: list[int] = []
+        self.ends: set[int] = set()
+        self.opens: set[int] = set()
+        self.ignored = ignored
+        # One trie per number of edits, so that a short word never borrows the edits of a long one.
+        roots: dict[int, int] = {}
+        for entries, marks, edits_of in ((words, self.ends, edits_for), (beginnings, self.opens, lambda _: 0)):
+            own = {}
+            for text in entries:
+                edits = edits_of(text)
+                if edits not in own:
+                    own[edits] = self._node(edits)
+                marks.add(self._insert(text, edits, own[edits]))
+            roots.update({(edits, marks is self.opens): root for edits, root in own.items()})
+        letters = sorted({c for text in [*words, *beginnings] for c in text})
+        self.letters: list[str | None] = [None, *letters]
+        self.classes = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
+        for i, c in enumerate(letters):
+            self.classes[ord(c)] = i + 1
+        self.first = self._closed({root: 0 for root in roots.values()})
+        self._forget()
+
+    def _node(self, edits: int) -> int:
+        self.children.append({})
+        self.budget.append(edits)
+        return len(self.children) - 1
+
+    def _insert(self, text: str, edits: int, node: int) -> int:
         for c in text:
-            if c not in children[node]:
-                children[node][c] = len(children)
-                children.append({})
-                budget.append(0)
-                ends.append(False)
-                opens.append(False)
-            budget[node] = max(budget[node], edits)
-            node = children[node][c]
-        budget[node] = max(budget[node], edits)
+            if c not in self.children[node]:
+                self.children[node][c] = self._node(edits)
+            node = self.children[node][c]
         return node
 
-    def new_root() -> int:
-        children.append({})
-        budget.append(0)
-        ends.append(False)
-        opens.append(False)
-        return len(children) - 1
-
-    # One trie per number of edits, so that a short word never borrows the edits of a long one.
-    roots: dict[int, int] = {}
-    for word in words:
-        edits = edits_for(word)
-        root = roots.setdefault(edits, new_root())
-        ends[insert(word, edits, root)] = True
-    if beginnings:
-        root = roots.setdefault(-1, new_root())
-        for text in beginnings:
-            opens[insert(text, 0, root)] = True
-
-    letters = sorted({c for text in [*words, *beginnings] for c in text})
-    classes = np.zeros(max(map(ord, letters), default=0) + 2, np.int64)
-    for i, c in enumerate(letters):
-        classes[ord(c)] = i + 1
-
-    def closed(spent: dict[int, int]) -> tuple:
+    def _forget(self) -> None:
+        """Start anew with the dead and the first state."""
+        self.states: list[tuple] = []
+        self.numbers: dict[tuple, int] = {}
+        self.table = np.full((64, len(self.letters)), -1, np.int32)
+        self.edits = np.full(64, -1, np.int8)
+        self._number(())
+        self.start = self._number(self.first)
+
+    def _number(self, state: tuple) -> int:
+        if state not in self.numbers:
+            n = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            if n == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+                self.edits = np.concatenate([self.edits, np.full_like(self.edits, -1)])
+            found = [spent for node, spent in state if node in self.ends or node in self.opens]
+            self.edits[n] = min(found, default=-1)
+            if not state:
+                self.table[n] = 0
+        return self.numbers[state]
+
+    def _closed(self, spent: dict[int, int]) -> tuple:
         """Skipping a trie letter costs an edit."""
         todo = list(spent)
         while todo:
             node = todo.pop()
-            if spent[node] < budget[node]:
-                for child in children[node].values():
+            if spent[node] < self.budget[node]:
+                for child in self.children[node].values():
                     if spent[node] + 1 < spent.get(child, 99):
                         spent[child] = spent[node] + 1
                         todo.append(child)
         return tuple(sorted(spent.items()))
 
-    def step(state: tuple, letter: str | None) -> tuple:
+    def _step(self, state: tuple, letter: str | None) -> tuple:
         after: dict[int, int] = {}
 
-        def put(node: int, edits: int) -> None:
-            if edits < after.get(node, 99):
-                after[node] = edits
+        def put(node: int, spent: int) -> None:
+            if spent < after.get(node, 99):
+                after[node] = spent
 
-        for node, edits in state:
-            if opens[node]:
-                put(node, edits)
+        for node, spent in state:
+            if node in self.opens:
+                put(node, spent)
                 continue
-            if letter in children[node]:
-                put(children[node][letter], edits)
-            if edits < budget[node]:
-                put(node, edits + 1)
-                for child in children[node].values():
-                    put(child, edits + 1)
-        return closed(after)
-
-    if not roots:
-        return Automaton(np.zeros((2, 1), np.int64), np.full(2, -1, np.int64), classes, ignored)
-    first = closed({root: 0 for root in roots.values()})
-    number, todo, rows = {(): 0, first: 1}, [first], {0: [0] * (len(letters) + 1)}
-    while todo:
-        state = todo.pop()
-        row = []
-        for letter in [None, *letters]:
-            after = step(state, letter)
-            if after not in number:
-                number[after] = len(number)
-                todo.append(after)
-            row.append(number[after])
-        rows[number[state]] = row
-    edits = np.full(len(number), -1, np.int64)
-    for state, i in number.items():
-        found = [e for node, e in state if ends[node] or opens[node]]
-        if found:
-            edits[i] = min(found)
-    return Automaton(np.array([rows[i] for i in range(len(rows))], np.int64), edits, classes, ignored)
+            if letter in self.children[node]:
+                put(self.children[node][letter], spent)
+            if spent < self.budget[node]:
+                put(node, spent + 1)
+                for child in self.children[node].values():
+                    put(child, spent + 1)
+        return self._closed(after)
+
+    def matches(self, words: list[str]) -> dict[str, int]:
+        """The accepted words and their edits."""
+        found: dict[str, int] = {}
+        for start in range(0, len(words), SLICE_WORDS):
+            if self.table.size > MOST_CELLS:
+                self._forget()
+            found.update(self._match(words[start : start + SLICE_WORDS]))
+        return found
+
+    def _match(self, words: list[str]) -> dict[str, int]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        kinds = self.classes[np.minimum(points, len(self.classes) - 1)]
+        starts = np.cumsum(sizes) - sizes
+        state, live, at = np.full(len(words), self.start, np.int64), np.flatnonzero(sizes), 0
+        while len(live):
+            now, kind = state[live], kinds[starts[live] + at]
+            unknown = self.table[now, kind] < 0
+            if unknown.any():
+                for n, k in {*zip(now[unknown].tolist(), kind[unknown].tolist())}:
+                    # Numbered first: that may replace the table by a larger one.
+                    to = self._number(self._step(self.states[n], self.letters[k]))
+                    self.table[n, k] = to
+            state[live] = self.table[now, kind]
+            at += 1
+            live = live[(state[live] > 0) & (sizes[live] > at)]
+        edits = self.edits[state]
+        return {w: int(edits[i]) for i in np.flatnonzero(edits >= 0).tolist() if (w := words[i]) not in self.ignored}
+
+    def __getstate__(self) -> dict:
+        """Without the states met so far, so that tasks receive the trie alone."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("states", "numbers", "table", "edits", "start")}
+
+    def __setstate__(self, values: dict) -> None:
+        self.__dict__.update(values)
+        self._forget()
+
+
+def quoted_places(tokens: list[str]) -> set[int]:
+    """Places between two paired marks of one family in one line; a mark without a partner quotes nothing."""
+    inside: set[int] = set()
+    opened: dict[str, int] = {}
+    for i, token in enumerate(tokens):
+        if token == "\n":
+            opened.clear()
+        elif token in QUOTES:
+            family = QUOTES[token]
+            if family in opened:
+                inside.update(range(opened.pop(family) + 1, i))
+            else:
+                opened[family] = i
+    return inside
+
+
+def reported(tokens: list[str], place: int) -> bool:
+    """Whether a verb of reporting stands before ``place`` in its clause, at most ``CONTEXT`` tokens away."""
+    for token in reversed(tokens[max(0, place - CONTEXT) : place]):
+        if token in CLAUSE_ENDS:
+            return False
+        if token in REPORTING:
+            return True
+    return False
 
 
 def match_counts(automaton: Automaton, texts: list[str]) -> np.ndarray:
     """The values of FEATURES for each text."""
-    cut = [TOKENS.findall(t.lower()) for t in texts]
+    low = [t.lower() for t in texts]
+    cut = [WORDS.findall(t) for t in low]
     found = automaton.matches(list(set().union(*cut))) if texts else {}
     out = np.zeros((len(texts), len(FEATURES)))
-    for row, tokens in enumerate(cut):
-        exact = inexact = addressed = 0
-        for i in [i for i, t in enumerate(tokens) if t in found] if found else []:
-            before, after = tokens[max(0, i - CONTEXT) : i], tokens[i + 1 : i + 1 + CONTEXT]
-            around = {*before, *after}
-            quoted = not QUOTES.isdisjoint(before) and not QUOTES.isdisjoint(after)
-            if quoted or not REPORTING.isdisjoint(around):
-                continue
-            exact += found[tokens[i]] == 0
-            inexact += found[tokens[i]] > 0
-            addressed += not ADDRESS.isdisjoint(around)
+    for row, words in enumerate(cut):
+        if not found or found.keys().isdisjoint(words):
+            continue
+        tokens = TOKENS.findall(low[row])
+        inside = quoted_places(tokens)
+        exact = inexact = addressed = in_quotes = in_reports = 0
+        for i in [i for i, t in enumerate(tokens) if t in found]:
+            if i in inside:
+                in_quotes += 1
+            elif reported(tokens, i):
+                in_reports += 1
+            else:
+                exact += found[tokens[i]] == 0
+                inexact += found[tokens[i]] > 0
+                addressed += not ADDRESS.isdisjoint(tokens[max(0, i - CONTEXT) : i + 1 + CONTEXT])
         hits = exact + inexact
-        out[row] = hits > 0, math.log1p(exact), math.log1p(inexact), math.log1p(addressed), 10 * hits / max(len(tokens), 10)
+        share = 10 * hits / max(len(words), 10)
+        out[row] = hits > 0, *map(math.log1p, (exact, inexact, addressed)), share, math.log1p(in_quotes), math.log1p(in_reports)
     return out
 
 
@@ -223,18 +277,29 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def choose_entries(words: dict[str, int], starts: dict[str, int]) -> tuple[list[str], list[str]]:
-    """(words, beginnings) from the toxic document counts of those that qualify."""
-    shortest = [s for s in starts if not any(s[:k] in starts for k in range(1, len(s)))]
-    chosen, beginnings = set(), []
-    for start in shortest:
-        below = [w for w in words if w.startswith(start)]
-        if below and max(words[w] for w in below) >= ONE_WORD_SHARE * starts[start]:
-            chosen.update(below)
-        else:
-            beginnings.append(start)
-    chosen.update(w for w in words if not any(w.startswith(b) for b in beginnings))
-    return sorted(chosen), sorted(beginnings)
+def choose_entries(qualified: DataFrame) -> DataFrame:
+    """(term, begins) of the lexicon from the qualified (term, begins, toxic).
+
+    Of beginnings the shortest stay; one whose documents mostly share one word gives way to its words, and the
+    others cover theirs. The shortest beginnings are free of each other's prefixes, so a word meets one at most.
+    """
+    def prefixes(of: Column, longest: Column) -> Column:
+        lengths = F.array(*[F.lit(k) for k in BEGINNINGS])
+        return F.transform(F.filter(lengths, lambda k: k <= longest), lambda k: F.substring(of, F.lit(1), k))
+
+    size = F.length("term")
+    starts = qualified.filter("begins").select(F.col("term").alias("start"), F.col("toxic").alias("start_toxic"))
+    longer = qualified.filter("begins").select("term", F.explode(prefixes(F.col("term"), size - 1)).alias("start"))
+    covered = longer.join(starts, "start", "left_semi").select(F.col("term").alias("start"))
+    shortest = starts.join(covered, "start", "left_anti")
+    words = qualified.filter("NOT begins").select("term", "toxic")
+    below = words.select("term", "toxic", F.explode(prefixes(F.col("term"), size)).alias("start")).join(shortest, "start")
+    one_word = below.filter(F.col("toxic") >= ONE_WORD_SHARE * F.col("start_toxic")).select("start").distinct()
+    beginnings = shortest.join(one_word, "start", "left_anti").select(F.col("start").alias("term"))
+    held = below.join(beginnings.withColumnRenamed("term", "start"), "start", "left_semi").select("term")
+    return words.join(held, "term", "left_anti").select("term", F.lit(False).alias("begins")).unionByName(
+        beginnings.withColumn("begins", F.lit(True))
+    )
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -259,7 +324,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 batch = whole.slice(start, 256)
                 names, begins, toxic = [], [], []
                 for text, label in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist()):
-                    words = set(TOKENS.findall(text.lower())) - QUOTES
+                    words = set(WORDS.findall(text.lower()))
                     cut = {w[:k] for w in words for k in BEGINNINGS if len(w) >= k}
                     names += [*words, *cut]
                     begins += [False] * len(words) + [True] * len(cut)
@@ -272,15 +337,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")
     )
     qualified = counted.filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= LEAST_SHARE * F.col("n")))
-    best = qualified.orderBy(F.desc("toxic"), "term", "begins").limit(MOST_ENTRIES).collect()
-    words, beginnings = choose_entries({r.term: r.toxic for r in best if not r.begins}, {r.term: r.toxic for r in best if r.begins})
-    automaton = build_automaton(words, beginnings)
+    # An entry stands in LEAST_TOXIC of at most TRAINING_ROWS documents.
+    chosen = choose_entries(durable(qualified, "toxic_terms")).collect()
+    words, beginnings = (sorted(r.term for r in chosen if r.begins == begins) for begins in (False, True))
+    automaton = Automaton(words, beginnings)
 
     def lookalikes(batches: Batches) -> Batches:
         for batch in batches:
             found: dict[tuple[str, int], int] = {}
             for text, label in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist()):
-                for word, edits in automaton.matches(list(set(TOKENS.findall(text.lower())))).items():
+                for word, edits in automaton.matches(list(set(WORDS.findall(text.lower())))).items():
                     if edits:
                         found[word, label] = found.get((word, label), 0) + 1
             yield pa.RecordBatch.from_arrays([
@@ -290,7 +356,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n, toxic = F.sum("n"), F.sum(F.col("n") * F.col("toxic"))
     # Words of the training rows within the automaton's reach.
     clean = rows.mapInArrow(lookalikes, "word string, toxic long, n long").groupBy("word").agg((toxic / n).alias("share")).filter("share < 0.5").collect()
-    automaton = build_automaton(words, beginnings, frozenset(r.word for r in clean))
+    automaton = Automaton(words, beginnings, frozenset(r.word for r in clean))
 
     def counts(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         made = match_counts(automaton, texts_of(batch, "text"))

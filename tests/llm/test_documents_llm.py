@@ -1,8 +1,10 @@
 """Quality rules, near duplicates, leaks, toxicity and shards against plain versions."""
 
 import itertools
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -242,7 +244,7 @@ def edits(a, b):
 
 def test_automaton_equals_edit_distance():
     words, beginnings = ["idiot", "moron", "scum", "disgusting", "pathetic", "clown"], ["réeu", "boco"]
-    automaton = toxicity.build_automaton(words, beginnings)
+    automaton = toxicity.Automaton(words, beginnings)
     rng, tokens = random.Random(6), set()
     for _ in range(5000):
         word = list(rng.choice(words + beginnings))
@@ -257,13 +259,59 @@ def test_automaton_equals_edit_distance():
 
 
 def test_quotation_is_told_from_abuse():
-    model = toxicity.Model(toxicity.build_automaton(["idiot"], []), toxicity.FALLBACK)
+    model = toxicity.Model(toxicity.Automaton(["idiot"], []), toxicity.FALLBACK)
     abuse, spelled, quoted, reported, clean, empty = model.scores(
         ["you are an idiot", "such an idi0t here", 'the word "idiot" is old', "they said idiot", "a kind word", ""]
     ).tolist()
     assert abuse > 0.3 and spelled > 0.3 and max(quoted, reported) < 0.3 and clean == empty == quoted
 
 
+def test_only_paired_marks_and_verbs_of_the_clause_take_a_match_back():
+    model = toxicity.Model(toxicity.Automaton(["idiot"], []), toxicity.FALLBACK)
+    abusive = ['"Hi" you idiot "bye"', "he called. you idiot", "she wrote code; you idiot", 'an open " you idiot', "« a » you idiot « b »"]
+    harmless = ['“you idiot” is rude', "they wrote: idiot", "« idiot »", '"one" and "idiot"']
+    assert min(model.scores(abusive)) > 0.3 > max(model.scores(harmless))
+    assert toxicity.quoted_places(['"', "a", "\n", "b", '"', "c", '"']) == {5}
+
+
+def test_large_lexicon_is_built_at_once_and_kept_small(monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(8, 12))) for _ in range(5_000)]
+    start = time.perf_counter()
+    automaton = toxicity.Automaton(words, [])
+    assert time.perf_counter() - start < 2 and len(automaton.states) == 2
+    asked = [w[:3] + "x" + w[4:] for w in words[:300]] + ["zzqqj" * 3]
+    found = automaton.matches(asked)
+    assert all(w in found for w in asked[:300]) and asked[-1] not in found
+    sent = pickle.loads(pickle.dumps(automaton))
+    assert len(sent.states) == 2
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 16)
+    monkeypatch.setattr(toxicity, "MOST_CELLS", 1)
+    assert sent.matches(asked) == found
+
+
+def plain_entries(rows):
+    """(words, beginnings) by the rule, one term after another."""
+    words, starts = ({t: n for t, b, n in rows if b == begins} for begins in (False, True))
+    shortest = [s for s in starts if not any(s[:k] in starts for k in range(1, len(s)))]
+    beginnings = {s for s in shortest if not any(w.startswith(s) and n >= toxicity.ONE_WORD_SHARE * starts[s] for w, n in words.items())}
+    return {w for w in words if not any(w.startswith(b) for b in beginnings)}, beginnings
+
+
+def test_entries_equal_a_plain_choice(frame):
+    rng, rows = random.Random(3), {}
+    for _ in range(400):
+        word = "".join(rng.choices("abé", k=rng.randrange(3, 10)))
+        rows[word, False] = rng.randrange(5, 30)
+        for k in toxicity.BEGINNINGS:
+            if len(word) >= k and rng.random() < 0.3:
+                rows[word[:k], True] = rng.randrange(5, 60)
+    rows = [(t, b, n) for (t, b), n in rows.items()]
+    made = toxicity.choose_entries(frame("term string, begins boolean, toxic long", *rows)).collect()
+    assert len(made) == len(set(made))
+    assert ({r.term for r in made if not r.begins}, {r.term for r in made if r.begins}) == plain_entries(rows)
+
+
 def test_scores_of_awkward_rows(frame, docs, no_docs):
     labels = frame("doc_id long, quality int, toxic int", (1, 1, None), (None, 1, 1), (4, 1, 0), (4, 1, 0))
     model = toxicity.learn(docs, labels)
