@@ -2,13 +2,16 @@
 
 1. Each document's counts are taken once over its whole text, in its own partition;
    the text is not shuffled.
-2. Failures are summed by host. A host with a third of all documents is summed in
-   every task before its partial sums meet.
+2. Failures are summed by host, of all rules together and of each soft rule among the
+   documents that pass the base rules. A host with a third of all documents is summed
+   in every task before its partial sums meet.
 3. Failure rates are shrunk towards all hosts: a beta prior is fitted to the hosts'
    rates by moments, and a host's rate is the mean of its posterior. A host of few
    documents therefore needs more evidence than a large one.
-4. A host whose shrunk rate reaches ``HOST_LIMIT`` is rejected with all its documents.
-   Verdicts, one row per host, are joined back.
+4. A host whose shrunk rate of all rules reaches ``HOST_LIMIT`` is rejected with all its
+   documents. A soft rule (symbols, repeated lines) decides on a host's documents when
+   its shrunk rate there reaches ``SUSPECT_RATE``; where it hardly ever fails, a failure
+   is taken for an exception and forgiven. Verdicts, one row per host, are joined back.
 
 Defined cases: null text has no words and fails; a null host is a host of its own; repeated rows
 count and are returned one by one; an empty table gives an empty table.
@@ -31,6 +34,8 @@ MOST_SYMBOL_PERCENT = 10
 MOST_DUPLICATE_LINE_PERCENT = 30
 # A host goes when most of its documents fail.
 HOST_LIMIT = 0.5
+# A soft rule counts on a host when this share of its otherwise good documents fails it.
+SUSPECT_RATE = 0.02
 # The fitted prior weighs as much as this many documents at least and at most.
 LEAST_PRIOR, MOST_PRIOR = 1.0, 1e6
 
@@ -82,28 +87,47 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
-def any_rule_failed() -> Column:
-    return (
-        base_failed()
-        | (100 * F.col("n_symbols") > MOST_SYMBOL_PERCENT * F.col("word_chars"))
-        | (100 * F.col("n_dup_lines") > MOST_DUPLICATE_LINE_PERCENT * F.col("n_lines"))
-    )
+def soft_failures() -> dict[str, Column]:
+    """The rules whose failure counts only on hosts where it is common."""
+    return {
+        "symbols": 100 * F.col("n_symbols") > MOST_SYMBOL_PERCENT * F.col("word_chars"),
+        "lines": 100 * F.col("n_dup_lines") > MOST_DUPLICATE_LINE_PERCENT * F.col("n_lines"),
+    }
 
 
 def host_verdicts(counted: DataFrame, host_column: str = "source") -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_kept) of every host."""
+    """(host, n_docs, n_failed, rate, host_kept) of every host, and per soft rule its rate and whether it counts there."""
+    base, soft = base_failed(), soft_failures()
+    any_failed = base
+    for failed in soft.values():
+        any_failed = any_failed | failed
     hosts = counted.groupBy(F.col(host_column).alias("host")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(any_rule_failed().cast("long")).alias("n_failed")
+        F.count(F.lit(1)).alias("n_docs"),
+        F.count_if(any_failed).alias("n_failed"),
+        F.count_if(~base).alias("n_passed"),
+        *[F.count_if(~base & failed).alias(f"n_{rule}") for rule, failed in soft.items()],
+    )
+    kinds = {"all": ("n_docs", "n_failed"), **{rule: ("n_passed", f"n_{rule}") for rule in soft}}
+    sums = hosts.agg(*[  # one row
+        F.struct(
+            F.sum(n).alias("docs"), F.sum(k).alias("failed"), F.count_if(F.col(n) > 0).alias("hosts"),
+            F.sum(F.when(F.col(n) > 0, F.col(k) * F.col(k) / F.col(n))).alias("squares"),
+        ).alias(kind)
+        for kind, (n, k) in kinds.items()
+    ]).first()
+    rates = {kind: shrunk(F.col(n), F.col(k), sums[kind]) for kind, (n, k) in kinds.items()}
+    return hosts.select(
+        "host", "n_docs", "n_failed", rates["all"].alias("rate"), (rates["all"] < HOST_LIMIT).alias("host_kept"),
+        *[c for rule in soft for c in (rates[rule].alias(f"{rule}_rate"), (rates[rule] >= SUSPECT_RATE).alias(f"{rule}_count"))],
     )
-    n, k = F.col("n_docs"), F.col("n_failed")
-    sums = hosts.agg(  # one row
-        F.sum(n).alias("docs"), F.sum(k).alias("failed"), F.count(F.lit(1)).alias("hosts"), F.sum(k * k / n).alias("squares")
-    ).first()
+
+
+def shrunk(n: Column, k: Column, sums) -> Column:
+    """Posterior mean of a host's failure rate; 0 where no document of any host can fail."""
     if not sums.docs:
-        return hosts.select("host", "n_docs", "n_failed", F.lit(0.0).alias("rate"), F.lit(True).alias("host_kept"))
+        return F.lit(0.0)
     mean, strength = prior(sums.docs, sums.failed, sums.hosts, sums.squares)
-    rate = (k + F.lit(mean * strength)) / (n + F.lit(strength))
-    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate < HOST_LIMIT).alias("host_kept"))
+    return (k + F.lit(mean * strength)) / (n + F.lit(strength))
 
 
 def prior(docs: int, failed: int, hosts: int, squares: float) -> tuple[float, float]:
@@ -120,10 +144,17 @@ def judge(df: DataFrame, host_column: str = "source", text_column: str = "text",
     counted = add_counts(df, text_column, keep_text)
     counted = durable(counted, "rule_counts")
     # Stored, so that its size is known before the join: few hosts are broadcast, many are joined by a shuffle.
-    hosts = durable(host_verdicts(counted, host_column), "hosts").select("host", F.col("rate").alias("host_rate"), "host_kept")
-    taken = ("base_failed", "kept", "host_rate", "host_kept", "host")
+    found = durable(host_verdicts(counted, host_column), "hosts")
+    # One column besides the host, so that few names can clash.
+    verdict = F.struct(F.col("rate"), "host_kept", *[f"{rule}_count" for rule in soft_failures()]).alias("host_verdict")
+    hosts = found.select("host", verdict)
+    taken = ("base_failed", "kept", "host_rate", "host_verdict", "host")
     plain = counted.drop(*[c for c in taken if c != host_column])
     joined = plain.join(hosts, plain[host_column].eqNullSafe(hosts["host"]))
     failed = base_failed()
-    out = joined.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("host_kept")).drop("host_kept")
+    kept = ~failed & F.col("host_verdict.host_kept")
+    for rule, failure in soft_failures().items():
+        kept = kept & ~(failure & F.col(f"host_verdict.{rule}_count"))
+    out = joined.withColumn("base_failed", failed).withColumn("kept", kept).withColumn("host_rate", F.col("host_verdict.rate"))
+    out = out.drop("host_verdict")
     return out if host_column == "host" else out.drop("host")

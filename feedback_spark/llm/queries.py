@@ -62,13 +62,19 @@ c AS (SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
              coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
       FROM d LEFT JOIN m USING (row) LEFT JOIN p USING (row)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
-f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS failed FROM b),
-h AS (SELECT source, count(*) AS n, sum(failed::INT)::BIGINT AS k FROM f GROUP BY source),
-s AS (SELECT sum(n) AS docs, sum(k) / sum(n) AS mean, count(*) AS hosts, sum(k * k / n) / sum(n) AS squares FROM h),
-v AS (SELECT mean, mean * (1 - mean) AS spread, squares - mean * mean - hosts * mean * (1 - mean) / docs AS between_hosts FROM s),
-q AS (SELECT mean, least(greatest(CASE WHEN between_hosts > 0 THEN spread / between_hosts - 1 ELSE 1e6 END, 1), 1e6) AS weight FROM v),
-z AS (SELECT source, (k + mean * weight) / (n + weight) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate < 0.5 AS kept
+f AS (SELECT *, 100 * n_symbols > 10 * word_chars AS symbols, 100 * n_dup_lines > 30 * n_lines AS lines FROM b),
+h AS (SELECT source, 'all' AS rule, count(*) AS n, count_if(base_failed OR symbols OR lines)::BIGINT AS k FROM f GROUP BY source
+      UNION ALL SELECT source, 'symbols', count_if(NOT base_failed), count_if(NOT base_failed AND symbols) FROM f GROUP BY source
+      UNION ALL SELECT source, 'lines', count_if(NOT base_failed), count_if(NOT base_failed AND lines) FROM f GROUP BY source),
+s AS (SELECT rule, sum(n) AS docs, sum(k) / sum(n) AS mean, count_if(n > 0) AS hosts, sum(k * k / n) FILTER (n > 0) / sum(n) AS squares
+      FROM h GROUP BY rule),
+v AS (SELECT rule, mean, mean * (1 - mean) AS spread, squares - mean * mean - hosts * mean * (1 - mean) / docs AS between_hosts FROM s),
+q AS (SELECT rule, mean, least(greatest(CASE WHEN between_hosts > 0 THEN spread / between_hosts - 1 ELSE 1e6 END, 1), 1e6) AS weight FROM v),
+r2 AS (SELECT source, rule, coalesce((k + mean * weight) / (n + weight), 0) AS rate FROM h JOIN q USING (rule)),
+z AS (SELECT source, max(rate) FILTER (rule = 'all') AS rate, max(rate) FILTER (rule = 'symbols') AS symbols_rate,
+             max(rate) FILTER (rule = 'lines') AS lines_rate FROM r2 GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate < 0.5 AND NOT (symbols AND symbols_rate >= 0.02) AND NOT (lines AND lines_rate >= 0.02) AS kept
 FROM f JOIN z ON f.source IS NOT DISTINCT FROM z.source"""
 
 

@@ -57,6 +57,25 @@ def test_hosts_are_shrunk_and_rejected(frame):
     assert 0 < made[5, "good"].host_rate < 0.1 and made[1002, "tiny"].host_rate != 0.5
 
 
+def test_soft_failures_count_only_on_hosts_where_they_are_common(frame):
+    good = " ".join(f"w{i}" for i in range(30))
+    noisy, twice = good + " " + "#$%&" * 20, "\n".join([good, "a line", "a line", "a line"])
+    rows = [(i, good, "clean") for i in range(300)] + [(i, noisy, "spam") for i in range(100)] + [(i, good, "spam") for i in range(100, 300)]
+    rows += [(900, noisy, "clean"), (901, twice, "clean"), (902, twice, "spam"), (903, noisy, "tiny"), (904, "no", "failing")]
+    made = {(r.doc_id, r.source): r.kept for r in host_rules.judge(frame("doc_id long, text string, source string", *rows)).collect()}
+    assert made[900, "clean"] and not made[5, "spam"] and made[200, "spam"]
+    # Repeated lines are rare on every host; a host of one document is judged by what is usual elsewhere.
+    assert made[901, "clean"] and made[902, "spam"] and not made[903, "tiny"] and not made[904, "failing"]
+
+
+def test_host_verdicts_change_the_given_table(spark):
+    """Documents that only fail the symbol rule go, and nearly all that are labelled are labelled bad."""
+    sf = "/root/testdata/sf0.1"
+    made = queries.QUERIES["op5_host_rules"](spark, sf).filter("NOT base_failed AND NOT kept")
+    labels = [r.quality for r in made.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()]
+    assert len(labels) > 200 and sum(labels) <= 0.01 * len(labels)
+
+
 def test_prior_falls_back_without_spread():
     assert host_rules.prior(100, 10, 5, 100 * 0.01)[1] == host_rules.MOST_PRIOR
 

@@ -182,13 +182,26 @@ def test_pipeline_equals_plain_versions(spark):
 
     counts = {d.doc_id: plain_counts(d.text) for d in docs}
     base = {i: c[0] < 10 or 100 * c[5] > 20 * c[0] for i, c in counts.items()}
-    failed = {i: base[i] or 100 * c[2] > 10 * c[1] or 100 * c[4] > 30 * c[3] for i, c in counts.items()}
-    hosts = {}
-    for d in docs:
-        n, k = hosts.get(d.source, (0, 0))
-        hosts[d.source] = n + 1, k + failed[d.doc_id]
-    mean, weight = host_rules.prior(len(docs), sum(failed.values()), len(hosts), sum(k * k / n for n, k in hosts.values()))
-    docs = [d for d in docs if not base[d.doc_id] and (hosts[d.source][1] + mean * weight) / (hosts[d.source][0] + weight) < host_rules.HOST_LIMIT]
+    soft = {
+        "symbols": {i: 100 * c[2] > 10 * c[1] for i, c in counts.items()},
+        "lines": {i: 100 * c[4] > 30 * c[3] for i, c in counts.items()},
+    }
+    passed = [d for d in docs if not base[d.doc_id]]
+    failed = {i: base[i] or any(s[i] for s in soft.values()) for i in counts}
+
+    def rates(among, fails):
+        hosts = {}
+        for d in among:
+            n, k = hosts.get(d.source, (0, 0))
+            hosts[d.source] = n + 1, k + fails[d.doc_id]
+        mean, weight = host_rules.prior(len(among), sum(k for _, k in hosts.values()), len(hosts), sum(k * k / n for n, k in hosts.values()))
+        return {h: (k + mean * weight) / (n + weight) for h, (n, k) in hosts.items()}
+
+    whole, by_rule = rates(docs, failed), {name: rates(passed, fails) for name, fails in soft.items()}
+    docs = [
+        d for d in passed if whole[d.source] < host_rules.HOST_LIMIT
+        and not any(fails[d.doc_id] and by_rule[name][d.source] >= host_rules.SUSPECT_RATE for name, fails in soft.items())
+    ]
 
     model = toxicity.learn(spark.createDataFrame(docs), labels)
     docs = [d for d, s in zip(docs, model.scores([d.text for d in docs])) if s < toxicity.THRESHOLD]
