@@ -11,6 +11,8 @@ from feedback_spark.functions.dates import parse_period
 from feedback_spark.operators import entries as rows_of
 from feedback_spark.operators import polarity, scoring, trend
 from feedback_spark.plans import insights
+from feedback_spark.session import shared_path
+from feedback_spark.sources import entry_pages
 
 COLUMNS = "row_index, polarity, polarity_confidence, intent, sarcasm_flag"
 SHOWN = [c.strip() for c in COLUMNS.split(",")]
@@ -150,6 +152,26 @@ def entries_page(spark, sf):
     return rows_of.entries_page(chosen, page=3, limit=20)
 
 
+def _paged(spark, sf):
+    path = shared_path(spark, "entry_pages")
+    entry_pages.write_pages(_jobs(spark, sf).select(*SHOWN, "job_id"), path)
+    return path
+
+
+@query("stored_page", f"SELECT {COLUMNS} FROM entries WHERE intent = 'inquiry' ORDER BY row_index LIMIT 20 OFFSET 40")
+def stored_page(spark, sf):
+    return entry_pages.stored_page(spark, _paged(spark, sf), "job-inquiry", page=3, limit=20).select(SHOWN)
+
+
+@query("stored_totals", """SELECT concat('job-', intent) AS job_id, count(*) AS total, min(row_index) AS first, max(row_index) AS last
+    FROM entries GROUP BY intent""")
+def stored_totals(spark, sf):
+    listed = entry_pages.directory(spark, _paged(spark, sf))
+    return listed.groupBy("job_id").agg(
+        F.sum("rows").alias("total"), F.min("first").alias("first"), F.max("last").alias("last")
+    )
+
+
 @query("entries_after", f"SELECT {COLUMNS} FROM entries WHERE row_index > 500 ORDER BY row_index LIMIT 20")
 def entries_after(spark, sf):
     return rows_of.entries_after(base.entries(spark, sf).select(SHOWN), 500)

@@ -8,10 +8,13 @@ from catalog import base
 from catalog.base import query
 from feedback_spark.functions import labels, text
 from feedback_spark.functions.numbers import round_half_even
-from feedback_spark.operators import cleaning, emotions, entries, keywords, polarity, tokens, topics
+from feedback_spark.operators import cleaning, emotions, entries, keywords, polarity, tokens, topics, word_hits
 from feedback_spark.plans import insights
 from feedback_spark.session import durable
 
+# Length of the long keyword list, a top list.
+LONG_LIST = 2_000
+
 
 def _words(spark, sf):
     return tokens.tokens(base.cleaned(spark, sf))
@@ -224,6 +227,18 @@ def keyword_hits(spark, sf):
     return _hits(spark, sf)
 
 
+@query("keyword_hits_long", f"""SELECT k.rank::INTEGER AS rank, k.word, k.n,
+    count(*) FILTER ({base.group_sql('d.polarity')} = 'positive' AND contains(lower(d.text), k.word)) AS pos_hits,
+    count(*) FILTER ({base.group_sql('d.polarity')} = 'negative' AND contains(lower(d.text), k.word)) AS neg_hits,
+    arg_min(d.polarity, d.doc_id) AS first_polarity
+    FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM wc
+        WHERE length(word) > 2 AND word NOT IN (SELECT word FROM stops) ORDER BY n DESC, word LIMIT {LONG_LIST}) k
+    CROSS JOIN docentries d GROUP BY k.rank, k.word, k.n""")
+def keyword_hits_long(spark, sf):
+    top = durable(keywords.top_words(_counts(spark, sf), base.lexicons(spark).stops, LONG_LIST), "long_list")
+    return word_hits.keyword_hits(base.document_entries(spark, sf), top, key="doc_id")
+
+
 @query("keyword_scores", "SELECT side, CAST(place AS INTEGER) AS place, word, score FROM kwscores")
 def keyword_scores(spark, sf):
     return keywords.keyword_scores(_hits(spark, sf))
