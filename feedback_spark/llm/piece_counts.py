@@ -5,11 +5,12 @@ after another character. So a text with a space put in front falls apart at its
 text are those of its pre-tokens. No ids are made for whole texts.
 
 1. Each task counts, per chunk of documents, how often each document holds each distinct pre-token, and deals the
-   pre-tokens by hash into buckets. One row holds all pre-tokens of a chunk that fall into one bucket, packed.
+   pre-tokens by hash into buckets. One row holds all pre-tokens of a chunk that fall into one bucket, packed. One more row
+   per chunk names its documents, so the table is read once and nothing rests on two scans having equal partitions.
 2. Rows meet by bucket. The pieces of each distinct pre-token of a bucket are counted once and joined to its
    frequencies. A pre-token that more than ``HOT_DOCUMENTS`` documents of a chunk hold is dealt by pre-token and chunk, so that
    the frequent ones, which are few, spread over all buckets instead of meeting in one.
-3. Frequencies times pieces are added up per chunk in each task, and the partial sums meet by chunk.
+3. Frequencies times pieces are added up per chunk in each task, and the partial sums meet the documents by chunk.
 
 Defined cases: null and empty texts have no tokens; repeated rows are counted one by one, since a document is
 known by its place in its chunk and not by its id; an empty table gives an empty table; other columns are not read.
@@ -80,13 +81,20 @@ class Numbers(dict):
         return value
 
 
-PACKED = "bucket int, chunk long, names binary, name_sizes binary, documents binary, places binary, times binary"
-PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), *[(n, pa.binary()) for n in ("names", "name_sizes", "documents", "places", "times")]])
-PARTIAL_SCHEMA = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("sums", pa.binary())])
+# Either pre-tokens of a chunk or, in the last two columns, its documents.
+MEMBERS = "doc_ids array<long>, sizes array<long>"
+MEMBER_FIELDS = [("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
+PACKED = f"bucket int, chunk long, names binary, name_sizes binary, documents binary, places binary, times binary, {MEMBERS}"
+PACKED_SCHEMA = pa.schema([
+    ("bucket", pa.int32()), ("chunk", pa.int64()),
+    *[(n, pa.binary()) for n in ("names", "name_sizes", "documents", "places", "times")], *MEMBER_FIELDS,
+])
+PARTIAL = f"chunk long, places binary, sums binary, {MEMBERS}"
+PARTIAL_SCHEMA = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), *MEMBER_FIELDS])
 
 
 def chunks(batches: Batches, id_column: str):
-    """(chunk number, ids, texts) of a task's rows, cut by length alone. The same rows give the same chunks."""
+    """(chunk number, ids, texts) of a task's rows, cut by length alone."""
     part, number, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -103,10 +111,16 @@ def chunks(batches: Batches, id_column: str):
 
 
 def frequencies(docs: DataFrame, id_column: str, buckets: int) -> DataFrame:
-    """Packed rows per chunk and bucket: UTF-8 names with their sizes, documents per name, places (16 bits) and times (32 bits)."""
+    """Packed rows per chunk and bucket: UTF-8 names with their sizes, documents per name, places (16 bits) and times (32 bits).
+
+    One further row per chunk has the ids of its documents by place and their sizes in UTF-8 bytes.
+    """
 
     def run(batches: Batches) -> Batches:
-        for chunk, _, texts in chunks(batches, id_column):
+        for chunk, ids, texts in chunks(batches, id_column):
+            sizes = [len(t.encode()) for t in texts]
+            spread = xxhash.xxh64_intdigest(chunk.to_bytes(8, "little")) % buckets
+            yield pa.RecordBatch.from_pylist([{"bucket": spread, "chunk": chunk, "doc_ids": ids, "sizes": sizes}], schema=PACKED_SCHEMA)
             number = Numbers()
             cut = []
             for text in texts:
@@ -133,19 +147,23 @@ def frequencies(docs: DataFrame, id_column: str, buckets: int) -> DataFrame:
                     "bucket": [int(bucket[own[0]])], "chunk": [chunk], "names": [b"".join(part)],
                     "name_sizes": [np.array(list(map(len, part)), "<u4").tobytes()], "documents": [run_of.astype("<u4").tobytes()],
                     "places": [places[at].astype("<u2").tobytes()], "times": [times[at].astype("<u4").tobytes()],
+                    "doc_ids": [None], "sizes": [None],
                 }, schema=PACKED_SCHEMA)
 
     return docs.mapInArrow(run, PACKED)
 
 
 def partial_sums(packed: DataFrame, path: str) -> DataFrame:
-    """(chunk, places, sums): times by pieces, added up per chunk and task; each distinct pre-token is counted once."""
+    """PARTIAL: times by pieces, added up per chunk and task; each distinct pre-token is counted once. Documents pass."""
 
     def run(batches: Batches) -> Batches:
         pieces: dict[bytes, int] = {}
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
+                if row["doc_ids"] is not None:
+                    yield pa.RecordBatch.from_pylist([{n: row[n] for n in ("chunk", "doc_ids", "sizes")}], schema=PARTIAL_SCHEMA)
+                    continue
                 ends = np.cumsum(np.frombuffer(row["name_sizes"], "<u4"), dtype=np.int64).tolist()
                 names = [row["names"][a:b] for a, b in zip([0, *ends], ends)]
                 if len(pieces) > MOST_KEPT:
@@ -169,56 +187,43 @@ def partial_sums(packed: DataFrame, path: str) -> DataFrame:
             pa.array(list(held), pa.int64()),
             pa.array([p.astype("<u2").tobytes() for p in places.values()], pa.binary()),
             pa.array([held[c][p].astype("<i8").tobytes() for c, p in places.items()], pa.binary()),
+            *[pa.nulls(len(held), kind) for _, kind in MEMBER_FIELDS],
         ], schema=PARTIAL_SCHEMA)
 
-    return packed.mapInArrow(run, "chunk long, places binary, sums binary")
+    return packed.mapInArrow(run, PARTIAL)
 
 
 def sums(partials: DataFrame) -> DataFrame:
-    """(chunk, place, n_tokens): the partial sums of a chunk come to one task one after another."""
+    """(doc_id, n_bytes, n_tokens): the documents and partial sums of a chunk come to one task one after another."""
 
     def run(batches: Batches) -> Batches:
-        current, total = None, None
+        current, total, documents = None, None, None
         for batch in batches:
-            for chunk, places, values in zip(*(batch.column(n).to_pylist() for n in ("chunk", "places", "sums"))):
+            for chunk, places, values, *members in zip(*(batch.column(n).to_pylist() for n in PARTIAL_SCHEMA.names)):
                 if chunk != current:
                     if current is not None:
-                        yield rows(current, total)
+                        yield rows(*documents, total)
                     current, total = chunk, np.zeros(CHUNK_DOCUMENTS, np.int64)
-                total[np.frombuffer(places, "<u2")] += np.frombuffer(values, "<i8")
+                if places is None:
+                    documents = members
+                else:
+                    total[np.frombuffer(places, "<u2")] += np.frombuffer(values, "<i8")
         if current is not None:
-            yield rows(current, total)
+            yield rows(*documents, total)
 
-    def rows(chunk: int, total: np.ndarray) -> pa.RecordBatch:
-        place = np.flatnonzero(total)
+    def rows(ids: list[int], sizes: list[int], total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk] * len(place), pa.int64()), pa.array(place.astype("i4")), pa.array(total[place])],
-            names=["chunk", "place", "n_tokens"],
+            [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total[: len(ids)])],
+            names=["doc_id", "n_bytes", "n_tokens"],
         )
 
     ordered = partials.repartition("chunk").sortWithinPartitions("chunk")
-    return ordered.mapInArrow(run, "chunk long, place int, n_tokens long")
-
-
-def members(docs: DataFrame, id_column: str) -> DataFrame:
-    """(chunk, place, doc_id, n_bytes) of the same chunks."""
-
-    def run(batches: Batches) -> Batches:
-        for chunk, ids, texts in chunks(batches, id_column):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([chunk] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()),
-                pa.array(ids, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()),
-            ], names=["chunk", "place", "doc_id", "n_bytes"])
-
-    return docs.mapInArrow(run, "chunk long, place int, doc_id long, n_bytes long")
+    return ordered.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def token_counts(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every row of ``df``, which must be a scan whose partitions are the same each time."""
+    """(doc_id, n_bytes, n_tokens) of every row of ``df``, which is read once."""
     docs = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = frequencies(docs, "doc_id", buckets).repartition("bucket")
-    counted = sums(partial_sums(packed, path))
-    return members(docs, "doc_id").join(counted, ["chunk", "place"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")
-    )
+    return sums(partial_sums(packed, path))

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedback_spark.llm import huffman_files, merge_tree, piece_counts, queries
@@ -178,6 +179,19 @@ def test_token_counts(spark, docs, no_docs, tmp_path, monkeypatch):
     assert piece_counts.token_counts(no_docs, PIECES).count() == 0
 
 
+def test_token_counts_read_the_table_once(spark, monkeypatch):
+    """Rows that come in another order and other partitions whenever they are read, as after a lost executor."""
+    monkeypatch.setattr(piece_counts, "CHUNK_DOCUMENTS", 4)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("one two "), F.col("id").cast("int") % 50).alias("text"))
+    for shuffled in (many.repartition(7).orderBy(F.rand()), many.repartition(F.rand())):
+        made = piece_counts.token_counts(shuffled, PIECES)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Range (") == 1 and "Join" not in plan
+        wanted = {r.doc_id: (len(r.text), len(model.encode(r.text))) for r in many.collect()}
+        assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in made.collect()} == wanted
+
+
 def test_token_counts_query(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
