@@ -93,7 +93,7 @@ PARTIAL = f"chunk long, places binary, sums binary, {MEMBERS}"
 PARTIAL_SCHEMA = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("sums", pa.binary()), *MEMBER_FIELDS])
 
 
-def chunks(batches: Batches, id_column: str):
+def chunks(batches: Batches, id_column: str, most_documents: int):
     """(chunk number, ids, texts) of a task's rows, cut by length alone."""
     part, number, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
@@ -103,7 +103,7 @@ def chunks(batches: Batches, id_column: str):
                 ids.append(doc)
                 texts.append(text)
                 held += len(text)
-                if held >= CHUNK_CHARACTERS or len(ids) == CHUNK_DOCUMENTS:
+                if held >= CHUNK_CHARACTERS or len(ids) == most_documents:
                     yield (part << 32) + number, ids, texts
                     number, ids, texts, held = number + 1, [], [], 0
     if ids:
@@ -117,7 +117,7 @@ def frequencies(docs: DataFrame, id_column: str, buckets: int) -> DataFrame:
     """
 
     def run(batches: Batches) -> Batches:
-        for chunk, ids, texts in chunks(batches, id_column):
+        for chunk, ids, texts in chunks(batches, id_column, CHUNK_DOCUMENTS):
             sizes = [len(t.encode()) for t in texts]
             spread = xxhash.xxh64_intdigest(chunk.to_bytes(8, "little")) % buckets
             yield pa.RecordBatch.from_pylist([{"bucket": spread, "chunk": chunk, "doc_ids": ids, "sizes": sizes}], schema=PACKED_SCHEMA)
