@@ -23,6 +23,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,10 +63,14 @@ TEASER_NAME = re.compile(
 )
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:main|articlebody|article-body|post-content|entry-content|main-content|article)(?:$|[\s_-])")
 
-REMOVED = re.compile(rf"<!--.*?(?:-->|$)|<({'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S | re.I)
+RAW_START = re.compile(rf"<(?:!--|({'|'.join(RAW.split())})\b)", re.I)
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW.split()}
 DROPPED_END = re.compile(rf"</({'|'.join(sorted(DROPPED))})\b", re.I)
 TITLE_END = re.compile(r"</title\b", re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+TAG_START = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
+# What follows a tag's name up to its end, which is not inside quotes.
+TAG_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+TAG_SIGNS = re.compile(r"[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 FURNITURE_MARK, NO_MARK, MAIN_MARK = -1, 0, 1
@@ -102,15 +109,91 @@ def container_mark(name: str, attributes: str, outer: int) -> int:
     return outer
 
 
+class TagEnds:
+    """Where a tag of a page ends. The first tag without an end makes a table of all signs, so no part is searched again."""
+
+    def __init__(self, page: str):
+        self.page, self.signs, self.ends = page, None, None
+
+    def after(self, at: int) -> int:
+        """The place behind the end of the tag whose attributes start at ``at``, or -1."""
+        if self.signs is None:
+            found = TAG_REST.match(self.page, at)
+            if found:
+                return found.end()
+            self._fill()
+        return self.ends[bisect_left(self.signs, at)]
+
+    def _fill(self) -> None:
+        self.signs = [m.start() for m in TAG_SIGNS.finditer(self.page)]
+        self.ends = [-1] * (len(self.signs) + 1)
+        later: dict[str, int] = {}  # the next sign of each kind
+        for i in range(len(self.signs) - 1, -1, -1):
+            sign = self.page[self.signs[i]]
+            if sign == ">":
+                self.ends[i] = self.signs[i] + 1
+            else:
+                self.ends[i] = self.ends[later[sign] + 1] if sign in later else -1
+                later[sign] = i
+
+
+def without_raw(page: str) -> str:
+    """``page`` with a space for each comment and each element of raw text."""
+    ends, out, kept, at = TagEnds(page), [], 0, 0
+    while found := RAW_START.search(page, at):
+        name, at = found[1], found.end()
+        if name is None:
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+        else:
+            start = ends.after(at)
+            if start < 0:
+                continue
+            end = RAW_END[name.lower()].search(page, start)
+            at = end.end() if end else len(page)
+        out += [page[kept : found.start()], " "]
+        kept = at
+    return "".join([*out, page[kept:]])
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether an end tag, name or nothing, attributes) of each tag or declaration."""
+    ends, at = TagEnds(page), 0
+    last = page.rfind(">")
+    while (found := TAG_START.search(page, at)) and found.start() < last:
+        name = found[2]
+        after = ends.after(found.end()) if name else page.find(">", found.end()) + 1
+        if after <= 0:
+            at = found.start() + 1
+            continue
+        yield found.start(), after, bool(found[1]), (name or "").lower(), page[found.end() : after - 1]
+        at = after
+
+
 def blocks_of(page: str) -> list[Block]:
-    page = REMOVED.sub(" ", page)
+    page = without_raw(page)
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     linked, at, link_depth, kind = 0, 0, 0, 0
     last_end = {m[1].lower(): m.start() for m in DROPPED_END.finditer(page)}
     skip, titles = 0, True
 
+    def push(name: str, mark: int) -> None:
+        stack.append((name, mark))
+        open_names[name] += 1
+
+    def pop() -> None:
+        open_names[stack.pop()[0]] -= 1
+
+    def close(name: str) -> None:
+        """End the innermost open ``name`` and all inside it; each element is taken off once, stray ends cost nothing."""
+        if open_names[name]:
+            while stack[-1][0] != name:
+                pop()
+            pop()
+
     def end_block() -> None:
         nonlocal linked, parts
         text = " ".join(html.unescape("".join(parts)).split())
@@ -124,66 +207,62 @@ def blocks_of(page: str) -> list[Block]:
         if stack and stack[-1][1] == DROPPED_MARK:
             if stack[-1][0] != "head" or text.isspace():
                 return
-            stack.pop()
+            pop()
         parts.append(text)
         if link_depth:
             linked += len("".join(html.unescape(text).split()))
 
-    for tag in TAG.finditer(page):
-        if tag.start() < skip:
+    for start, end, closing, name, attributes in tags_of(page):
+        if start < skip:
             continue
-        if tag.start() > at:
-            add(page[at : tag.start()])
-        at = tag.end()
-        if not tag[2]:
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not name:
             continue
-        name = tag[2].lower()
-        if name == "title" and not tag[1] and titles:
-            end = TITLE_END.search(page, at)
-            skip = at = end.start() if end else at
-            titles = end is not None
+        if name == "title" and not closing and titles:
+            title_end = TITLE_END.search(page, at)
+            skip = at = title_end.start() if title_end else at
+            titles = title_end is not None
             continue
-        if name == "body" and not tag[1] and (heads := [i for i, (n, _) in enumerate(stack) if n == "head"]):
-            del stack[heads[0] :]
-        elif stack and stack[-1][0] == "head" and (name in ("body", "html", "br") if tag[1] else name not in IN_HEAD):
-            stack.pop()
+        if name == "body" and not closing and open_names["head"]:
+            while open_names["head"]:
+                pop()
+        elif stack and stack[-1][0] == "head" and (name in ("body", "html", "br") if closing else name not in IN_HEAD):
+            pop()
         if name in DROPPED:
             in_head = bool(stack) and stack[-1][0] == "head"
-            if tag[1] or name in ("button", "select"):
-                open_one = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if open_one is not None:
-                    del stack[open_one:]
-            if not tag[1] and not (name in ("svg", "math") and tag[3].endswith("/")) and not (in_head and (name == "head" or last_end.get(name, -1) < at)):
-                stack.append((name, DROPPED_MARK))
+            if closing or name in ("button", "select"):
+                close(name)
+            if not closing and not (name in ("svg", "math") and attributes.endswith("/")) and not (in_head and (name == "head" or last_end.get(name, -1) < at)):
+                push(name, DROPPED_MARK)
             continue
         # A dropped element that has no end tag ends where its parent does, also when that is implied.
-        while not tag[1] and stack and stack[-1][0] in DROPPED and last_end.get(stack[-1][0], -1) < at:
+        while not closing and stack and stack[-1][0] in DROPPED and last_end.get(stack[-1][0], -1) < at:
             if name not in MAIN and not (name in SELF_CLOSING and len(stack) > 1 and stack[-2][0] == name):
                 break
-            stack.pop()
+            pop()
         if name == "a":
-            link_depth = 0 if tag[1] else 1
+            link_depth = 0 if closing else 1
         if name not in BLOCKS:
-            if not tag[1] and name not in VOID and "=" in tag[3]:
-                mark = container_mark(name, tag[3], stack[-1][1] if stack else NO_MARK)
+            if not closing and name not in VOID and "=" in attributes:
+                mark = container_mark(name, attributes, stack[-1][1] if stack else NO_MARK)
                 if name != "a" and mark != (stack[-1][1] if stack else NO_MARK):
                     end_block()
-                    stack.append((name, mark))
-            elif tag[1] and stack and stack[-1][0] == name:
+                    push(name, mark)
+            elif closing and stack and stack[-1][0] == name:
                 end_block()
-                stack.pop()
+                pop()
             continue
         end_block()
-        link_depth = 0 if name != "li" or tag[1] else link_depth
-        if tag[1]:
-            names = [n for n, _ in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
+        link_depth = 0 if name != "li" or closing else link_depth
+        if closing:
+            close(name)
         elif name not in VOID:
             if name in SELF_CLOSING and stack and stack[-1][0] == name:
-                stack.pop()
-            stack.append((name, container_mark(name, tag[3], stack[-1][1] if stack else NO_MARK)))
-        inner = name if not tag[1] else (stack[-1][0] if stack else "")
+                pop()
+            push(name, container_mark(name, attributes, stack[-1][1] if stack else NO_MARK))
+        inner = name if not closing else (stack[-1][0] if stack else "")
         if name != "br":
             kind = 2 if inner in HEADINGS else 1 if inner in ("p", "blockquote", "pre") else -1 if inner in ("li", "option", "dt") else 0
     if at < len(page) and not page[at:].lstrip().startswith("<"):

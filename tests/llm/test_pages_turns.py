@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,29 @@ def test_optional_tags_and_misleading_names(page):
     assert html_blocks.main_text(page, html_blocks.train()).split("\n") == TEXT
 
 
+WHOLE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
+WHOLE_RAW = re.compile(r"<!--.*?(?:-->|$)|<(script|style|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S | re.I)
+
+
+def test_scan_equals_one_search_per_tag():
+    rng = random.Random(8)
+    bits = ["<p>", "</p>", "<a href=x>", "<", ">", '"', "'", "t ", "<!--", "-->", "<script>", "</script >", '<SCRIPT a="', "<b x='", "<!d", "<?", "\n", "</STYLE>", "<style"]
+    for _ in range(20_000):
+        page = "".join(rng.choices(bits, k=rng.randrange(20)))
+        # A dollar sign also matches before a last line break, which is white space either way.
+        assert html_blocks.without_raw(page).rstrip("\n") == WHOLE_RAW.sub(" ", page).rstrip("\n"), page
+        wanted = [(m.start(), m.end(), m[1] == "/", (m[2] or "").lower()) for m in WHOLE_TAG.finditer(page)]
+        assert [t[:4] for t in html_blocks.tags_of(page)] == wanted, page
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a '\"", '<script "', "<!", "<!--", "<title>", "<button>", "<ul><li>", "<span class=ad>"])
+def test_long_broken_pages_take_time_by_their_length(part):
+    start = time.process_time()
+    html_blocks.blocks_of(part * (1_000_000 // len(part)))
+    html_blocks.blocks_of("<div>" * 100_000 + "</p>" * 100_000)
+    assert time.process_time() - start < 20
+
+
 def test_tree_repeats_its_table():
     rows = html_blocks.labelled_rows(html_blocks.LABELLED_PAGES)
     wrong = (html_blocks.train().predict(rows[:, :-1]) != (rows[:, -1] == 1)).sum()
