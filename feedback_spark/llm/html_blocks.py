@@ -10,10 +10,11 @@
    notices, adverts, sidebars and reader comments, told by tag, role, class or id. A name alone may mislead
    (``no-sidebar``): a main element in a container so named is main text, and an article too, except that one among
    teasers or comments is so only when the page has no other main text.
-3. A decision tree (Gini impurity) decides which blocks are main text. It is grown on the small labelled table
-   below when the operator starts, and sent to the tasks.
+3. A decision tree (Gini impurity) decides which blocks are main text. It is grown on the two small labelled tables
+   below when the operator starts, and sent to the tasks. Blocks in marked containers follow their mark; on pages without
+   marks the tree goes by link density, words, kind and neighbours.
 
-Pages are read where they lie, with no shuffle. A page is cut by one scan over its tags, whatever its length.
+Pages are read where they lie, with no shuffle. A page is cut by one scan over its tags, in time by its length however broken it is.
 
 Defined cases: null, empty and unparsable pages give an empty text; unclosed tags end with the page, and stray end tags are
 passed over; repeated rows are each extracted; an empty table gives an empty table. Clashing extra columns are replaced.
@@ -327,6 +328,29 @@ LABELLED_PAGES: list[list[tuple[int, str]]] = [
     [(1, "<p>" + W * 20 + "</p>")], [(1, W * 35)], [(1, "<p>" + W * 6 + "</p>"), (1, "<p>" + W * 9 + "</p>")],
 ]
 
+# Pages without any mark, as (label, kind, words, links) of their blocks in order: what their text is, only sizes, links and
+# neighbours tell.
+UNMARKED_PAGES: list[list[tuple[int, int, int, float]]] = [
+    # News: menu, date, advert line, story with a short answer, teasers, owner's line.
+    [(0, -1, 1, 1), (0, -1, 2, 1), (0, -1, 1, 1), (0, 0, 4, 0), (0, 0, 9, 0), (1, 2, 8, 0), (1, 1, 46, 0), (1, 1, 71, 0.04), (1, 1, 2, 0),
+     (1, 1, 38, 0), (1, 1, 55, 0), (0, 0, 7, 1), (0, 0, 9, 1), (0, 0, 12, 0.1)],
+    # Blog: motto, text with a bare line, list of other entries under a heading of its own.
+    [(0, 0, 3, 1), (0, 0, 2, 1), (0, 0, 14, 0), (1, 2, 5, 0), (1, 1, 30, 0.1), (1, 1, 88, 0), (1, 0, 40, 0), (1, 1, 17, 0.3), (0, 2, 2, 0),
+     (0, -1, 5, 1), (0, -1, 6, 1), (0, -1, 4, 1), (0, 0, 8, 0)],
+    # Manual: steps between paragraphs, two sections.
+    [(0, -1, 2, 1), (0, -1, 3, 1), (0, -1, 2, 1), (0, -1, 2, 1), (1, 2, 4, 0), (1, 1, 25, 0), (1, -1, 6, 0), (1, -1, 11, 0.2), (1, -1, 8, 0),
+     (1, 1, 33, 0), (1, 2, 3, 0), (1, 1, 52, 0.05), (0, 0, 3, 1), (0, 0, 10, 0.15)],
+    # Product: short description, properties, price line.
+    [(0, 0, 2, 1), (0, 0, 6, 0), (1, 2, 6, 0), (1, 1, 42, 0), (1, -1, 5, 0), (1, -1, 4, 0), (1, 1, 19, 0), (0, 0, 4, 0.5), (0, 0, 2, 1), (0, 0, 11, 0)],
+    # Stub of one paragraph; letter of short paragraphs; reference with linked terms.
+    [(0, -1, 1, 1), (0, -1, 1, 1), (0, 0, 8, 0), (1, 2, 7, 0), (1, 1, 64, 0), (0, 0, 13, 0)],
+    [(0, -1, 1, 1), (0, -1, 2, 1), (0, 0, 10, 0), (1, 2, 12, 0), (1, 1, 14, 0), (1, 1, 9, 0), (1, 1, 12, 0), (1, 1, 8, 0), (0, 0, 15, 0)],
+    [(0, 0, 1, 1), (0, 0, 1, 1), (1, 2, 2, 0), (1, 1, 39, 0.35), (1, 1, 58, 0.28), (1, 2, 3, 0), (1, 1, 31, 0.3), (0, -1, 3, 1), (0, -1, 4, 1)],
+    # Text in plain containers; texts alone.
+    [(0, 0, 2, 1), (0, 0, 1, 1), (1, 2, 7, 0), (1, 0, 90, 0), (1, 0, 35, 0), (1, 0, 61, 0.02), (0, 0, 5, 1), (0, 0, 9, 0)],
+    [(1, 2, 4, 0), (1, 1, 12, 0), (1, 1, 9, 0)], [(1, 1, 28, 0)], [(1, 1, 9, 0), (1, 1, 6, 0)], [(1, 0, 35, 0)],
+]
+
 
 class Tree:
     """A binary decision tree grown by Gini impurity."""
@@ -373,8 +397,31 @@ def labelled_rows(pages: list[list[tuple[int, str]]]) -> np.ndarray:
     return np.concatenate(rows)
 
 
+def unmarked_rows(pages: list[list[tuple[int, int, int, float]]]) -> np.ndarray:
+    """The FEATURES and label of each block of ``UNMARKED_PAGES``; each page once more with its main part and furniture marked."""
+    rows = []
+    for furniture, main in ((NO_MARK, NO_MARK), (FURNITURE_MARK, MAIN_MARK)):
+        for page in pages:
+            found = features([Block("", words, links, kind, main if label else furniture) for label, kind, words, links in page])
+            rows.append(np.column_stack([found, np.array([row[0] for row in page], float)]))
+    return np.concatenate(rows)
+
+
+def training_rows(exchanges: int = 8) -> np.ndarray:
+    """Rows of both tables. Marked blocks stand there also beside ``exchanges`` other neighbours each: a mark holds whatever is near."""
+    rows = np.concatenate([labelled_rows(LABELLED_PAGES), unmarked_rows(UNMARKED_PAGES)])
+    marked, near = rows[rows[:, 0] != NO_MARK], slice(3, 7)
+    moved = []
+    for step in range(1, exchanges + 1):
+        other = marked.copy()
+        other[:, near] = np.roll(marked[:, near], 7 * step, axis=0)
+        moved.append(other)
+    return np.concatenate([rows, *moved])
+
+
 def train(pages: list[list[tuple[int, str]]] | None = None) -> Tree:
-    return Tree(labelled_rows(pages or LABELLED_PAGES))
+    """A tree of the given pages, or of both tables."""
+    return Tree(labelled_rows(pages) if pages else training_rows())
 
 
 def main_text(page: str, tree: Tree) -> str:
