@@ -153,3 +153,10 @@ cease ceas controll control roll roll is is y y""".split()
 def test_stems(texts):
     cells, want = STEMS[::2], STEMS[1::2]
     assert dict(zip(cells, values(texts(*cells), stems.stem(F.col("t"))))) == dict(zip(cells, want))
+
+
+def test_stems_cut_endings_without_patterns(texts):
+    """Only what stands before an ending is matched; a word without a listed ending passes no step."""
+    made = texts("tokens", "dog", "x1", "zzz", None, "relational").select(stems.stem(F.col("t")))
+    assert [r[0] for r in made.collect()] == ["token", "dog", "x1", "zzz", None, "relat"]
+    assert "regexp_extract" not in made._jdf.queryExecution().optimizedPlan().toString()
