@@ -137,12 +137,17 @@ def signatures(df: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def candidate_edges(signed: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's least node."""
+    """(a, b): each node with the least of its buckets' least nodes, and that one with the others.
+
+    A node has at most one such node per band. Joining these among themselves leaves about one edge per node,
+    where a large group of near copies else has one per node and band.
+    """
     rows = signed.filter(F.col("node").isNotNull()).select("node", F.explode("buckets").alias("bucket"))
     ends = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    return rows.join(ends.select("bucket", "low"), "bucket").filter("node != low").select(
-        F.col("low").alias("a"), F.col("node").alias("b")
-    ).distinct()
+    linked = rows.join(ends.select("bucket", "low"), "bucket").filter("node != low")
+    lows = linked.groupBy("node").agg(F.collect_set("low").alias("lows")).withColumn("a", F.array_min("lows"))
+    others = F.filter("lows", lambda x: x != F.col("a"))
+    return lows.select("a", F.explode(F.concat(F.array("node"), others)).alias("b")).distinct()
 
 
 def verified_links(df: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:

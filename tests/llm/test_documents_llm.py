@@ -140,6 +140,29 @@ def test_edges_of_a_group_of_near_copies_grow_with_its_nodes():
     assert {r["links"] for r in inner if r["b"] is None} == {19} and {r["links"] for r in across if r["b"] is None} == {20}
 
 
+def test_candidates_of_near_copies_are_about_one_edge_a_node(frame):
+    signed = frame(
+        "node long, buckets array<long>",
+        *[(n, [100 * band + (n + 3 * band) % 7 for band in range(12)]) for n in range(1, 201)], (900, [7000]), (901, [7000]), (None, None),
+    )
+    edges = {(r.a, r.b) for r in ngram_join.candidate_edges(signed).collect()}
+    # One edge for each node and band were some 2,300; all are linked still.
+    assert len(edges) < 300
+    label = {n: n for e in edges for n in e}
+    for _ in range(300):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    # Each bucket holds the numbers of one remainder, so the seven remainders are seven groups at most.
+    plain = {n: n for n in label}
+    for band in range(12):
+        for first in range(7):
+            held = [n for n in range(1, 201) if (n + 3 * band) % 7 == first]
+            least = min(plain[n] for n in held)
+            plain.update({n: least for n in held})
+    plain.update({900: 900, 901: 900})
+    assert label == plain
+
+
 def test_near_duplicates_of_null_ids_and_empty_table(frame, docs, no_docs):
     made = ngram_join.near_duplicates(frame("doc_id long, text string", (None, "a b c d e f"), (None, "a b c d e f"), (3, "x y z"))).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in made) == Counter([(None, None, 1), (None, None, 1), (3, 3, 0)])
