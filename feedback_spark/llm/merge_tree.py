@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from feedback_spark.llm.frames import lists, texts_of, with_columns
@@ -44,7 +45,9 @@ class MergeTree:
         order = np.argsort(pairs, kind="stable")
         self.pairs, self.ranks = pairs[order], order
         self.merged = np.array([known[a + b] for a, b in v.merges], np.int64)
-        self.kept: dict[str, bytes] = {}
+        self.pieces = pa.array(v.strings, pa.string())
+        self.special = {text: number.to_bytes(4, "little") for text, number in v.special.items()}
+        self.kept: dict[str, bytes] = dict(self.special)
 
     def _leaf(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
         """Leaf value: rank first, then place; NONE where the pair does not merge."""
@@ -130,29 +133,36 @@ class MergeTree:
                     out[i] = ids[a:b]
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are not kept yet."""
-        kept = self.kept
+    def learn(self, words: set[str], whole: set[str]) -> None:
+        """Encode composed lower-case ``words`` and pre-tokens, which stay ``whole``, that are not kept yet."""
+        kept, findall = self.kept, self.vocabulary.pattern.findall
         if len(kept) > MOST_KEPT:
             kept.clear()
-        new = [w for w in words if w not in kept]
-        special = self.vocabulary.special
-        cut = [[] if w in special else self.vocabulary.pre_tokens(w) for w in new]
-        pieces = list({p for c in cut for p in c})
-        ids = dict(zip(pieces, self.encode_pre_tokens(pieces)))
+            kept.update(self.special)
+        new, whole = list(words.difference(kept)), list(whole.difference(kept))
+        # A word of letters is one pre-token, a mark behind it another; all others are cut by the pattern.
+        cut = [[w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,!?" and w[:-1].isalpha() else findall(w) for w in new]
+        pieces = {p for c in cut for p in c}.union(whole)
+        ids = {p: kept[p] for p in pieces if p in kept}
+        pieces = list(pieces.difference(ids))
+        ids.update(zip(pieces, self.encode_pre_tokens(pieces)))
+        for w in whole:
+            kept[w] = ids[w]
         for w, c in zip(new, cut):
-            if w in special:
-                kept[w] = np.array([special[w]], "<i4").tobytes()
-            else:
-                kept[w] = ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])
+            kept[w] = ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        words = self.vocabulary.words
         for start in range(0, len(texts), 256):
-            cut = [words(t) for t in texts[start : start + 256]]
-            self.learn(set().union(*cut))
+            words: set[str] = set()
+            whole: set[str] = set()
+            cut = []
+            for text in texts[start : start + 256]:
+                lower = self.vocabulary.plain(text)
+                cut.append(self.vocabulary.cut(text) if lower is None else lower.split())
+                (whole if lower is None else words).update(cut[-1])
+            self.learn(words, whole)
             get = self.kept.__getitem__
             out.extend(b"".join(map(get, c)) for c in cut)
         return out
@@ -182,9 +192,16 @@ def decode(df: DataFrame, path: str, ids_column: str = "ids", text_column: str =
     """
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        strings = merge_tree(path).vocabulary.strings
+        tree = merge_tree(path)
+        strings = tree.vocabulary.strings
         column = batch.column(ids_column)
-        flat, offsets = column.flatten().to_pylist(), column.offsets.to_pylist()
+        values = column.flatten()
+        if not column.null_count and not values.null_count and len(values):
+            least, last = pc.min_max(values).as_py().values()
+            if 0 <= least and last < len(strings):
+                begins = pc.subtract(column.offsets, column.offsets[0])
+                return {text_column: pc.binary_join(pa.ListArray.from_arrays(begins, tree.pieces.take(values)), " ")}
+        flat, offsets = values.to_pylist(), column.offsets.to_pylist()
         base, valid = offsets[0], column.is_valid().to_pylist()
         get, most = strings.__getitem__, len(strings)
         texts = []

@@ -200,3 +200,16 @@ def test_token_counts_query(spark):
     for r in made:
         n = len(model.encode(texts[r.doc_id]))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
+
+
+def test_words_are_kept_once_in_any_case():
+    tree = merge_tree.MergeTree(WORDS)
+    first, second = tree.encode(["Wort WORT wort, Wort,", "wort wort wort, wort,"])
+    assert first == second and set(tree.kept) - set(tree.special) == {"wort", "wort,"}
+
+
+def test_decoding_of_slices_equals_a_plain_join(frame):
+    strings = merge_tree.MergeTree(WORDS).vocabulary.strings
+    rows = [(i, [(7 * i + j) % len(strings) for j in range(i % 9)]) for i in range(1300)]
+    made = merge_tree.decode(frame("doc_id long, ids array<int>", *rows).coalesce(1), WORDS).collect()
+    assert {r.doc_id: r.decoded for r in made} == {i: " ".join(strings[x] for x in ids) for i, ids in rows}
