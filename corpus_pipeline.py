@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedback_spark.llm import host_rules, leak_search, merge_tree, ngram_join, toxicity
-from feedback_spark.llm.frames import importable, table
+from feedback_spark.llm.frames import durable, importable, table
 from feedback_spark.session import shared_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -53,10 +53,14 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids, decoded) of each document."""
+    """(doc_id, source, n_tokens, ids, decoded) of each document.
+
+    The ids are stored before they are decoded: both steps in one Spark stage would keep two Python workers per core alive, each
+    with its own vocabulary, for this stage and those after it.
+    """
     importable(spark)
     path = public_tokenizers.path(VOCABULARY)
-    ids = merge_tree.encode(docs.select("doc_id", "source", "text"), path).select("doc_id", "source", "ids")
+    ids = durable(merge_tree.encode(docs.select("doc_id", "source", "text"), path).select("doc_id", "source", "ids"), "ids")
     return merge_tree.decode(ids, path).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -196,6 +196,12 @@ def test_pipeline_stages_take_effect(spark):
     assert corpus_pipeline.run(spark, SMALL).count() == counts[-1]
 
 
+def test_pipeline_encodes_and_decodes_in_stages_of_one_worker(spark, docs):
+    # Two Python steps in one stage keep two workers per core, with all they hold, alive for the stages that follow.
+    plan = corpus_pipeline.encoded(spark, docs, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("MapInArrow", plan)) == 1
+
+
 def test_pipeline_on_awkward_rows(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         for given in (docs, docs.limit(0)):
