@@ -304,7 +304,8 @@ def doc_term_counts(spark, sf):
 def _language_terms(spark, sf):
     """Words per language and their counts, as a table of topics with weights."""
     langs = base.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("topic"))
-    counted = doc_term_counts(spark, sf).join(langs, "doc_id").groupBy("topic", F.col("word").alias("term"))
+    words = tokens.tokens(tokens.by_document(base.cleaned(spark, sf)))
+    counted = tokens.doc_term_counts(words).join(langs, "doc_id").groupBy("topic", F.col("word").alias("term"))
     return topics.top_terms_ties(counted.agg(F.sum("n").alias("beta")))
 
 

@@ -13,6 +13,15 @@ def tokens(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
     return held.select(key, F.posexplode(text.split_words(F.col("cleaned_text"))).alias("pos", "word"))
 
 
+def by_document(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``cleaned`` dealt by its key, for counts per document and word that are joined to the document again.
+
+    A text is shorter than the (key, word, count) rows it gives, so moving it once costs less than moving
+    these rows for the count and again for the join.
+    """
+    return cleaned.repartition(F.col(key))
+
+
 def words_only(cleaned: DataFrame) -> DataFrame:
     """(word), for counts that need no document key."""
     held = cleaned.filter(F.col("cleaned_text") != "")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from catalog import base
+from catalog import base, text_queries
 from check import connect, difference
 from feedback_spark.functions import labels, text
 from feedback_spark.operators import cleaning, keywords, polarity, tokens
@@ -133,3 +133,18 @@ def test_files_are_told_by_encoding(spark):
     assert {r.encoding for r in rows} == {"UTF-8", "ISO-8859-1"}
     latin = next(r for r in rows if r.encoding == "ISO-8859-1")
     assert latin.as_written
+
+
+def test_counts_by_document_move_texts_and_no_words(spark, frame):
+    cleaned = frame("doc_id long, cleaned_text string", (1, "a b a"), (2, "b"), (2, "b"), (None, "a"))
+    langs = frame("doc_id long, lang string", (1, "x"), (2, "y"), (2, "y"))
+    counted = tokens.doc_term_counts(tokens.tokens(tokens.by_document(cleaned)))
+    shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", plan(counted.join(langs.hint("merge"), "doc_id")))
+    assert shuffles and not [s for s in shuffles if "word" in s]
+    assert sorted((r.doc_id or 0, r.word, r.n) for r in counted.collect()) == [(0, "a", 1), (1, "a", 2), (1, "b", 1), (2, "b", 2)]
+
+
+@needs_tables
+def test_terms_of_a_language_count_without_a_shuffle_of_words(spark):
+    shown = plan(text_queries.top_terms_ties(spark, "/root/testdata/sf0.001"))
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, word#", shown)
