@@ -191,11 +191,17 @@ def guess_columns(columns: DataFrame, *by: str) -> DataFrame:
 
     The text column is the first name that looks like text, else the first
     name; the date column the first that looks like a date, else none.
+
+    Spark sorts all rows for an aggregate that holds names. So names that no group can choose are left out before: those that look like
+    neither and stand behind the last of all first places, which a narrow aggregate gives.
     """
+    last_first = columns.groupBy(*by).agg(F.min("pos").alias("first")).agg(F.max("first").alias("first")).scalar()
+    chosen = F.col("name").rlike(TEXT_NAMES) | F.col("name").rlike(DATE_NAMES) | (F.col("pos") <= last_first) | F.col("pos").isNull()
+
     def first_like(pattern: str) -> Column:
         return F.min_by("name", F.when(F.col("name").rlike(pattern), F.col("pos")))
 
-    return columns.groupBy(*by).agg(
+    return columns.filter(chosen).groupBy(*by).agg(
         F.coalesce(first_like(TEXT_NAMES), F.min_by("name", "pos")).alias("text_column"),
         first_like(DATE_NAMES).alias("date_column"),
     )

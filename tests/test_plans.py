@@ -12,6 +12,7 @@ from check import connect, difference
 from feedback_spark.functions import labels, text
 from feedback_spark.operators import cleaning, keywords, polarity, tokens
 from feedback_spark.session import local_session, shared_path, spread
+from feedback_spark.sources import csv_files
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not here")
@@ -148,3 +149,18 @@ def test_counts_by_document_move_texts_and_no_words(spark, frame):
 def test_terms_of_a_language_count_without_a_shuffle_of_words(spark):
     shown = plan(text_queries.top_terms_ties(spark, "/root/testdata/sf0.001"))
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, word#", shown)
+
+
+def test_names_no_group_can_choose_are_not_sorted(spark, frame):
+    names = frame(
+        "g long, name string, pos int", (1, "a", 3), (1, "b", 4), (1, "Review text", 9), (2, "c", 0), (2, "x", 5), (2, "y", 6), (2, "date", 7),
+        (None, None, 2), (None, "z", 8), (3, "w", None), (4, None, 1), (4, "body", 9), (4, None, 9),
+    )
+    found = csv_files.guess_columns(names, "g")
+    assert {(r.g, r.text_column, r.date_column) for r in found.collect()} == {
+        (1, "Review text", None), (2, "c", "date"), (None, None, None), (3, None, None), (4, "body", None)
+    }
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[g.*\n.*Filter \(.*RLIKE.*scalar-subquery", shown), shown
+    assert csv_files.guess_columns(names.filter("g = 1").drop("g")).first().text_column == "Review text"
+    assert csv_files.guess_columns(names.limit(0)).collect()[0].text_column is None
