@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from feedback_spark.operators import cleaning, emotions, keywords, polarity, tokens, topics
+from feedback_spark.session import durable
 from feedback_spark.sources.lexicons import Lexicons
 
 
@@ -44,11 +45,13 @@ def corpus_analysis(
 ) -> CorpusResult:
     """Analyse (key, raw_text, label) documents.
 
-    Only narrow frames feed several parts and are kept: scores, word counts and
-    topic vectors. Texts are cleaned again where words are needed once more, which
-    is cheaper than keeping them. Kept blocks lost with an executor are computed again.
+    Cleaning costs more than writing and reading the cleaned texts, and several passes
+    read them, so they are stored once in the shared folder. Only narrow frames are kept in
+    memory: scores, word counts and topic vectors. Kept blocks lost with an executor are computed again.
+    Spark's topic model depends on how its rows lie, so it is fitted on the documents as they came.
     """
-    cleaned = cleaning.clean_documents(documents)
+    made = cleaning.clean_documents(documents)
+    cleaned = durable(made, "cleaned")
     scored = polarity.hybrid_polarity(
         cleaned, lexicons.polarity, lexicons.weights, lexicons.shifters, key
     ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -56,7 +59,7 @@ def corpus_analysis(
     fitted = None
     if with_topics:
         stops = lexicons.stops if lexicons.topic_stops is None else lexicons.topic_stops
-        terms = tokens.topic_terms(cleaned, stops, key, stem)
+        terms = tokens.topic_terms(made, stops, key, stem)
         fitted = topics.fit_topics(terms, key=key, **(topic_options or {}))
     return CorpusResult(
         cleaned=cleaned,

@@ -11,6 +11,7 @@ from catalog import base, text_queries
 from check import connect, difference
 from feedback_spark.functions import labels, text
 from feedback_spark.operators import cleaning, keywords, polarity, tokens
+from feedback_spark.plans import corpus
 from feedback_spark.session import local_session, shared_path, spread
 from feedback_spark.sources import csv_files
 
@@ -164,3 +165,13 @@ def test_names_no_group_can_choose_are_not_sorted(spark, frame):
     assert re.search(r"Aggregate \[g.*\n.*Filter \(.*RLIKE.*scalar-subquery", shown), shown
     assert csv_files.guess_columns(names.filter("g = 1").drop("g")).first().text_column == "Review text"
     assert csv_files.guess_columns(names.limit(0)).collect()[0].text_column is None
+
+
+def test_texts_are_cleaned_once_in_an_analysis(spark, frame):
+    """All parts of a corpus result read the stored cleaned texts; none runs the cleaning patterns again."""
+    docs = frame("doc_id long, raw_text string, label string", *[(i, f"thor er best w{i}", "pos") for i in range(20)])
+    result = corpus.corpus_analysis(docs, base.lexicons(spark), key="doc_id", with_topics=False)
+    for part in (result.cleaned, result.scored, result.top_words, result.document_emotions):
+        assert "https?" not in plan(part)
+    assert result.scored.count() == 20
+    result.release()
