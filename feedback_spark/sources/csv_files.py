@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from feedback_spark.functions.text import strip
+from feedback_spark.functions.text import if_kept, strip
 from feedback_spark.sources import csv_records
 from feedback_spark.session import durable
 
@@ -50,20 +50,16 @@ def looks_headerless(cells: Column) -> Column:
     )
 
 
-def _cells(chunks: DataFrame, width: int, multi_line: bool) -> DataFrame:
-    """(file, place, cells, short) of every record, cells as raw bytes in latin-1 characters."""
-    parsed = csv_records.cut(chunks, multi_line).withColumn("parsed", csv_records.cells_of(F.col("record"), width, SHORT_RECORD))
-    return parsed.select(
-        "file", "place", F.array(*[F.col(f"parsed.c{i}") for i in range(width)]).alias("cells"), F.col(f"parsed.{SHORT_RECORD}").alias("short")
-    )
-
-
 def _as_utf8(cell: Column) -> Column:
     return F.encode(cell, "ISO-8859-1").cast("string")
 
 
+def _decoded_cell(cell: Column, utf8: Column) -> Column:
+    return F.when(utf8, _as_utf8(cell)).otherwise(cell)
+
+
 def _decoded(cells: Column, utf8: Column) -> Column:
-    return F.transform(cells, lambda c: F.when(utf8, _as_utf8(c)).otherwise(c))
+    return F.transform(cells, lambda c: _decoded_cell(c, utf8))
 
 
 def file_layouts(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
@@ -136,17 +132,30 @@ def read_csv(
     columns = list(dict.fromkeys(c for shape in shapes for c in shape.names if c))
     if not columns:
         raise ValueError("CSV has no header row")
-    raw = _cells(chunks, max(width, len(columns)), multi_line).join(files.withColumnRenamed("file", "_file"), F.col("file") == F.col("_file"))
+    # Where each column stands in a file, worked out per file and not per record.
+    order = F.array(*[F.array_position("names", F.lit(c)).cast("int") - 1 for c in columns])
+    files = files.select(F.col("file").alias("_file"), "first", "utf8", "headed", order.alias("order"))
+    records = csv_records.cut(chunks, multi_line).join(files, F.col("file") == F.col("_file"))
     first = F.col("place") == F.col("first")
-    # Without a header a record of a single cell is left out, unlike one whose second cell is blank.
-    single = ~F.col("headed") & F.get("cells", F.lit(1)).isNull() & F.col("short").isNotNull()
-    body = raw.filter(~(F.col("headed") & first) & ~single).withColumn("cells", _decoded(F.col("cells"), F.col("utf8")))
-    body = body.withColumn("cells", F.transform("cells", lambda c, i: F.when(first & (i == 0), F.ltrim(c, F.lit(BOM))).otherwise(c)))
-    picked = [
-        strip(F.coalesce(F.get("cells", F.array_position("names", F.lit(c)).cast("int") - 1), F.lit(""))).alias(c) for c in columns
-    ]
+    # A plain filter on cells is pushed down to the record and cuts it again for every cell it names, so both filters on cells
+    # are explodes of what is left (see ``text.if_kept``). Without a header a record of a single cell is left out, unlike one whose
+    # second cell is blank.
+    size = max(width, len(columns))
+    parsed = records.filter(~(F.col("headed") & first)).withColumn("parsed", csv_records.cells_of(F.col("record"), size, SHORT_RECORD))
+    second = F.col("parsed.c1") if size > 1 else F.lit(None).cast("string")
+    single = ~F.col("headed") & second.isNull() & F.col(f"parsed.{SHORT_RECORD}").isNotNull()
+    body = parsed.withColumn("single", single).withColumn("cells", F.array(*[F.col(f"parsed.c{i}") for i in range(size)]))
+    body = body.withColumn("cells", F.explode(if_kept(F.col("cells"), lambda c: ~F.col("single"))))
+
+    def cell(i: int) -> Column:
+        at = F.get("order", F.lit(i))
+        shown = _decoded_cell(F.get("cells", at), F.col("utf8"))
+        return strip(F.coalesce(F.when(first & (at == 0), F.ltrim(shown, F.lit(BOM))).otherwise(shown), F.lit("")))
+
+    body = body.withColumn("picked", F.array(*[cell(i) for i in range(len(columns))]))
+    body = body.withColumn("picked", F.explode(if_kept(F.col("picked"), lambda p: F.exists(p, lambda x: x != ""))))
     source = [F.col("file").alias("source_file"), F.col("place").alias("source_place")] if keep_file else []
-    rows = drop_blank_rows(body.select(*picked, *source), columns)
+    rows = body.select(*[F.get("picked", F.lit(i)).alias(c) for i, c in enumerate(columns)], *source)
     return rows.limit(limit) if limit is not None else rows
 
 

@@ -113,3 +113,12 @@ def test_long_line_with_many_quotes_is_read_in_proportion():
     line = b'"' + b'a""' * 400_000
     outside, inside = csv_records.line_maps(pa.array([line, line + b'"']))
     assert outside.tolist() == [True, False]
+
+
+def test_a_record_is_cut_into_cells_once(spark, tmp_path):
+    """Whatever the number of columns, the plan of the rows parses and decodes each record at one place."""
+    (tmp_path / "data.csv").write_text("a,b,c,d,e\n1,2,3,4,5\n,,,,\n 6 ,,,,\n")
+    rows = csv_files.read_csv(spark, str(tmp_path / "data.csv"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "2", "3", "4", "5"), ("6", "", "", "", "")]
+    shown = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("from_csv(") == 1
