@@ -60,9 +60,10 @@ def topic_terms(cleaned: DataFrame, stops: DataFrame, key: str = "doc_id", stem:
     listed = stops.agg(F.collect_set("word").alias("stops")).scalar()
     kept = cleaned.filter(F.col("cleaned_text") != "").withColumn("_stops", F.coalesce(listed, F.array().cast("array<string>")))
     numeric = "^[0-9]+$"
+    # Digits sort before ":", so a word from there on is no number and needs no pattern.
     found = F.filter(
         text.split_words(F.col("cleaned_text")),
-        lambda w: long_enough(w) & ~w.rlike(numeric) & ~F.array_contains("_stops", w),
+        lambda w: long_enough(w) & ((w >= ":") | ~w.rlike(numeric)) & ~F.array_contains("_stops", w),
     )
     terms = F.transform(found, stems.stem) if stem else found
     return kept.select(key, F.explode(text.if_kept(F.sort_array(terms), lambda t: F.size(t) > 0)).alias("terms"))
