@@ -4,10 +4,12 @@
    about ``CHUNK_BYTES`` with (file, block, chunk). All later steps read this store, so it does not matter how another scan
    would pack the files, and a lost executor costs one task.
 2. Whether a line begins inside quotes depends on all lines before it. So each line is looked at under both start states: the end state
-   is the same for both, or kept, or swapped. These maps compose; a chunk's map is two flags.
+   is the same for both, or kept, or swapped. These maps compose; a chunk's map is two flags. With it are stored the lines at which
+   records begin under either state.
 3. The start state of every chunk is the prefix of the maps before it: a window over one narrow row per chunk.
-4. With its start state each chunk is cut by itself. The open end of a chunk and the lines that continue it in later chunks are
-   joined by the place of the record's first line; only these pieces are shuffled.
+4. With its start state each chunk is cut by itself, by expressions: Python workers would be sent many chunks in one Arrow batch. The
+   open end of a chunk and the lines that continue it in later chunks are joined by the place of the record's first line; only these
+   pieces are shuffled.
 
 A cell is quoted when its first character is a quote; two quotes inside it stand for one; what follows the closing quote up to the next
 comma belongs to the cell. Records keep the line breaks inside their quotes (``\\n`` or ``\\r\\n``); empty lines between records are no
@@ -37,7 +39,8 @@ CLOSED_FROM_INSIDE = rf'^(?:[^"]|"")*"(?:[^",][^,]*)?(?:,{CELL})*$'
 
 STORED = (
     "file string, block long, chunk int, lines array<binary>, utf8 boolean, "
-    "inside_from_outside boolean, inside_from_inside boolean, starts_from_outside boolean, starts_from_inside boolean"
+    "inside_from_outside boolean, inside_from_inside boolean, starts_from_outside boolean, starts_from_inside boolean, "
+    "begins_from_outside array<int>, begins_from_inside array<int>"
 )
 
 
@@ -72,18 +75,18 @@ def stored_lines(spark: SparkSession, path: str | list[str], multi_line: bool =
         lines = pa.concat_arrays(parts)
         outside, inside = line_maps(lines) if multi_line else (np.zeros(len(lines), bool),) * 2
         filled = pc.greater(pc.binary_length(lines), 0).to_numpy(zero_copy_only=False)
-        flags = []
-        for start in (False, True):
-            flags.append(bool(states_after(outside, inside, start)[-1]))
-        for start in (False, True):
-            flags.append(bool((filled & ~states_before(outside, inside, start)).any()))
+        begins = [~states_before(outside, inside, start) for start in (False, True)]
+        flags = [bool(states_after(outside, inside, start)[-1]) for start in (False, True)]
+        flags += [bool((filled & begin).any()) for begin in begins]
+        places = [np.flatnonzero(begin).astype("i4") for begin in begins]
         try:
             pa.ListArray.from_arrays([0, len(lines)], lines.cast(pa.string()))
             utf8 = True
         except pa.ArrowInvalid:
             utf8 = False
         values = [[file], [block], [chunk], pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), [utf8], *([f] for f in flags)]
-        types = [pa.string(), pa.int64(), pa.int32(), None, pa.bool_(), *[pa.bool_()] * 4]
+        values += [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.array(at)) for at in places]
+        types = [pa.string(), pa.int64(), pa.int32(), None, pa.bool_(), *[pa.bool_()] * 4, None, None]
         arrays = [v if t is None else pa.array(v, t) for v, t in zip(values, types)]
         return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in STORED.split(", ")])
 
@@ -144,14 +147,13 @@ def chunk_states(stored: DataFrame) -> DataFrame:
 def cut(chunks: DataFrame, multi_line: bool = True) -> DataFrame:
     """(file, place, record) of chunks with their ``inside`` and ``owner``: whole records, and pieces joined by their owner."""
     place = F.struct("block", "chunk", "at").alias("place")
-    whole = _pieces(chunks, multi_line, True).select("file", place, "record")
+    whole = _whole(chunks).select("file", place, "record")
     if not multi_line:
         return _ended(whole)
     # Few chunks are cut a second time, those whose first or last line is part of a longer record, and only there.
-    ends_inside = F.when(F.col("inside"), F.col("inside_from_inside")).otherwise(F.col("inside_from_outside"))
     parts = F.sort_array(F.collect_list(F.struct("block", "chunk", "at", "record"))).alias("parts")
     # A record's pieces are as long as the record.
-    joined = _pieces(chunks.filter(F.col("inside") | ends_inside), multi_line, False).groupBy("file", "owner").agg(parts)
+    joined = _open_ends(chunks.filter(F.col("inside") | _ends_inside())).groupBy("file", "owner").agg(parts)
     first = F.col("parts")[0]
     joined = joined.select(
         "file", F.struct(first["block"].alias("block"), first["chunk"].alias("chunk"), first["at"].alias("at")).alias("place"),
@@ -160,47 +162,37 @@ def cut(chunks: DataFrame, multi_line: bool = True) -> DataFrame:
     return _ended(whole.unionByName(joined))
 
 
-def _pieces(chunks: DataFrame, multi_line: bool, whole: bool) -> DataFrame:
-    """(file, block, chunk, owner, at, record): the ``whole`` records of each chunk, or its open ends."""
+def _ends_inside() -> Column:
+    return F.when(F.col("inside"), F.col("inside_from_inside")).otherwise(F.col("inside_from_outside"))
 
-    def pieces(lines: pa.Array, inside_first: bool) -> tuple[np.ndarray, pa.Array]:
-        maps = line_maps(lines) if multi_line else (np.zeros(len(lines), bool),) * 2
-        before = states_before(*maps, inside_first)
-        first = np.flatnonzero(~before)
-        stops = np.append(first[1:], len(lines)) if len(first) else first
-        is_open = bool(len(first)) and bool(states_after(*maps, inside_first)[-1])
-        if not whole:
-            head = int(first[0]) if len(first) else len(lines)
-            ends = [(-1, 0, head)] * bool(head) + [(int(first[-1]), int(first[-1]), len(lines))] * is_open if len(first) else [(-1, 0, head)]
-            return np.array([at for at, *_ in ends], "i4"), pa.array([b"\n".join(lines.slice(a, b - a).to_pylist()) for _, a, b in ends], lines.type)
-        if is_open:
-            first, stops = first[:-1], stops[:-1]
-        alone = stops - first == 1
-        long = [b"\n".join(lines.slice(a, b - a).to_pylist()) for a, b in zip(first[~alone].tolist(), stops[~alone].tolist())]
-        return np.concatenate([first[alone], first[~alone]]).astype("i4"), pa.concat_arrays([lines.take(pa.array(first[alone])), pa.array(long, lines.type)])
 
-    names = ("file", "block", "chunk", "owner_block", "owner_chunk")
+def _begins() -> Column:
+    """The places in a chunk of the lines at which records begin."""
+    return F.when(F.col("inside"), F.col("begins_from_inside")).otherwise(F.col("begins_from_outside"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                at, records = pieces(batch.column("lines")[row].values, bool(batch.column("inside")[row].as_py()))
-                keys = {c: batch.column(c)[row].as_py() for c in names}
-                # What begins in this chunk belongs to it, what goes on in it to the chunk where it began.
-                own = at >= 0
-                blocks = np.where(own, keys["block"], keys["owner_block"] or 0)
-                numbers = np.where(own, keys["chunk"], keys["owner_chunk"] or 0)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([keys["file"]] * len(at), pa.string()), pa.array(np.full(len(at), keys["block"], np.int64)),
-                    pa.array(np.full(len(at), keys["chunk"], "i4")), pa.array(blocks.astype(np.int64)), pa.array(numbers.astype("i4")), pa.array(at), records,
-                ], names=[*names, "at", "record"])
-
-    given = chunks.select("file", "block", "chunk", F.col("owner.block").alias("owner_block"), F.col("owner.chunk").alias("owner_chunk"), "inside", "lines")
-    made = given.mapInArrow(run, "file string, block long, chunk int, owner_block long, owner_chunk int, at int, record binary")
-    return made.select(
-        "file", "block", "chunk", F.struct(F.col("owner_block").alias("block"), F.col("owner_chunk").alias("chunk")).alias("owner"), "at",
-        F.decode("record", "ISO-8859-1").alias("record"),
-    )
+
+def _text(start: Column, stop: Column) -> Column:
+    """The lines of a chunk from ``start`` up to before ``stop``, as one text. Only these lines are decoded."""
+    return F.array_join(F.transform(F.slice("lines", start + 1, stop - start), lambda line: F.decode(line, "ISO-8859-1")), "\n")
+
+
+def _whole(chunks: DataFrame) -> DataFrame:
+    """(file, block, chunk, at, record): the records of each chunk that end in it."""
+    ended = F.slice(_begins(), F.lit(1), F.greatest(F.size(_begins()) - _ends_inside().cast("int"), F.lit(0)))
+    stop = lambda i: F.coalesce(F.get(_begins(), i + 1), F.size("lines"))
+    made = F.transform(ended, lambda at, i: F.struct(at.alias("at"), _text(at, stop(i)).alias("record")))
+    return chunks.select("file", "block", "chunk", F.explode(made).alias("made")).select("file", "block", "chunk", "made.at", "made.record")
+
+
+def _open_ends(chunks: DataFrame) -> DataFrame:
+    """(file, block, chunk, owner, at, record): what goes on in a chunk belongs to the chunk where it began, what stays open to its own."""
+    n = F.size("lines")
+    head, last = F.coalesce(F.get(_begins(), F.lit(0)), n), F.get(_begins(), F.size(_begins()) - 1)
+    own = F.struct("block", "chunk")
+    going_on = F.struct(F.col("owner").alias("owner"), F.lit(-1).alias("at"), F.when(head > 0, _text(F.lit(0), head)).alias("record"))
+    is_open = F.struct(own.alias("owner"), last.alias("at"), F.when(_ends_inside() & last.isNotNull(), _text(last, n)).alias("record"))
+    made = chunks.select("file", "block", "chunk", F.explode(F.array(going_on, is_open)).alias("made"))
+    return made.select("file", "block", "chunk", "made.owner", "made.at", "made.record").filter("record IS NOT NULL")
 
 
 def _ended(records: DataFrame) -> DataFrame:
@@ -216,9 +208,9 @@ def with_states(stored: DataFrame) -> DataFrame:
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunks that hold the first record of each file, all of it."""
+    """The chunks that hold the first record of each file, all of it. Where these begin is stored too, so that no lines are shuffled for it."""
     key = F.struct("block", "chunk")
-    first = chunks.filter("has_start").groupBy("file").agg(F.min(key).alias("first_start"))
+    first = durable(chunks.filter("has_start").groupBy("file").agg(F.min(key).alias("first_start")), "csv_starts")
     near = chunks.join(first, "file")
     return near.filter((key <= F.col("first_start")) | (F.col("inside") & (F.col("owner") == F.col("first_start")))).drop("first_start")
 

@@ -122,3 +122,13 @@ def test_a_record_is_cut_into_cells_once(spark, tmp_path):
     assert sorted(tuple(r) for r in rows.collect()) == [("1", "2", "3", "4", "5"), ("6", "", "", "", "")]
     shown = rows._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("from_csv(") == 1
+
+
+def test_stored_chunks_are_cut_without_python(spark, tmp_path, monkeypatch):
+    """Python workers would get as many chunks at a time as an Arrow batch takes; a record over several chunks is whole all the same."""
+    text = 'a,b\n1,"x\n\ny\r\n""z"""\r\n\n2,\u00e9\n3,"open\n\n'
+    (tmp_path / "data.csv").write_text(text, newline="")
+    monkeypatch.setattr(csv_records, "CHUNK_BYTES", 9)
+    rows = csv_files.read_csv(spark, str(tmp_path / "data.csv"))
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", 'x\n\ny\r\n"z"'), ("2", "\u00e9"), ("3", "open")]
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
