@@ -6,15 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from feedback_spark.functions.labels import polarity_group
 from feedback_spark.functions.numbers import whole_percent
 from feedback_spark.functions.text import title_case
-from feedback_spark.operators import gibbs
+from feedback_spark.operators import gibbs, variational
 from feedback_spark.session import durable
 
 # Size of the model and of the reported lists.
@@ -29,9 +26,9 @@ BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class TopicModel:
-    """A fitted model; ``documents`` are the kept (key, features) rows it was fitted on, ``lists`` their terms."""
+    """A fitted model; ``documents`` are the kept bags of words it was fitted on, by key, ``lists`` their terms."""
 
-    model: LDAModel
+    model: variational.VariationalModel
     lists: DataFrame
     documents: DataFrame
     used: list[str]
@@ -57,23 +54,22 @@ def fit_topics(
 ) -> TopicModel | None:
     """Fit on (key, terms) rows; None when fewer than two topics can be told apart.
 
-    Each iteration reads all documents, so nothing is sampled. Terms are hashed
+    Each iteration samples as many documents as there are, with replacement, as Spark's optimizer does. Terms are hashed
     to ``buckets`` features: the driver holds the used buckets and one weight per
     topic and bucket, whatever the vocabulary. Two words in one bucket count as
     one word to the model; ``topic_beta`` tells them apart again.
     """
-    hashed = lists.select(key, F.transform("terms", lambda t: bucket_of(t, buckets)).alias("terms"))
-    used = [r.term for r in hashed.select(F.explode("terms").alias("term")).distinct().orderBy("term").collect()]
-    if not used:
+    numbers = F.transform("terms", lambda t: bucket_of(t, buckets).cast("int"))
+    documents = variational.bags(lists, key, numbers).persist(StorageLevel.MEMORY_AND_DISK)
+    n_parts = documents.rdd.getNumPartitions()
+    found, n = variational.used_buckets(documents, buckets, n_parts)
+    use = min(k, n - 1)
+    if not len(found) or use < 2:
+        documents.unpersist()
         return None
-    vectorizer = CountVectorizerModel.from_vocabulary(used, inputCol="terms", outputCol="features")
-    vectors = vectorizer.transform(hashed).select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
-    use = min(k, vectors.count() - 1)
-    if use < 2:
-        vectors.unpersist()
-        return None
-    lda = LDA(k=use, seed=seed, maxIter=iterations, optimizer="online", subsamplingRate=1.0)
-    return TopicModel(lda.fit(vectors), lists, vectors, used, buckets)
+    used = sorted(map(str, found.tolist()))  # initial values are drawn in the order of names
+    model = variational.fit(documents, np.array(used, np.int64), use, buckets, n_parts, iterations=iterations, seed=seed)
+    return TopicModel(model, lists, documents, used, buckets)
 
 
 def term_weights(lists: DataFrame, shares: DataFrame, chosen: list[str], buckets: int = BUCKETS, key: str = "doc_id") -> DataFrame:
@@ -123,14 +119,17 @@ def split_terms(ranked, lists: DataFrame, shares: DataFrame, n_buckets: int, lim
 
 def topic_beta(fitted: TopicModel, limit: int = TERMS) -> DataFrame:
     """(topic, term, beta) of the leading terms, ties at the last place kept; words that share a bucket share its weight."""
-    key = fitted.documents.columns[0]
-    shares = fitted.model.transform(fitted.documents).select(key, vector_to_array("topicDistribution").alias("shares"))
+    shares = variational.document_shares(fitted.model, fitted.documents)
+    ranked = heaviest(fitted.model.beta(), fitted.used)
+    return split_terms(ranked, fitted.lists, shares, len(fitted.used), limit, fitted.buckets, fitted.documents.columns[0])
+
 
+def heaviest(beta: np.ndarray, used: list[str]):
+    """``ranked`` of ``split_terms`` for the weights of each topic's buckets."""
     def ranked(asked: int) -> list[tuple[int, str, float]]:
-        rows = fitted.model.describeTopics(asked).collect()  # as many numbers as leading buckets
-        return [(r.topic + 1, fitted.used[i], float(w)) for r in rows for i, w in zip(r.termIndices, r.termWeights)]
+        return [(t + 1, used[i], float(row[i])) for t, row in enumerate(beta) for i in np.argsort(-row, kind="stable")[:asked].tolist()]
 
-    return split_terms(ranked, fitted.lists, shares, len(fitted.used), limit, fitted.buckets, key)
+    return ranked
 
 
 def gibbs_beta(
@@ -149,12 +148,7 @@ def gibbs_beta(
         return None
     fitted = gibbs.fit(numbered, use, buckets, vocabulary=len(used), seed=seed, **sweeps)
     shares = gibbs.document_shares(fitted).withColumnRenamed("key", key)
-    own = fitted.beta[:, used]
-
-    def ranked(asked: int) -> list[tuple[int, str, float]]:
-        return [(t + 1, str(used[i]), float(row[i])) for t, row in enumerate(own) for i in np.argsort(-row, kind="stable")[:asked].tolist()]
-
-    return split_terms(ranked, lists, shares, len(used), limit, buckets, key)
+    return split_terms(heaviest(fitted.beta[:, used], list(map(str, used))), lists, shares, len(used), limit, buckets, key)
 
 
 def top_terms_ties(table: DataFrame, limit: int = TERMS, group: str = "topic", weight: str = "beta") -> DataFrame:
@@ -190,10 +184,10 @@ def topic_labels(terms: DataFrame) -> DataFrame:
 
 def dominant_topics(fitted: TopicModel, key: str = "doc_id") -> DataFrame:
     """(key, topic, weight, topics): the heaviest topic and all weights of each document."""
-    weights = vector_to_array("topicDistribution")
+    weights = F.col("shares")
     listed = F.transform(weights, lambda w, i: F.struct((i + 1).alias("topic_id"), w.alias("weight")))
     best = F.array_position(weights, F.array_max(weights)).cast("int")
-    return fitted.model.transform(fitted.documents).select(
+    return variational.document_shares(fitted.model, fitted.documents).select(
         key, best.alias("topic"), F.array_max(weights).alias("weight"), listed.alias("topics")
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -48,7 +48,7 @@ def corpus_analysis(
     Cleaning costs more than writing and reading the cleaned texts, and several passes
     read them, so they are stored once in the shared folder. Only narrow frames are kept in
     memory: scores, word counts and topic vectors. Kept blocks lost with an executor are computed again.
-    Spark's topic model depends on how its rows lie, so it is fitted on the documents as they came.
+    The topic model's samples depend on how its rows lie, so it is fitted on the documents as they came; the terms of its topics do not.
     """
     made = cleaning.clean_documents(documents)
     cleaned = durable(made, "cleaned")
@@ -61,6 +61,8 @@ def corpus_analysis(
         stops = lexicons.stops if lexicons.topic_stops is None else lexicons.topic_stops
         terms = tokens.topic_terms(made, stops, key, stem)
         fitted = topics.fit_topics(terms, key=key, **(topic_options or {}))
+        if fitted:
+            fitted = replace(fitted, lists=tokens.topic_terms(cleaned, stops, key, stem))
     return CorpusResult(
         cleaned=cleaned,
         scored=scored,
