@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from catalog import plan_queries
 from feedback_spark.operators import gibbs, topics
 
 
@@ -61,6 +62,33 @@ def test_sampler_equals_a_plain_one_on_any_partitioning(frame):
         assert {r.key: r.topics for r in made.state.collect()} == topic
 
 
+def test_sweeps_kept_and_stored_equal_a_plain_sampler(frame, monkeypatch):
+    """Topics stored after every second sweep and kept between, documents from no to ninety words."""
+    monkeypatch.setattr(gibbs, "STORED_EACH", 2)
+    rng = random.Random(8)
+    documents = [(i, [rng.randrange(9) for _ in range(rng.randrange(10 if i < 20 else 90))]) for i in range(30)]
+    options = {"burn_in": 2, "sweeps": 3, "thin": 1, "alpha": 0.5, "delta": 0.1, "seed": 7}
+    want, topic = plain_fit(documents, 3, 9, **options)
+    made = gibbs.fit(frame("key long, words array<int>", *documents).repartition(3), 3, 9, **options)
+    assert np.allclose(made.beta, want, atol=1e-12)
+    assert {r.key: r.topics for r in made.state.collect()} == topic
+
+
+def test_query_makes_all_sweeps(spark, frame, monkeypatch):
+    """200 thrown away, then 500, of which each fifth counts."""
+    texts = [(i, f"apple pear {'plum' if i % 2 else 'fig'}es", 3) for i in range(6)]
+    monkeypatch.setattr(plan_queries.base, "cleaned", lambda *_: frame("doc_id long, cleaned_text string, word_count int", *texts))
+    asked, fit = [], gibbs.fit
+
+    def fewer(*args, burn_in=gibbs.BURN_IN, sweeps=gibbs.SWEEPS, thin=gibbs.THIN, **rest):
+        asked.append((burn_in, sweeps, thin))
+        return fit(*args, burn_in=1, sweeps=1, thin=1, **rest)
+
+    monkeypatch.setattr(gibbs, "fit", fewer)
+    assert {r.term for r in plan_queries.gibbs_topics(spark, "").collect()} == {"apple", "pear", "plumes", "figes"}
+    assert asked == [(200, 500, 5)]
+
+
 def test_planted_topics_are_recovered(frame):
     lists = frame("doc_id long, terms array<string>", *planted()).coalesce(1)
     made = topics.gibbs_beta(lists, 2, limit=6, burn_in=14, sweeps=2, thin=2, alpha=0.2).collect()
